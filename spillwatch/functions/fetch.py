@@ -13,10 +13,11 @@ KILO, MEGA = 1024, 1024 * 1024
 
 
 def format_size(size: Column) -> Column:
+    """Bytes as ``B``, ``KB`` or ``MB``; one decimal, halves go to the even digit."""
     return (
         F.when(size < KILO, F.concat(size.cast("string"), F.lit("B")))
-        .when(size < MEGA, F.format_string("%.1fKB", size / KILO))
-        .otherwise(F.format_string("%.1fMB", size / MEGA))
+        .when(size < MEGA, F.format_string("%.1fKB", F.bround(size / KILO, 1)))
+        .otherwise(F.format_string("%.1fMB", F.bround(size / MEGA, 1)))
     )
 
 

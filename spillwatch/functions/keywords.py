@@ -24,7 +24,8 @@ COMMON_WORDS = (
     "access",
 )
 MIN_KEYWORD_BYTES = 4
-_ONE_CHARACTER = r"(?s)^(.)\1*$"
+# Bytes are compared, so only a single-byte character counts.
+_ONE_CHARACTER = r"^([\x00-\x7f])\1*$"
 
 
 def is_valid_keyword(keyword: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_js_url, trimmed
-from ..rules.ruleset import COMPILED_SCHEMA, RULE_FIELDS, RuleSet, normalise, reject_reason
+from ..rules.ruleset import RuleSet, normalise, reject_reason
 
 try:
     import yaml
@@ -39,10 +39,9 @@ def read_url_lists(spark: SparkSession, paths: str | list[str], js_only: bool =
     lines = spark.read.text(paths).select(
         F.regexp_replace(_file_name(F.col("_metadata.file_path")), r"(_urls)?\.[^.]*$", "").alias("tool"),
         F.col("value").alias("url"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
+        F.monotonically_increasing_id().alias("ord"),
     )
-    lines = lines.where(F.col("url") != "").withColumn("ord", F.col("id")).select("tool", "url", "ord")
+    lines = lines.where(F.col("url") != "")
     return lines.where(is_js_url(F.col("url"))) if js_only else lines
 
 
@@ -86,7 +85,6 @@ def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value",
         F.struct(
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("id"),
         ).alias("ord"),
     )
@@ -167,18 +165,3 @@ def load_rules(spark: SparkSession, path: str | list[str]) -> tuple[RuleSet, Dat
     schema = pa.schema([("path", pa.string()), ("rule_id", pa.string()), ("reason", pa.string())])
     return rules, spark.createDataFrame(pa.Table.from_pylist(rejects, schema=schema))
 
-
-__all__ = [
-    "COMPILED_SCHEMA",
-    "RULE_FIELDS",
-    "external_lines",
-    "files_from_table",
-    "ingest_external_endpoints",
-    "ingest_external_findings",
-    "load_rules",
-    "parse_manifest",
-    "read_files",
-    "read_manifest",
-    "read_url_lists",
-    "rules_from_packs",
-]
