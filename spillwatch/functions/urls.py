@@ -7,8 +7,6 @@ segment) is flagged and takes the documented fallback of each function.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,54 +75,38 @@ PACKAGE_FOLDER = "node_modules"
 SCRIPT_SUFFIX = ".js"
 MAX_FILENAME_BYTES, KEPT_FILENAME_BYTES = 200, 180
 
-_SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"
-_ESCAPE = r"%[0-9A-Fa-f]{2}"
-_HOST_CHARACTERS = r"(?s)^[A-Za-z0-9\-._~!$&'()*+,;=:\[\]<>\"%\x{80}-\x{10FFFF}]*$"
-
-
-def _bad_escapes(text: Column) -> Column:
-    return F.contains(F.regexp_replace(text, _ESCAPE, ""), F.lit("%"))
-
-
-def _parts(url: Column) -> dict[str, Column]:
-    """The pieces of a URL, as text."""
-    base = F.substring_index(url, "#", 1)
-    scheme = F.regexp_extract(base, _SCHEME, 0)
-    rest = F.substring_index(F.substring(base, F.length(scheme) + 1, F.length(base)), "?", 1)
-    has_scheme = scheme != ""
-    has_authority = rest.startswith("//") & (has_scheme | ~rest.startswith("///"))
-    authority = F.when(has_authority, F.regexp_extract(rest, r"(?s)^//([^/]*)", 1)).otherwise("")
-    path = F.when(has_authority, F.regexp_extract(rest, r"(?s)^//[^/]*(.*)$", 1)).otherwise(rest)
-    opaque = has_scheme & ~rest.startswith("/")
-    return {
-        "scheme": scheme,
-        "fragment": F.regexp_extract(url, r"(?s)#(.*)$", 1),
-        "rest": rest,
-        "authority": authority,
-        "host": F.substring_index(authority, "@", -1),
-        "userinfo": F.regexp_extract(authority, r"(?s)^(.*)@", 1),
-        "path": F.when(opaque, "").otherwise(path),
-        "opaque": opaque,
-    }
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
+_ESCAPE = "%[0-9A-Fa-f]{2}"
+_CONTROL = r"\x00-\x1f\x7f"
+_USER = r"[A-Za-z0-9\-._:~!$&'()*+,;=@]*@"
+_HOST = r"""A-Za-z0-9\-._~!$&'()*+,;=\[\]<>"\x{80}-\x{10FFFF}"""
+_HOST_AND_PORT = rf"(?:\[[{_HOST}:]*\](?::[0-9]*)?|[{_HOST}:]*:[0-9]*|[{_HOST}]*)"
+_PATH_TEXT = rf"[^?#%{_CONTROL}]*"
+_QUERY = rf"(?:\?[^#{_CONTROL}]*)?"
+# One regex per question, so that an expression stays small wherever it is used. This one is for a URL
+# whose valid escapes were taken for letters: a percent sign left over is a bad one.
+_PARSABLE = (
+    "^(?:"
+    + "|".join(
+        (
+            rf"{_SCHEME}(?!/)[^#{_CONTROL}]*",  # opaque, as mailto:
+            rf"(?:{_SCHEME}|(?!///))//(?:{_USER})?{_HOST_AND_PORT}(?:/{_PATH_TEXT})?{_QUERY}",
+            rf"(?:{_SCHEME})?/(?!/){_PATH_TEXT}{_QUERY}",
+            rf"(?=///){_PATH_TEXT}{_QUERY}",
+            rf"[^:/?#%{_CONTROL}]*(?:/{_PATH_TEXT})?{_QUERY}",  # relative, no colon in the first segment
+        )
+    )
+    + rf")(?:#[^%{_CONTROL}]*)?\z"
+)
+_PATH = rf"(?s)^(?:{_SCHEME}//[^/?#]*|{_SCHEME}(?=/)|{_SCHEME}[^?#]*|//(?!/)[^/?#]*)?([^?#]*)"
+_HOST_OF = rf"(?s)^(?:{_SCHEME}|(?!///))//(?:[^/?#]*@)?([^/?#]*)"
+# A host may escape only what is not ASCII, and the percent sign.
+_BAD_HOST_ESCAPE = rf"(?s)^(?:{_SCHEME}|(?!///))//(?:[^/?#]*@)?[^/?#]*%(?!25)[0-7][0-9A-Fa-f]"
 
 
 def is_parsable_url(url: Column) -> Column:
-    p = _parts(url)
-    port = F.regexp_extract(p["host"], r"(?s):([^:\]]*)$", 1)
-    first_segment = F.substring_index(p["rest"], "/", 1)
-    bad = [
-        url.rlike(r"[\x00-\x1f\x7f]"),
-        url.startswith(":"),
-        _bad_escapes(p["fragment"]),
-        _bad_escapes(p["path"]),
-        (p["scheme"] == "") & ~p["rest"].startswith("/") & F.contains(first_segment, F.lit(":")),
-        port.rlike("[^0-9]"),
-        ~p["host"].rlike(_HOST_CHARACTERS),
-        _bad_escapes(p["host"]),
-        p["host"].rlike(r"%(?!25)[0-7][0-9A-Fa-f]"),
-        p["userinfo"].rlike(r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]") | _bad_escapes(p["userinfo"]),
-    ]
-    return ~reduce(Column.__or__, bad)
+    plain = F.regexp_replace(url, _ESCAPE, "x")
+    return plain.rlike(_PARSABLE) & ~url.rlike(_BAD_HOST_ESCAPE)
 
 
 def _decoded(text: Column) -> Column:
@@ -134,12 +116,12 @@ def _decoded(text: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     """Percent-decoded path."""
-    return _decoded(_parts(url)["path"])
+    return _decoded(F.regexp_extract(url, _PATH, 1))
 
 
 def url_host(url: Column) -> Column:
     """Host with its port."""
-    return _decoded(_parts(url)["host"])
+    return _decoded(F.regexp_extract(url, _HOST_OF, 1))
 
 
 def is_js_url(url: Column) -> Column:
@@ -195,10 +177,9 @@ def _first_bytes(text: Column, count: int) -> Column:
 
 def generate_filename(url: Column, index: Column) -> Column:
     """A safe ``.js`` file name for a URL."""
-    base = F.element_at(F.split(F.regexp_replace(url_path(url), "/+$", ""), "/"), -1)
+    base = F.regexp_extract(url_path(url), r"(?s)([^/]*)/*\z", 1)
     from_host = F.concat(F.replace(url_host(url), F.lit("."), F.lit("_")), F.lit("_"), index.cast("string"), F.lit(".js"))
-    suffixed = F.when(F.endswith(F.lower(base), F.lit(SCRIPT_SUFFIX)), base).otherwise(F.concat(base, F.lit(SCRIPT_SUFFIX)))
-    name = sanitize_filename(suffixed)
+    name = sanitize_filename(F.regexp_replace(base, r"(?i)(?<!\.js)\z", SCRIPT_SUFFIX))
     short = F.when(
         F.octet_length(name) > MAX_FILENAME_BYTES,
         F.concat(_first_bytes(name, KEPT_FILENAME_BYTES), F.lit("_"), F.left(F.md5(url), F.lit(12)), F.lit(".js")),
@@ -207,21 +188,19 @@ def generate_filename(url: Column, index: Column) -> Column:
     # A path of one dot is its own base name and counts as none.
     return (
         F.when(~is_parsable_url(url), unparsable)
-        .when((base == "") | (base == "."), from_host)
+        .when(base.isin("", "."), from_host)
         .otherwise(short)
     )
 
 
 def resolve_url(reference: Column, base_url: Column) -> Column:
     """A ``src`` or ``href`` value as an absolute URL, given the page it stands on."""
-    page = F.substring_index(F.substring_index(base_url, "#", 1), "?", 1)
-    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
-    folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/.*)?/)[^/]*$", 1)
-    folder = F.when(folder.rlike(r"://.*/"), folder).otherwise(F.concat(origin, F.lit("/")))
+    page = F.regexp_extract(base_url, "^[^?#]*", 0)
+    origin = F.regexp_extract(page, rf"^{_SCHEME}//[^/]*", 0)
+    folder = F.when(page.rlike(rf"^{_SCHEME}//[^/]*\z"), F.concat(page, F.lit("/"))).otherwise(F.regexp_extract(page, "^.*/", 0))
     return (
-        F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
-        .when(reference.startswith("//"), F.concat(scheme, reference))
+        F.when(reference.rlike(f"^{_SCHEME}"), reference)
+        .when(reference.startswith("//"), F.concat(F.regexp_extract(page, f"^{_SCHEME}", 0), reference))
         .when(reference.startswith("/"), F.concat(origin, reference))
         .otherwise(F.concat(folder, reference))
     )

@@ -16,12 +16,14 @@ from ..functions.screen import text_screen
 from ..functions.text import detector_label, is_false_positive, line_number, mask_value, shannon_entropy
 from ..rules import RuleSet
 from ..rules.ruleset import MAX_BROADCAST_BYTES, rule_labels, rule_matchers
+from ..shipping import ship_package
 
 
 def candidates(
     files: DataFrame, rules: RuleSet, keyword_only: bool = False, strict_keyword_case: bool = False
 ) -> DataFrame:
     """Files joined with the rules that can match them, each pair once; keeps the file's columns."""
+    ship_package(files.sparkSession)
     joined = None
     for part in rules.slices():
         spec = part.screen_spec(keyword_only, strict_keyword_case)

@@ -79,6 +79,44 @@ def _class_to_java(body: str) -> str:
     return "[" + ("^" if negated else "") + "".join(out) + "]"
 
 
+_WORD = re.compile(r"[0-9A-Za-z_]+")
+_COUNT = re.compile(r"\{(\d+)(,(\d*))?\}|[*+?]")
+
+
+def _word_opening(rest: str) -> tuple[str, int]:
+    """A boundary and what follows it, with the boundary looked at after the first characters.
+
+    The matcher tries every position of a text; looking behind first would cost it at each of them. Returns
+    the text to emit and how much of ``rest`` it covers, or nothing when ``rest`` starts otherwise.
+    """
+    literal = _WORD.match(rest)
+    if literal:
+        end = literal.end()
+        if _COUNT.match(rest, end):  # the last character is repeated and not part of the fixed text
+            end -= 1
+        if end:
+            return f"{rest[:end]}(?<!\\w{rest[:end]})", end
+        return "", 0
+    found = _CLASS.match(rest)
+    if not found:
+        return "", 0
+    atom = _class_to_java(found.group(0)[1:-1])
+    count = _COUNT.match(rest, found.end())
+    if count and (count.group(0) in "*?" or count.group(1) in ("0", "1")):
+        return "", 0
+    # Inside a word, outside of words, or a first character that is no word character: no boundary.
+    check = r"(?<!\w\w)(?<!\W\W)(?<!\A\W)"
+    if not count:
+        return atom + check, found.end()
+    if count.group(0) == "+":
+        return f"{atom}{check}{atom}*", count.end()
+    low, high = int(count.group(1)) - 1, count.group(3)
+    if int(high or 0) > MAX_REPEAT_COUNT or low >= MAX_REPEAT_COUNT:
+        raise UnsupportedRegex("repeat count above 1000")
+    more = "" if count.group(2) is None else "," + (str(int(high) - 1) if high else "")
+    return f"{atom}{check}{atom}{{{low}{more}}}", count.end()
+
+
 def to_java(regex: str) -> str:
     """The same rule for ``java.util.regex``, with ASCII ``\\b`` and ``\\s`` and ``\\n``-only line ends."""
     out = ["(?d)"]
@@ -94,10 +132,12 @@ def to_java(regex: str) -> str:
                 raise UnsupportedRegex("back-reference")
             if pair[1] in "CZG":
                 raise UnsupportedRegex(f"escape {pair}")
-            if pair == "\\b" and re.match(r"\w", regex[i + 2 : i + 3], re.A):
-                out.append(r"(?<!\w)")
-                i += 2
-                continue
+            if pair == "\\b":
+                opening, length = _word_opening(regex[i + 2 :])
+                if opening:
+                    out.append(opening)
+                    i += 2 + length
+                    continue
             out.append(
                 {
                     "\\b": ASCII_BOUNDARY,

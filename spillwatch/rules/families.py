@@ -99,7 +99,7 @@ def arn(service: str, resource: str) -> str:
 A = "[A-Za-z0-9]"
 AW = r"[A-Za-z0-9_\-]"
 
-# (family id, pack name, category, provider, tokens, assigned)
+# A token is (id, regex, severity) and, where the regex starts with nothing fixed, a cheap part of it to look for first.
 FAMILIES = [
     {
         "family": "ai_services",
@@ -374,7 +374,7 @@ FAMILIES = [
             ("google-fcm-server-key", r"\bAAAA[A-Za-z0-9_\-]{7}:[A-Za-z0-9_\-]{140}", "critical"),
             ("google-run-host", r"\b[a-z0-9\-]{4,60}\.a\.run\.app\b", "low"),
             ("google-function-host", r"https://[a-z0-9\-]{6,60}\.cloudfunctions\.net/[^\s'\"]{1,160}", "low"),
-            ("google-sql-instance", r"\b[a-z0-9\-]{4,40}:[a-z]{2,12}-[a-z]{4,12}\d:[a-z0-9\-]{2,80}\b", "medium"),
+            ("google-sql-instance", r"\b[a-z0-9\-]{4,40}:[a-z]{2,12}-[a-z]{4,12}\d:[a-z0-9\-]{2,80}\b", "medium", r":[a-z]{2,12}-[a-z]{4,12}\d:"),
             ("google-kms-resource", r"projects/[a-z0-9\-]{4,40}/locations/[a-z0-9\-]{4,24}/keyRings/[^\s'\"]{3,160}", "medium"),
             ("google-secret-resource", r"projects/[a-z0-9\-]{4,40}/secrets/[A-Za-z0-9_\-]{1,120}", "medium"),
             ("google-registry", r"\b(?:us\.|eu\.|asia\.)?gcr\.io/[a-z0-9\-]{4,40}/[^\s'\"]{1,120}", "low"),
@@ -630,7 +630,7 @@ FAMILIES = [
             ("jdbc-mysql-url", r"jdbc:mysql://[^\s'\"?]{3,160}\?[^\s'\"]{0,200}password=[^&\s'\"]{1,120}", "critical"),
             ("jdbc-postgres-url", r"jdbc:postgresql://[^\s'\"?]{3,160}\?[^\s'\"]{0,200}password=[^&\s'\"]{1,120}", "critical"),
             ("mysql-go-dsn", r"\b[A-Za-z0-9_]{1,64}:[^\s:@/'\"]{1,120}@(?:tcp|unix)\([^)\s]{1,120}\)/[A-Za-z0-9_]{1,64}", "critical"),
-            ("pgpass-line", r"\b[A-Za-z0-9.\-*]{1,128}:\d{2,5}:[^:\s]{1,64}:[^:\s]{1,64}:[^\s]{4,128}", "high"),
+            ("pgpass-line", r"\b[A-Za-z0-9.\-*]{1,128}:\d{2,5}:[^:\s]{1,64}:[^:\s]{1,64}:[^\s]{4,128}", "high", r":\d{2,5}:"),
             ("libpq-dsn", r"host=[^\s'\"]{1,128}\s[^\n]{0,160}password=[^\s'\"]{1,128}", "critical"),
             ("ado-connection", r"(?i)server=[^;\n]{1,128};[^\n]{0,160}(?:password|pwd)=[^;\s'\"]{1,128}", "critical"),
             ("planetscale-password", prefixed("pscale_pw_", AW + "{32,64}"), "critical"),

@@ -164,7 +164,14 @@ class RuleSet:
 
     def df(self, spark: SparkSession) -> DataFrame:
         """One row per rule. An Arrow table of this size becomes a local relation of known size."""
-        return spark.createDataFrame(self.table())
+        application = spark.sparkContext.applicationId
+        if application not in self._frames:
+            self._frames[application] = spark.createDataFrame(self.table())
+        return self._frames[application]
+
+    @cached_property
+    def _frames(self) -> dict[str, DataFrame]:
+        return {}
 
     @cached_property
     def nbytes(self) -> int:
@@ -196,12 +203,13 @@ class RuleSet:
 def _built_in_rules():
     for family in FAMILIES:
         shared = {k: family[k] for k in ("category", "provider", "family")}
-        for rule_id, regex, severity in family["tokens"]:
+        for rule_id, regex, severity, *guard in family["tokens"]:
             yield {
                 **shared,
                 "rule_id": rule_id,
                 "name": rule_id.replace("-", " ").capitalize(),
                 "regex": regex,
+                "guard_regex": guard[0] if guard else None,
                 "severity": severity,
                 "confidence": 90 if severity in ("critical", "high") else 70,
                 "tags": [family["family"].replace("_", "-"), *rule_id.split("-")],
