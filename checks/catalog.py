@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spillwatch.functions import fetch, keywords, text, urls
 from spillwatch.operators import detectors, endpoints, matching, pages, reports, resume, rule_tables, url_lists
-from spillwatch.operators.settle import CHECKPOINT_SETTING
+from spillwatch.operators.settle import shared_folder
 from spillwatch.plans.balance import spread
 from spillwatch.plans.endpoints import scan_endpoints
 from spillwatch.plans.secrets import scan_both, scan_secrets, surviving_matches
@@ -68,7 +68,7 @@ def query(name: str, sql: str | None = None):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see: below the checkpoint folder where the cluster names one."""
-    shared = spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
+    shared = shared_folder(spark)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return f"{tempfile.mkdtemp(prefix='scratch-')}/{name}"
@@ -564,12 +564,12 @@ ASSIGNED = _detector(
 
 @query("e12_entropy_tokens", ENTROPY_TOKENS)
 def _(spark, sf):
-    return detectors.entropy_tokens(spread(files(spark, sf)), threshold=4.2)
+    return detectors.entropy_tokens(files(spark, sf), threshold=4.2)
 
 
 @query("e13_assigned_secrets", ASSIGNED)
 def _(spark, sf):
-    return detectors.assigned_secrets(spread(files(spark, sf)))
+    return detectors.assigned_secrets(files(spark, sf))
 
 
 @query("e14_union_detectors", f"select * from ({ENTROPY_TOKENS}) union all select * from ({ASSIGNED})")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import line_number, shannon_entropy
+from ..plans.balance import spread
 
 # What a token and an assignment look like.
 TOKEN_CHARACTERS = "[A-Za-z0-9+/=_-]"
@@ -26,7 +27,7 @@ def _lined(files: DataFrame, values) -> DataFrame:
         F.array_distinct(values),
         lambda v: F.struct(v.alias("value"), line_number(F.col("content"), v).cast("int").alias("line")),
     )
-    return files.select("file", F.inline(lined))
+    return spread(files.select("file", "content")).select("file", F.inline(lined))
 
 
 def entropy_tokens(files: DataFrame, min_length: int = 20, threshold: float = 4.5) -> DataFrame:

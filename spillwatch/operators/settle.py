@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the session names for data that all executors see."""
+    return spark.conf.get(CHECKPOINT_SETTING, None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; a local session gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    folder = context.getConf().get(CHECKPOINT_SETTING)
+    folder = shared_folder(spark)
     if folder is None:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")

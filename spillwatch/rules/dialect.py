@@ -204,33 +204,37 @@ def _is_repeat(op) -> bool:
     return op in (sre.MAX_REPEAT, sre.MIN_REPEAT)
 
 
-def _children(op, av):
-    if op is sre.SUBPATTERN:
-        return [av[3]]
-    if op is sre.BRANCH:
-        return av[1]
-    if _is_repeat(op):
-        return [av[2]]
-    return []
+_TOKEN = re.compile(
+    r"(?P<skip>\\.|\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\])"
+    r"|(?P<open>\()(?:\?(?:P?<\w+>|[a-zA-Z-]*:))?|(?P<close>\))|(?P<either>\|)|(?P<count>\{\d+(?:,\d*)?\}|[*+?])|.",
+    re.S,
+)
 
 
-def overflows_stack(tree) -> bool:
-    """True for an unbounded repeat over alternatives or over another unbounded repeat.
+def overflows_stack(regex: str) -> bool:
+    """True for an unbounded repeat over a group that has alternatives or repeats of varying length.
 
     The JVM matcher recurses once per round of such a repeat, so one long cell could
     end the executor; the loader rejects these rules and says so.
     """
-
-    def inside(items, found):
-        return any(found(op, av) or any(inside(c, found) for c in _children(op, av)) for op, av in items)
-
-    def unbounded(op, av):
-        return _is_repeat(op) and av[1] == sre.MAXREPEAT
-
-    def risky(op, av):
-        return unbounded(op, av) and inside(av[2], lambda o, a: o is sre.BRANCH or unbounded(o, a))
-
-    return inside(tree, risky)
+    varying = [False]  # per open group
+    closed = None  # what the group that ended just before this token was like
+    for token in _TOKEN.finditer(regex):
+        kind, text = token.lastgroup, token.group(0)
+        after, closed = closed, None
+        if kind == "open":
+            varying.append(False)
+        elif kind == "close" and len(varying) > 1:
+            closed = varying.pop()
+            varying[-1] = varying[-1] or closed
+        elif kind == "either":
+            varying[-1] = True
+        elif kind == "count":
+            if after and (text in "*+" or text.endswith(",}")):
+                return True
+            low, _, high = text.strip("{}").partition(",")
+            varying[-1] = varying[-1] or text in "*+?" or ("," in text and low != high)
+    return False
 
 
 # ---------------------------------------------------------------- keyword (one literal)
