@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import line_number, shannon_entropy
+from ..functions.text import shannon_entropy
 from ..plans.balance import spread
+from .lines import explode_lined
 
 # What a token and an assignment look like.
 TOKEN_CHARACTERS = "[A-Za-z0-9+/=_-]"
@@ -23,11 +24,7 @@ def _finding(value, detector: str, kind: str):
 
 def _lined(files: DataFrame, values) -> DataFrame:
     """Distinct values of each file with their first line; the text is gone from here on."""
-    lined = F.transform(
-        F.array_distinct(values),
-        lambda v: F.struct(v.alias("value"), line_number(F.col("content"), v).cast("int").alias("line")),
-    )
-    return spread(files.select("file", "content")).select("file", F.inline(lined))
+    return explode_lined(spread(files.select("file", "content")), values, ["file"])
 
 
 def entropy_tokens(files: DataFrame, min_length: int = 20, threshold: float = 4.5) -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.screen import text_screen
-from ..functions.text import detector_label, is_false_positive, line_number, mask_value, shannon_entropy
+from ..functions.text import detector_label, is_false_positive, mask_value, shannon_entropy
 from ..rules import RuleSet
 from ..rules.ruleset import MAX_BROADCAST_BYTES, rule_labels, rule_matchers
 from ..shipping import ship_package
+from .lines import explode_lined
 
 
 def candidates(
@@ -53,12 +54,9 @@ def match_rules(found: DataFrame) -> DataFrame:
 
 def distinct_matches(found: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """One row per candidate pair and distinct value, with its line; the text is gone from here on."""
-    values = F.array_distinct(_values_of(F.col("content"), F.col("java_regex"), F.col("java_guard")))
-    lined = F.transform(
-        values, lambda v: F.struct(v.alias("value"), line_number(F.col("content"), v).cast("int").alias("line"))
-    )
+    values = _values_of(F.col("content"), F.col("java_regex"), F.col("java_guard"))
     rule_columns = ["rank", "entropy_check", "min_entropy", "min_length", "max_length", "context_keywords"]
-    return found.select("file", *keep, *rule_columns, F.inline(lined))
+    return explode_lined(found, values, ["file", *keep, *rule_columns])
 
 
 def min_entropy_active(entropy_check: Column, min_entropy: Column) -> Column:
