@@ -24,6 +24,7 @@ from spillwatch.streaming import streams
 
 from . import inputs as i
 from . import oracle as o
+from . import plants
 
 FAMILY_CODES = {
     "ai_services": "d01",
@@ -441,10 +442,12 @@ def _(spark, sf):
 
 def _family(name: str):
     rules = built_in().by_family(name)
+    planted = plants.files_sql(rules)
 
-    @query(f"{FAMILY_CODES[name]}_{name}", o.scan(rules))
+    @query(f"{FAMILY_CODES[name]}_{name}", o.scan(rules, files_sql=planted.replace("join plants", f"join {plants.values_sql(rules)}")))
     def _(spark, sf):
-        return published(scan_secrets(files(spark, sf), rules, "deep"))
+        texts = i.derive(spark, sf, planted, plants=plants.frame(spark, rules))
+        return published(scan_secrets(texts, rules, "deep"))
 
 
 for _pack in FAMILIES:

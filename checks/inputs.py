@@ -218,10 +218,13 @@ CONVERSATION_FILES_SQL = """select concat(cast(conv_id as string), '-', cast(tur
 TABLES = ("documents", "pages", "events", "conversations")
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, sql: str, plants: DataFrame | None = None) -> DataFrame:
     """Run one of the statements above over the tables of ``sf_dir``."""
     bound = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if f"from {name}" in sql}
     sql = sql.replace("{", "{{").replace("}", "}}")
     for name in bound:
-        sql = sql.replace(f"from {name}", f"from {{{name}}}")
+        sql = sql.replace(f"from {name}", f"from {{{name}}} as {name}")
+    if plants is not None:
+        bound["plants"] = plants
+        sql = sql.replace("join plants", "join {plants} as plants")
     return spark.sql(sql, **bound)

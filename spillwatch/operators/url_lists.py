@@ -12,6 +12,7 @@ from ..functions import urls as u
 from .settle import settle
 
 PREVIEW_ROWS = 20
+MAX_SORTED_IN_MEMORY = 10_000
 
 
 def union_tools(*feeds: DataFrame) -> DataFrame:
@@ -86,9 +87,20 @@ def with_position(df: DataFrame, *order: str | Column, name: str = "position", s
     return numbered.select(*df.columns, (F.col("_at") + F.col("_offset") + F.lit(1 + start)).alias(name))
 
 
+def _slice(df: DataFrame, first: int, last: int, order: str) -> DataFrame:
+    """Rows ``first`` to ``last`` (1-based) in ``order``."""
+    if last < first:
+        return df.limit(0)
+    if last <= MAX_SORTED_IN_MEMORY:
+        return df.orderBy(order).offset(first - 1).limit(last - first + 1)
+    # A sorted limit is brought together in one task, so a long one is cut by position instead.
+    placed = with_position(df, order, name="_position")
+    return placed.where(F.col("_position").between(first, last)).drop("_position")
+
+
 def take_first(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     """The first ``n`` rows; all of them when there are fewer, none below 1."""
-    return df.orderBy(order).limit(max(n, 0))
+    return _slice(df, 1, n, order)
 
 
 def parse_range(text: str) -> tuple[int | None, int | None]:
@@ -108,8 +120,7 @@ def take_range(df: DataFrame, text: str, order: str = "ord") -> DataFrame:
     first, last = parse_range(text)
     if first is None:
         return df
-    count = max(last - first + 1, 0)
-    return df.orderBy(order).offset(first - 1).limit(count)
+    return _slice(df, first, last, order)
 
 
 def preview(urls: DataFrame, rows: int = PREVIEW_ROWS, order: str = "ord") -> DataFrame:

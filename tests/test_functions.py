@@ -242,7 +242,7 @@ def test_ranges(given, expected):
     assert url_lists.parse_range(given) == expected
 
 
-def test_slices(spark):
+def test_slices(spark, monkeypatch):
     df = spark.createDataFrame([(f"u{n}", n) for n in range(10, 0, -1)], "url string, ord bigint")
 
     def taken(frame):
@@ -254,6 +254,9 @@ def test_slices(spark):
     assert taken(url_lists.take_range(df, "9-50")) == [9, 10]
     assert taken(url_lists.take_range(df, "5-3")) == []
     assert len(taken(url_lists.take_range(df, "all"))) == 10
+    monkeypatch.setattr(url_lists, "MAX_SORTED_IN_MEMORY", 2)
+    assert sorted(taken(url_lists.take_first(df, 3))) == [1, 2, 3]
+    assert sorted(taken(url_lists.take_range(df, "9-50"))) == [9, 10]
     numbered = url_lists.with_position(df, "ord", name="n", start=100)
     assert sorted((r["ord"], r["n"]) for r in numbered.collect()) == [(n, 100 + n) for n in range(1, 11)]
 
