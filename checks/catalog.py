@@ -17,7 +17,7 @@ from spillwatch.operators.settle import shared_folder
 from spillwatch.plans.balance import spread
 from spillwatch.plans.endpoints import scan_endpoints
 from spillwatch.plans.secrets import scan_both, scan_secrets, surviving_matches
-from spillwatch.rules import RuleSet, built_in
+from spillwatch.rules import built_in
 from spillwatch.rules.families import FAMILIES
 from spillwatch.sources import readers, writers
 from spillwatch.streaming import streams

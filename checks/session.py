@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from spillwatch.streaming.streams import STATE_STORE_SETTINGS
+
 # The JVM regex matcher recurses; executors of a cluster want the same setting.
 JAVA_OPTIONS = "-Xss16m"
 
@@ -22,7 +24,7 @@ def local_session(cores: str | None = None, **settings: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in settings.items():
+    for key, value in {**STATE_STORE_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

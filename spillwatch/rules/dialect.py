@@ -79,6 +79,7 @@ def _class_to_java(body: str) -> str:
     return "[" + ("^" if negated else "") + "".join(out) + "]"
 
 
+_LONG_ESCAPE = re.compile(r"\\Q.*?(?:\\E|$)|\\x\{[0-9A-Fa-f]+\}|\\[pP]\{\^?\w+\}", re.S)
 _WORD = re.compile(r"[0-9A-Za-z_]+")
 _COUNT = re.compile(r"\{(\d+)(,(\d*))?\}|[*+?]")
 
@@ -113,6 +114,8 @@ def _word_opening(rest: str) -> tuple[str, int]:
     low, high = int(count.group(1)) - 1, count.group(3)
     if int(high or 0) > MAX_REPEAT_COUNT or low >= MAX_REPEAT_COUNT:
         raise UnsupportedRegex("repeat count above 1000")
+    if rest[count.end() : count.end() + 1] == "+":
+        raise UnsupportedRegex("possessive repeat")
     more = "" if count.group(2) is None else "," + (str(int(high) - 1) if high else "")
     return f"{atom}{check}{atom}{{{low}{more}}}", count.end()
 
@@ -132,6 +135,11 @@ def to_java(regex: str) -> str:
                 raise UnsupportedRegex("back-reference")
             if pair[1] in "CZG":
                 raise UnsupportedRegex(f"escape {pair}")
+            whole = _LONG_ESCAPE.match(regex, i)
+            if whole:
+                out.append(whole.group(0))
+                i = whole.end()
+                continue
             if pair == "\\b":
                 opening, length = _word_opening(regex[i + 2 :])
                 if opening:
@@ -189,6 +197,14 @@ def to_java(regex: str) -> str:
     return "".join(out)
 
 
+def _for_parser(regex: str) -> str:
+    """The rule with the constructs that Python's own parser spells differently."""
+    regex = re.sub(r"\\Q(.*?)(?:\\E|$)", lambda m: re.escape(m.group(1)), regex, flags=re.S)
+    regex = re.sub(r"\\x\{([0-9A-Fa-f]{1,8})\}", lambda m: f"\\U{int(m.group(1), 16):08x}", regex)
+    regex = re.sub(r"\[:(\w+):\]", lambda m: POSIX_CLASSES.get(m.group(1), m.group(0)), regex)
+    return re.sub(r"\(\?<(?=\w)", "(?P<", regex).replace(r"\z", r"\Z")
+
+
 def parse(regex: str):
     """(case-insensitive?, parse tree); raises ``re.error`` when it does not compile."""
     flags = 0
@@ -197,7 +213,7 @@ def parse(regex: str):
         regex = regex[lead.end() :]
         for letter in lead.group(1):
             flags |= {"i": re.I, "m": re.M, "s": re.S}[letter]
-    return bool(flags & re.I), sre_parse.parse(regex.replace(r"\z", r"\Z"), flags)
+    return bool(flags & re.I), sre_parse.parse(_for_parser(regex), flags)
 
 
 def _is_repeat(op) -> bool:

@@ -16,7 +16,6 @@ TEXT6 = r"[^\s'\"]{6,128}"
 B64_40 = r"[A-Za-z0-9/+=]{40,512}"
 HEX32 = r"[a-f0-9]{32,64}"
 NAME = r"[A-Za-z0-9][A-Za-z0-9._\-]{2,127}"
-DIGITS = r"\d{6,18}"
 
 # Kind -> (words of the key name, value format, severity, confidence).
 KINDS = {

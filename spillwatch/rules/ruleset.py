@@ -16,7 +16,6 @@ from .families import ENTROPY_FLOOR, FAMILIES, KINDS, assignment
 
 DEFAULT_SEVERITY = "medium"
 DEFAULT_CONFIDENCE = 75
-SEVERITIES = ("critical", "high", "medium", "low")
 
 # A rule table is metadata. It is collected to compile it, but never past this many rows.
 MAX_RULES = 200_000

@@ -19,8 +19,7 @@ except ImportError:
 
 # A pack is a text of a few hundred kilobytes; anything larger is no rule pack.
 MAX_PACK_BYTES = 16 << 20
-# Other scanners whose findings can be taken in.
-EXTERNAL_DETECTORS = ("gitleaks", "jsluice", "trufflehog")
+# Fixed values of the output of an external endpoint scanner.
 LINK_SOURCE = "LinkFinder"
 HEADER_PREFIX = "Running"
 MANIFEST_LINE = r"(?s)^([^|]*)\|(.*)$"

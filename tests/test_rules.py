@@ -142,7 +142,7 @@ def test_valid_keyword(spark, keyword, valid):
 
 
 @pytest.mark.parametrize(
-    "regex", [r"(?=a)b", r"(?<!a)b", r"(a)\1", r"a{1001}", r"a*+", r"(?U)a", r"[unclosed", "a\\", r"\Ca", r"(?>a)"]
+    "regex", [r"(?=a)b", r"(?<!a)b", r"(a)\1", r"a{1001}", r"a*+", r"(?U)a", r"[unclosed", r"\b[a-z]{2}+x", "a\\", r"\Ca", r"(?>a)"]
 )
 def test_unsupported_constructs_are_refused(regex):
     with pytest.raises(ValueError):
@@ -169,6 +169,14 @@ def test_unsupported_constructs_are_refused(regex):
         (r"\Ba", "aa ba"),
         (r"(?P<n>a)b", "ab"),
         (r"(?i)straße", "STRAße"),
+        (r"\Qa.b$\E+", "a.b$$ axb"),
+        (r"[\x{e9}z]+\x{e9}", "zéé"),
+        (r"\b[a-z]{2,3}?x", "abxcx é-abcx"),
+        (r"(?i:AB)c", "aBc abC"),
+        (r"\b(AKIA[0-9]{2})\b|\bzz", "AKIA12 zz xzz"),
+        (r"\bab+c", "abbc xabc"),
+        (r"\b_x", "a_x -_x"),
+        (r"\b-a", "x-a -a"),
     ],
 )
 def test_translation_matches_the_original(spark, regex, text):

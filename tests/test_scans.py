@@ -170,6 +170,12 @@ def test_url_lists(spark, tmp_path):
     assert found(readers.read_url_lists(spark, str(tmp_path), js_only=True), "url") == [("https://h/a.js",), ("https://h/c.js",)]
 
 
+def test_external_endpoint_output(spark, tmp_path):
+    (tmp_path / "a.js").write_text("Running against: a.js\n  /api/x \n\n/api/x\n")
+    rows = readers.ingest_external_endpoints(spark, str(tmp_path / "a.js"))
+    assert found(rows, "path", "method", "file", "source") == [("/api/x", "GET", "a.js", "LinkFinder")] * 2
+
+
 def test_read_files(spark, tmp_path):
     (tmp_path / "a b+c.js").write_text("one\ntwo")
     (tmp_path / "b.txt").write_text("three")
