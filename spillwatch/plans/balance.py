@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def spread(files: DataFrame, key: str = "file") -> DataFrame:
-    """Repartition by ``key`` only when the input is too small to give every core a split.
+    """Repartition by ``key`` only when the input holds less than one minimal file split per core.
 
-    The decision reads the plan's size estimate and runs nothing. An input with enough splits is
+    The decision reads the plan's size estimate and runs nothing. Larger inputs are
     left alone, so at scale no text is shuffled.
     """
     spark = files.sparkSession
@@ -17,5 +17,5 @@ def spread(files: DataFrame, key: str = "file") -> DataFrame:
         cores = spark.sparkContext.defaultParallelism
     except Exception:  # a remote session shows neither
         return files
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("bB") or 0)
+    split = int(str(spark.conf.get("spark.sql.files.openCostInBytes")).rstrip("bB") or 0)
     return files.repartition(2 * cores, key) if size < cores * split else files

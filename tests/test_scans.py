@@ -118,7 +118,7 @@ def test_equal_texts_scanned_once_give_the_same(spark):
 def test_text_is_not_shuffled_at_scale(spark, sf_dir):
     """With enough splits the only exchange carries matches, and nothing sorts or nests loops."""
     docs = readers.files_from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
     try:
         plan = scan_secrets(docs)._jdf.queryExecution().executedPlan().toString()
         exchanges = [line for line in plan.splitlines() if " Exchange" in line or "-Exchange" in line]
@@ -128,7 +128,7 @@ def test_text_is_not_shuffled_at_scale(spark, sf_dir):
         endpoint_plan = scan_endpoints(docs)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in endpoint_plan
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_endpoint_dedupe_across_rows(spark):
