@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat
-from .common import table
+from . import chat, line_dedup, quality
+from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -65,3 +65,34 @@ from sized group by conv_id
 @query("op10_chat_examples", CHAT_SQL)
 def _(spark, sf_dir):
     return chat.round_trip(conversations_with_planted(spark, sf_dir))
+
+
+_BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES_SQL = f"""
+with split as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), numbered as (
+  select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from split
+), keyed as (
+  select *, translate(trim(line, {_BLANKS_SQL}), '{UPPER}', '{LOWER}') as key from numbered
+), repeated as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= {line_dedup.MIN_CHARS}
+  group by key having count(distinct doc_id) >= {line_dedup.MIN_DOCS}
+), judged as (
+  select doc_id, pos, line, keeper is not null and doc_id <> keeper as gone from keyed left join repeated using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def _(spark, sf_dir):
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+@query("op8_quality")
+def _(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
