@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, quality
+from . import chat, line_dedup, phrase_prints, quality
 from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def _(spark, sf_dir):
 @query("op8_quality")
 def _(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
+@query("op7_phrase_prints")
+def _(spark, sf_dir):
+    return phrase_prints.neighbour_prints(table(spark, sf_dir, "documents"))
