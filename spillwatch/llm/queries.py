@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, phrase_prints, quality
+from . import chat, line_dedup, packing, phrase_prints, quality
 from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def _(spark, sf_dir):
 @query("op7_phrase_prints")
 def _(spark, sf_dir):
     return phrase_prints.neighbour_prints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def _(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
