@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, phrase_prints, quality
+from . import chat, line_dedup, packing, phrase_prints, quality, shingle_join
 from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
@@ -106,3 +108,8 @@ def _(spark, sf_dir):
 @query("op3_packing")
 def _(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op2_shingle_join")
+def _(spark, sf_dir):
+    return shingle_join.linked_components(table(spark, sf_dir, "documents"), words=3, threshold=Fraction(9, 10))
