@@ -18,7 +18,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -194,5 +193,3 @@ def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

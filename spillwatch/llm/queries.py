@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, phrase_prints, quality, shingle_join
+from . import chat, line_dedup, packing, passages, phrase_prints, quality, shingle_join
 from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
@@ -113,3 +113,8 @@ def _(spark, sf_dir):
 @query("op2_shingle_join")
 def _(spark, sf_dir):
     return shingle_join.linked_components(table(spark, sf_dir, "documents"), words=3, threshold=Fraction(9, 10))
+
+
+@query("op6_repeated_passages")
+def _(spark, sf_dir):
+    return passages.digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
