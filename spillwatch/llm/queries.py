@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, passages, phrase_prints, quality, shingle_join
+from . import chat, decontam, line_dedup, packing, passages, phrase_prints, quality, shingle_join
 from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
@@ -118,3 +118,8 @@ def _(spark, sf_dir):
 @query("op6_repeated_passages")
 def _(spark, sf_dir):
     return passages.digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op4_decontamination")
+def _(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -166,6 +166,18 @@ def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
+def folded(raw: bytes, bits: int) -> np.ndarray:
+    """A bitmap brought to a smaller width: neighbouring parities add up."""
+    wide = np.frombuffer(raw, np.uint8)
+    while 8 * len(wide) > bits:
+        wide = np.packbits(np.bitwise_xor.reduce(np.unpackbits(wide).reshape(-1, 2), axis=1))
+    return wide.view(np.uint64)
+
+
+def most_overlap(n: int, m: int, a: np.ndarray, b: np.ndarray) -> int:
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 # ------------------------------------------------------------------ stages
 
 
@@ -232,13 +244,51 @@ def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", how)
 
 
-def _candidate_sets(docs: DataFrame, words: int) -> DataFrame:
+def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
+    """``node, n, map``, a bitmap of the width of the set's band."""
+
     def work(batches):
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), words)
-            yield pd.DataFrame({"node": batch["doc"], "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+            maps = [bitmap(s, bitmap_bits(max(1, len(s)))).tobytes() for s in sets]
+            yield pd.DataFrame({"node": batch["doc"], "n": [len(s) for s in sets], "map": maps})
+
+    return docs.mapInPandas(work, "node long, n int, map binary")
+
+
+def _sets_of(docs: DataFrame, words: int) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            sets = shingle_sets(batch["text"].tolist(), words)
+            yield pd.DataFrame({"node": batch["doc"], "hashes": [s.tobytes() for s in sets]})
+
+    return docs.mapInPandas(work, "node long, hashes binary")
+
+
+def _allowed(pairs: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs that sizes and bitmaps allow to be links."""
+    sizes = maps.select("node", "n")
+    side = lambda df, c: df.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in df.columns[1:]))
+    near = pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
+    near = near.filter(F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator).select("a", "b")
+
+    @F.pandas_udf("boolean")
+    def allowed(n_a: pd.Series, map_a: pd.Series, n_b: pd.Series, map_b: pd.Series) -> pd.Series:
+        return pd.Series([
+            most_overlap(n, m, folded(a, m_bits), folded(b, m_bits)) * t.denominator
+            >= (n + m - most_overlap(n, m, folded(a, m_bits), folded(b, m_bits))) * t.numerator
+            for n, a, m, b in zip(n_a, map_a, n_b, map_b)
+            for m_bits in (8 * min(len(a), len(b)),)
+        ])
+
+    full = near.join(side(maps, "a"), "a").join(side(maps, "b"), "b")
+    return full.filter(allowed("n_a", "map_a", "n_b", "map_b")).select("a", "b").distinct()
+
 
-    return docs.mapInPandas(work, "node long, n int, hashes binary")
+def _verified_texts(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """As ``_verified``, with the sets of these pairs' nodes made from their texts."""
+    ids = stored(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "compared-nodes")
+    return _verified(pairs, stored(_sets_of(_chosen(texts, ids, "inner"), words), "compared-sets"), t)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -295,7 +345,7 @@ def forest_of_tile(rows: pd.DataFrame, t: Fraction, tried: set):
     two = len(set(block.tolist())) > 1
     band = min(int(x).bit_length() - 1 for x in n)
     bits = bitmap_bits(1 << band)
-    maps = np.stack([bitmap(np.frombuffer(h, np.uint64), bits) for h in rows["hashes"]])
+    maps = np.stack([folded(m, bits) for m in rows["map"]])
     forest, out = _Forest(), []
     for i in range(len(rows) - 1):
         hi = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, side="right"))
@@ -314,7 +364,7 @@ def forest_of_tile(rows: pd.DataFrame, t: Fraction, tried: set):
     return out
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, compared: DataFrame, t: Fraction) -> DataFrame:
+def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared: DataFrame, t: Fraction) -> DataFrame:
     """Pairs that must still be compared, of prints that join several components."""
     labelled = shared.select("print", "node").join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
     mixed_prints = (
@@ -331,7 +381,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, compared:
     # Pairs tried before travel with their tiles' smaller node.
     tried = compared.select(F.col("a").alias("node"), "b").unionByName(compared.select(F.col("b").alias("node"), F.col("a").alias("b")))
     tried = tried.groupBy("node").agg(F.collect_set("b").alias("tried"))
-    full = tiles.join(sets.groupBy("node").agg(F.min("n").alias("n"), F.min("hashes").alias("hashes")), "node").join(tried, "node", "left")
+    full = tiles.join(maps, "node").join(tried, "node", "left")
 
     def work(batches):
         held, key = [], None
@@ -371,20 +421,20 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
     dealt = _dealt(nodes, words, threshold).repartition(n, "print").sortWithinPartitions("print", "node")
     shared = stored(dealt.mapInPandas(_with_centres, "print long, node long, centre long").distinct(), "shared-prints")
     candidates = stored(shared.select(F.col("node").alias("doc")).distinct(), "candidates")
-    sets = stored(_candidate_sets(_chosen(texts, candidates, "inner"), words), "candidate-sets")
+    maps = stored(_bitmaps(_chosen(texts, candidates, "inner"), words), "bitmaps")
 
     best = (
         shared.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
         .groupBy("node").agg(F.max(F.struct("n", (-F.xxhash64("centre")).alias("h"), "centre")).alias("best"))
         .select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
     )
-    compared = _verified(best, sets, threshold)
+    compared = _verified_texts(stored(_allowed(best, maps, threshold), "first-pairs"), texts, words, threshold)
     while True:
         labels = components(compared.filter("linked").select("a", "b"))
-        pairs = stored(_open_pairs(shared, labels, sets, compared, threshold), "open-pairs")
+        pairs = stored(_open_pairs(shared, labels, maps, compared, threshold), "open-pairs")
         if pairs.isEmpty():
             break
-        compared = compared.unionByName(_verified(pairs, sets, threshold))
+        compared = compared.unionByName(_verified_texts(pairs, texts, words, threshold))
     by_set = repeated.select("f1", "f2", "node", F.lit(True).alias("known"))
     named = rows.join(by_set.drop("known"), ["f1", "f2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "doc")).otherwise(F.col("doc")))
     placed = named.join(labels, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc")))
