@@ -239,7 +239,7 @@ def _with_centres(batches):
         last, centre, waiting = key[-1], own[-1], not tail_shared
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs`` whose ``doc`` is (not) among ``ids``; texts are not shuffled while the numbers are few."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", how)
 
@@ -288,7 +288,7 @@ def _allowed(pairs: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
 def _verified_texts(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
     """As ``_verified``, with the sets of these pairs' nodes made from their texts."""
     ids = stored(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "compared-nodes")
-    return _verified(pairs, stored(_sets_of(_chosen(texts, ids, "inner"), words), "compared-sets"), t)
+    return _verified(pairs, stored(_sets_of(chosen(texts, ids, "inner"), words), "compared-sets"), t)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -416,12 +416,12 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
     repeated = stored(equal.filter("copies > 1"), "equal-sets")
     # Copies of a set, all but the first, have no part in the join between sets.
     copies = rows.join(repeated.drop("copies"), ["f1", "f2"]).filter(F.col("doc") != F.col("node")).select("doc").distinct()
-    nodes = _chosen(texts, stored(copies, "copies"), "left_anti")
+    nodes = chosen(texts, stored(copies, "copies"), "left_anti")
     n = partitions_of(docs.sparkSession)
     dealt = _dealt(nodes, words, threshold).repartition(n, "print").sortWithinPartitions("print", "node")
     shared = stored(dealt.mapInPandas(_with_centres, "print long, node long, centre long").distinct(), "shared-prints")
     candidates = stored(shared.select(F.col("node").alias("doc")).distinct(), "candidates")
-    maps = stored(_bitmaps(_chosen(texts, candidates, "inner"), words), "bitmaps")
+    maps = stored(_bitmaps(chosen(texts, candidates, "inner"), words), "bitmaps")
 
     best = (
         shared.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
