@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, packing, passages, phrase_prints, quality, shingle_join
+from . import chat, decontam, licenses, line_dedup, packing, passages, phrase_prints, quality, shingle_join
 from .common import LOWER, UPPER, table
 
 QUERIES: dict = {}
@@ -123,3 +123,8 @@ def _(spark, sf_dir):
 @query("op4_decontamination")
 def _(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_licenses")
+def _(spark, sf_dir):
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
