@@ -6,8 +6,8 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, line_dedup, packing, passages, phrase_prints, quality, shingle_join
-from .common import LOWER, UPPER, table
+from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, shingle_join
+from .common import LOWER, UPPER, new_folder, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -128,3 +128,10 @@ def _(spark, sf_dir):
 @query("op9_licenses")
 def _(spark, sf_dir):
     return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op1_id_blocks")
+def _(spark, sf_dir):
+    folder = new_folder(spark, "ids")
+    id_files.write_ids(table(spark, sf_dir, "documents"), folder)
+    return id_files.read_ids(spark, folder)
