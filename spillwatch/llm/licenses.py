@@ -38,17 +38,20 @@ TEMPLATES = {
         "this project is licensed under the terms of the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
         "spdx license identifier mit",
+        "the mit license",
     ],
     "apache-2.0": [
         "licensed under the apache license version 2.0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0",
         "distributed under the apache license 2.0",
+        "apache license version 2.0",
         "spdx license identifier apache 2.0",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
         "released under the gnu general public license version 2",
+        "the gnu general public license",
         "spdx license identifier gpl 3.0 or later",
     ],
     "lgpl": [
@@ -186,9 +189,10 @@ class Model:
     def similarity(self, family: str, pairs: set[int]) -> float:
         best = 0.0
         for own in self.templates[family]:
-            size = min(len(own), len(pairs))
-            if size >= 2:
-                best = max(best, len(own & pairs) / size)
+            both = len(own & pairs)
+            # Two pairs say too little, unless they are the whole template.
+            if both >= 3 or both == len(own) >= 2:
+                best = max(best, both / min(len(own), len(pairs)))
         return best
 
     def scan(self, texts: list[str]):

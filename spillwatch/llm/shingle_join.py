@@ -77,7 +77,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(data)) - np.repeat((ends[:-1] // span) * span, np.diff(ends))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[place], dtype=np.uint64)])
     raw = (sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1] % span]
-    return mixed(raw + np.diff(ends).astype(np.uint64)), firsts
+    hashes = mixed(raw + np.diff(ends).astype(np.uint64))
+    # White space at an end of a text makes an empty piece there.
+    real = ends[1:] > ends[:-1]
+    return hashes[real], np.concatenate([[0], np.cumsum(real)])[firsts - firsts[0]]
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
