@@ -11,9 +11,11 @@ Sets are 64-bit hashes of shingles, sorted. Equal sets are folded into one node,
 3. Whatever fingerprint still joins nodes of several components goes on: its nodes are compared by bitmaps, in which a bit is the parity of the
    hashes that fall on it. Differing bits count differing hashes at most once, so they bound the overlap from above. Of the pairs
    that pass, a spanning forest is compared exactly, by intersecting the sorted arrays. This repeats, without pairs already
-   compared, until no pair of different components is left. Groups beyond ``BLOCK`` nodes are cut into pairs of blocks.
+   compared and with ``MORE_PAIRS`` times as many of every two components, until no pair of different components is left, which takes a few
+   rounds. Groups beyond ``BLOCK`` nodes are cut into pairs of blocks.
 
-So no pair of a group is written out unless its comparison may join two components, and the components are exact.
+So no pair of a group is written out unless its comparison may join two components, and the components are exact. Pairs of texts just below
+the threshold that nothing else connects must all be compared; there the work follows the number of such pairs.
 
 Defined cases: null text is empty; an empty set is linked with nothing; rows that share a ``doc_id`` count as one document with the links of all
 its texts; null ``doc_id`` is such an id, the smallest, and comes back as null; repeated rows are equal sets; an empty table gives no rows; other
@@ -38,6 +40,7 @@ from .components import components
 NO_ID = -(2**63)
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 BLOCK = 1024
+MORE_PAIRS = 16
 # Rows of document numbers that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 SLAB_CHARS = 4_000_000
@@ -340,8 +343,9 @@ class _Forest:
         return x != y
 
 
-def forest_of_tile(rows: pd.DataFrame, t: Fraction, tried: set):
-    """Pairs of nodes of different components whose bitmaps allow a link, a spanning forest of them."""
+def pairs_of_tile(rows: pd.DataFrame, t: Fraction, tried: set, each: int):
+    """Untried pairs of nodes of different components whose bitmaps allow a link: a spanning forest of them if ``each`` is 1, else up to
+    ``each`` of every two components."""
     rows = rows.sort_values(["n", "node"])
     node, comp, n = (rows[c].to_numpy() for c in ("node", "component", "n"))
     block = rows["block"].to_numpy()
@@ -350,6 +354,7 @@ def forest_of_tile(rows: pd.DataFrame, t: Fraction, tried: set):
     bits = bitmap_bits(1 << band)
     maps = np.stack([folded(m, bits) for m in rows["map"]])
     forest, out = _Forest(), []
+    taken: dict[tuple[int, int], int] = {}
     for i in range(len(rows) - 1):
         hi = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, side="right"))
         if hi <= i + 1:
@@ -362,12 +367,20 @@ def forest_of_tile(rows: pd.DataFrame, t: Fraction, tried: set):
             passes &= block[i + 1 : hi] != block[i]
         for j in (np.flatnonzero(passes) + i + 1).tolist():
             pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
-            if pair not in tried and forest.join(int(comp[i]), int(comp[j])):
+            if pair in tried:
+                continue
+            if each == 1:
+                if forest.join(int(comp[i]), int(comp[j])):
+                    out.append(pair)
+                continue
+            two_comps = (int(min(comp[i], comp[j])), int(max(comp[i], comp[j])))
+            taken[two_comps] = taken.get(two_comps, 0) + 1
+            if taken[two_comps] <= each:
                 out.append(pair)
     return out
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared: DataFrame, t: Fraction) -> DataFrame:
+def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared: DataFrame, t: Fraction, each: int) -> DataFrame:
     """Pairs that must still be compared, of prints that join several components."""
     labelled = shared.select("print", "node").join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
     mixed_prints = (
@@ -392,7 +405,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared:
         def done():
             rows = pd.concat(held)
             seen = {(min(a, b), max(a, b)) for a, bs in zip(rows["node"], rows["tried"]) if bs is not None for b in bs}
-            return pd.DataFrame(forest_of_tile(rows, t, seen), columns=["a", "b"])
+            return pd.DataFrame(pairs_of_tile(rows, t, seen, each), columns=["a", "b"])
 
         for batch in batches:
             keys = list(zip(batch["print"].tolist(), batch["i"].tolist(), batch["j"].tolist()))
@@ -432,12 +445,14 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
         .select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
     )
     compared = _verified_texts(stored(_allowed(best, maps, threshold), "first-pairs"), texts, words, threshold)
+    each = 1
     while True:
         labels = components(compared.filter("linked").select("a", "b"))
-        pairs = stored(_open_pairs(shared, labels, maps, compared, threshold), "open-pairs")
+        pairs = stored(_open_pairs(shared, labels, maps, compared, threshold, each), "open-pairs")
         if pairs.isEmpty():
             break
         compared = compared.unionByName(_verified_texts(pairs, texts, words, threshold))
+        each *= MORE_PAIRS
     by_set = repeated.select("f1", "f2", "node", F.lit(True).alias("known"))
     named = rows.join(by_set.drop("known"), ["f1", "f2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "doc")).otherwise(F.col("doc")))
     placed = named.join(labels, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc")))
