@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
@@ -343,40 +344,37 @@ class _Forest:
         return x != y
 
 
-def pairs_of_tile(rows: pd.DataFrame, t: Fraction, tried: set, each: int):
+def pairs_of_tile(rows: list[tuple], t: Fraction, each: int):
     """Untried pairs of nodes of different components whose bitmaps allow a link: a spanning forest of them if ``each`` is 1, else up to
-    ``each`` of every two components."""
-    rows = rows.sort_values(["n", "node"])
-    node, comp, n = (rows[c].to_numpy() for c in ("node", "component", "n"))
-    block = rows["block"].to_numpy()
-    two = len(set(block.tolist())) > 1
-    band = min(int(x).bit_length() - 1 for x in n)
-    bits = bitmap_bits(1 << band)
-    maps = np.stack([folded(m, bits) for m in rows["map"]])
+    ``each`` of every two components. ``rows``: size, node, component, block, bitmap and the nodes it was compared with."""
+    rows.sort(key=lambda r: r[:2])
+    sizes = [r[0] for r in rows]
+    bits = bitmap_bits(1 << (sizes[0].bit_length() - 1))
+    blocks = len({r[3] for r in rows}) > 1
+    maps = None
     forest, out = _Forest(), []
     taken: dict[tuple[int, int], int] = {}
     for i in range(len(rows) - 1):
-        hi = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, side="right"))
-        if hi <= i + 1:
+        n, node, comp, block, _, tried = rows[i]
+        hi = bisect_right(sizes, n * t.denominator // t.numerator)
+        if hi <= i + 1 or all(r[2] == comp for r in rows[i + 1 : hi]):
             continue
-        differing = np.bitwise_count(maps[i + 1 : hi] ^ maps[i]).sum(axis=1).astype(np.int64)
-        overlap = (n[i] + n[i + 1 : hi] - differing) // 2
-        union = n[i] + n[i + 1 : hi] - overlap
-        passes = (overlap * t.denominator >= union * t.numerator) & (comp[i + 1 : hi] != comp[i])
-        if two:
-            passes &= block[i + 1 : hi] != block[i]
-        for j in (np.flatnonzero(passes) + i + 1).tolist():
-            pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
-            if pair in tried:
+        if maps is None:
+            maps = np.stack([folded(r[4], bits) for r in rows])
+        m = np.array(sizes[i + 1 : hi])
+        overlap = (n + m - np.bitwise_count(maps[i + 1 : hi] ^ maps[i]).sum(axis=1).astype(np.int64)) // 2
+        for j in (np.flatnonzero(overlap * t.denominator >= (n + m - overlap) * t.numerator) + i + 1).tolist():
+            _, other, other_comp, other_block, _, other_tried = rows[j]
+            if comp == other_comp or (blocks and block == other_block) or other in tried or node in other_tried:
                 continue
             if each == 1:
-                if forest.join(int(comp[i]), int(comp[j])):
-                    out.append(pair)
+                if forest.join(comp, other_comp):
+                    out.append((min(node, other), max(node, other)))
                 continue
-            two_comps = (int(min(comp[i], comp[j])), int(max(comp[i], comp[j])))
-            taken[two_comps] = taken.get(two_comps, 0) + 1
-            if taken[two_comps] <= each:
-                out.append(pair)
+            two = (min(comp, other_comp), max(comp, other_comp))
+            taken[two] = taken.get(two, 0) + 1
+            if taken[two] <= each:
+                out.append((min(node, other), max(node, other)))
     return out
 
 
@@ -399,28 +397,23 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared:
     tried = tried.groupBy("node").agg(F.collect_set("b").alias("tried"))
     full = tiles.join(maps, "node").join(tried, "node", "left")
 
+    columns = ["print", "i", "j", "n", "node", "component", "block", "map", "tried"]
+
     def work(batches):
         held, key = [], None
-
-        def done():
-            rows = pd.concat(held)
-            seen = {(min(a, b), max(a, b)) for a, bs in zip(rows["node"], rows["tried"]) if bs is not None for b in bs}
-            return pd.DataFrame(pairs_of_tile(rows, t, seen, each), columns=["a", "b"])
-
         for batch in batches:
-            keys = list(zip(batch["print"].tolist(), batch["i"].tolist(), batch["j"].tolist()))
-            starts = [0] + [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)]
-            for lo, hi in zip(starts, starts[1:]):
-                if keys and keys[lo] != key:
-                    if held:
-                        yield done()
-                    held, key = [], keys[lo]
-                held.append(batch.iloc[lo:hi])
-        if held:
-            yield done()
+            found = []
+            for row in zip(*(batch[c].tolist() for c in columns)):
+                if row[:3] != key:
+                    found += [(key[0], *pair) for pair in pairs_of_tile(held, t, each)] if len(held) > 1 else []
+                    held, key = [], row[:3]
+                held.append((*row[3:8], frozenset(row[8].tolist()) if row[8] is not None else frozenset()))
+            yield pd.DataFrame(found, columns=["print", "a", "b"])
+        if len(held) > 1:
+            yield pd.DataFrame([(key[0], *pair) for pair in pairs_of_tile(held, t, each)], columns=["print", "a", "b"])
 
     n = partitions_of(shared.sparkSession)
-    return full.repartition(n, "print", "i", "j").sortWithinPartitions("print", "i", "j").mapInPandas(work, "a long, b long").distinct()
+    return full.repartition(n, "print", "i", "j").sortWithinPartitions("print", "i", "j").mapInPandas(work, "print long, a long, b long")
 
 
 def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -448,9 +441,12 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
     each = 1
     while True:
         labels = components(compared.filter("linked").select("a", "b"))
-        pairs = stored(_open_pairs(shared, labels, maps, compared, threshold, each), "open-pairs")
-        if pairs.isEmpty():
+        found = stored(_open_pairs(shared, labels, maps, compared, threshold, each), "open-pairs")
+        if found.isEmpty():
             break
+        pairs = found.select("a", "b").distinct()
+        # A print without such a pair now has none later.
+        shared = shared.join(found.select("print").distinct(), "print", "left_semi")
         compared = compared.unionByName(_verified_texts(pairs, texts, words, threshold))
         each *= MORE_PAIRS
     by_set = repeated.select("f1", "f2", "node", F.lit(True).alias("known"))
