@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from spillwatch.functions import fetch, keywords, text, urls
 from spillwatch.operators import detectors, endpoints, matching, pages, reports, resume, rule_tables, url_lists
 from spillwatch.operators.settle import shared_folder
-from spillwatch.plans.balance import spread
 from spillwatch.plans.endpoints import scan_endpoints
 from spillwatch.plans.secrets import scan_both, scan_secrets, surviving_matches
 from spillwatch.rules import built_in
@@ -105,7 +104,7 @@ def published(findings: DataFrame) -> DataFrame:
 
 def _url_round_trip(spark, sf, js_only=False):
     folder = scratch(spark, "urls")
-    url_lists.clean_urls(feed(spark, sf)).coalesce(1).select(F.col("url").alias("value")).write.text(folder)
+    url_lists.clean_urls(feed(spark, sf)).select(F.col("url").alias("value")).write.text(folder)
     return readers.read_url_lists(spark, folder, js_only).select("url")
 
 
@@ -330,7 +329,7 @@ def _(spark, sf):
     """In how many files the keyword of each rule occurs."""
     rules = built_in()
     words = rules.df(spark).select("ord", F.lower("keyword").alias("keyword"))
-    pairs = matching.prefilter(spread(files(spark, sf)), rules).join(F.broadcast(words), "ord")
+    pairs = matching.prefilter(files(spark, sf), rules).join(F.broadcast(words), "ord")
     return pairs.groupBy("keyword").agg(F.countDistinct("file").alias("files"))
 
 
@@ -469,12 +468,12 @@ ASSIGNMENTS = built_in().by_tag("assignment")
  select file, cast(ord as integer) as ord from hits join k using (keyword)""",
 )
 def _(spark, sf):
-    return matching.prefilter(spread(files(spark, sf)), built_in())
+    return matching.prefilter(files(spark, sf), built_in())
 
 
 @query("e02_match_rules", f"with files as materialized ({i.FILES_SQL}) select file, ord, pos, value from ({o.found(FAST, distinct=False, position=True)})")
 def _(spark, sf):
-    return matching.match_rules(matching.candidates(spread(files(spark, sf)), FAST))
+    return matching.match_rules(matching.candidates(files(spark, sf), FAST))
 
 
 @query(
@@ -484,7 +483,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return spread(docs.select("doc_id", "text"), "doc_id").select(
+    return docs.select("doc_id", "text").select(
         "doc_id", F.round(text.shannon_entropy(F.col("text")), 6).alias("entropy")
     )
 
@@ -498,19 +497,19 @@ def _(spark, sf):
 
 @query("e05_entropy_filter", f"{o.surviving(ENTROPIC, placeholders=False)} select file, value, rank from kept")
 def _(spark, sf):
-    found = matching.candidates(spread(files(spark, sf)), ENTROPIC)
+    found = matching.candidates(files(spark, sf), ENTROPIC)
     return matching.entropy_filter(matching.distinct_matches(found)).select("file", "value", "rank")
 
 
 @query("e06_false_positive_filter", f"{o.surviving(ASSIGNMENTS, entropy=False)} select file, value, rank from kept")
 def _(spark, sf):
-    found = matching.candidates(spread(files(spark, sf)), ASSIGNMENTS)
+    found = matching.candidates(files(spark, sf), ASSIGNMENTS)
     return matching.false_positive_filter(matching.distinct_matches(found)).select("file", "value", "rank")
 
 
 @query("e07_dedupe_matches", f"{o.surviving(built_in())} select file, value, min(rank) as rank from kept group by file, value")
 def _(spark, sf):
-    return matching.dedupe_matches(surviving_matches(spread(files(spark, sf)), built_in())).select("file", "value", "rank")
+    return matching.dedupe_matches(surviving_matches(files(spark, sf), built_in())).select("file", "value", "rank")
 
 
 @query("e08_detector_label", f"{o.secrets(FAST)} select detector, severity, count(*) as findings from secrets group by detector, severity")
@@ -529,6 +528,11 @@ def _(spark, sf):
     return published(scan_secrets(files(spark, sf), mode="deep"))
 
 
+@query("e10_scan_secrets_deep_strict", o.scan(built_in(), strict=True))
+def _(spark, sf):
+    return published(scan_secrets(files(spark, sf), mode="deep", strict_keyword_case=True))
+
+
 @query("e10_scan_conversations_deep", o.scan(built_in(), files_sql=i.CONVERSATION_FILES_SQL))
 def _(spark, sf):
     turns = i.derive(spark, sf, i.CONVERSATION_FILES_SQL)
@@ -810,6 +814,33 @@ def _(spark, sf):
     return reports.findings_by_detector(deep_findings(spark, sf), report_order="reference")
 
 
+# Findings and endpoints of other origins than the fixed ones.
+OTHER_DETECTORS = "case rule_id when 'aws-access-key-id' then 'Template (info)' when 'jwt' then 'own scanner' else detector end"
+
+
+@query(
+    "g07_findings_by_other_detectors",
+    f"""{o.secrets(built_in())}, named as (select {OTHER_DETECTORS} as detector from secrets), s as (select * from (values {SECTIONS}) as t(detector, pos)),
+ counts as (select coalesce(s.detector, named.detector) as detector, s.pos, count(named.detector) as findings
+  from s full join named on s.detector = named.detector group by all)
+ select detector, cast(coalesce(pos, {len(reports.DETECTORS)} + row_number() over (partition by pos is null order by detector)) as integer) as pos,
+  findings from counts""",
+)
+def _(spark, sf):
+    return reports.findings_by_detector(deep_findings(spark, sf).withColumn("detector", F.expr(OTHER_DETECTORS)))
+
+
+@query(
+    "g09_endpoints_by_other_sources",
+    f"""{MERGED}, named as (select case when length(path) % 3 = 0 then 'jsluice' else source end as source from merged)
+ select source, cast(case source when 'Regex' then 1 when 'LinkFinder' then 2 else 3 end as integer) as pos, count(*) as endpoints
+ from named group by source""",
+)
+def _(spark, sf):
+    other = F.when(F.length("path") % 3 == 0, "jsluice").otherwise(F.col("source"))
+    return reports.endpoints_by_source(merged(spark, sf).withColumn("source", other))
+
+
 @query(
     "g08_number_findings",
     f"""{o.secrets(built_in())} select detector, file, line, value, rule_id,

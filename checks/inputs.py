@@ -208,7 +208,7 @@ STORED_SQL = """select concat('f', cast(page_id as string), '.js') as file,
  case when page_id % 4 = 0 then '' else html end as content from pages where page_id % 9 <> 0"""
 PAGE_URLS_SQL = "select url, page_id as ord from pages"
 PROCESSED_SQL = """select concat('doc_', cast(doc_id as string), '.js') as file,
- case when doc_id % 6 = 0 then '' else concat('processed ', substr(text, 1, 40)) end as content from documents where doc_id % 2 = 0"""
+ case when doc_id % 6 = 0 then '' else concat('processed ', text) end as content from documents where doc_id % 2 = 0"""
 EXTERNAL_SQL = f"""select case page_id % 4 when 0 then concat('  /ext/', cast(page_id as string), ' ') when 1 then 'Running against: x'
  when 2 then '   ' else concat(url, '/full') end as value, concat('page_', cast(page_id as string), '.html') as file from pages"""
 

@@ -33,15 +33,16 @@ def not_placeholder(value: str) -> str:
     )
 
 
-def found(rules: RuleSet, files: str = "files", distinct: bool = True, position: bool = False) -> str:
-    """All matches of every rule on every file."""
+def found(rules: RuleSet, files: str = "files", distinct: bool = True, position: bool = False, strict: bool = False) -> str:
+    """All matches of every rule on every file; ``strict``: of rules with a usable keyword only where it occurs as written."""
 
     def one(row):
         values = f"regexp_extract_all(content, {q(row['regex'])}, 0)"
         if distinct:
             values = f"list_distinct({values})"
+        where = f" where contains(content, {q(row['keyword'])})" if strict and row["indexed"] else ""
         pos = f", cast(generate_subscripts({values}, 1) - 1 as integer) as pos" if position else ""
-        return f"select file, cast({row['ord']} as integer) as ord, unnest({values}) as value{pos} from {files}"
+        return f"select file, cast({row['ord']} as integer) as ord, unnest({values}) as value{pos} from {files}{where}"
 
     return " union all ".join(one(row) for row in rules.rows)
 
@@ -59,22 +60,22 @@ def labels(rules: RuleSet) -> str:
     )
 
 
-def surviving(rules: RuleSet, files_sql: str = i.FILES_SQL, placeholders: bool = True, entropy: bool = True) -> str:
+def surviving(rules: RuleSet, files_sql: str = i.FILES_SQL, placeholders: bool = True, entropy: bool = True, strict: bool = False) -> str:
     """CTEs up to ``kept``: matches after the filters."""
     noise = not_placeholder("value") if placeholders else "true"
     random = "not active or entropy >= min_entropy" if entropy else "true"
     return f"""with files as materialized ({files_sql}),
  labels as materialized ({labels(rules)}),
- found as materialized ({found(rules)}),
+ found as materialized ({found(rules, strict=strict)}),
  active as (select distinct value from found join labels using (ord) where active),
  entropies as materialized ({ENTROPY.format(source='active')}),
  kept as materialized (select file, value, rank, ord, active, min_length, max_length, context from found join labels using (ord)
   left join entropies using (value) where {noise} and ({random}))"""
 
 
-def secrets(rules: RuleSet, files_sql: str = i.FILES_SQL, extra: str = "true", value: str = "value") -> str:
+def secrets(rules: RuleSet, files_sql: str = i.FILES_SQL, extra: str = "true", value: str = "value", strict: bool = False) -> str:
     """CTEs up to ``secrets``: findings, one per file and value."""
-    return f"""{surviving(rules, files_sql)},
+    return f"""{surviving(rules, files_sql, strict=strict)},
  firsts as (select file, value, min(rank) as rank from kept where {extra} group by file, value),
  secrets as materialized (select rule_id, type, {value} as value, file, {_line('content', 'firsts.value')} as line,
   concat('Template (', severity, ')') as detector, severity, cast(confidence as integer) as confidence, tags

@@ -7,6 +7,7 @@ regex over a prefix tree 3.0 s, this 0.6 s. The matching itself stays in the JVM
 from __future__ import annotations
 
 import re
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ try:
     import ahocorasick
 except ImportError:
     ahocorasick = None
+    warnings.warn("without the ahocorasick module every text is searched word by word, which is far slower", stacklevel=2)
 
 
 def _word_finder(words: list[str]):

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import shannon_entropy
-from ..plans.balance import spread
 from .lines import explode_lined
 
 # What a token and an assignment look like.
 TOKEN_CHARACTERS = "[A-Za-z0-9+/=_-]"
 ASSIGNED_NAMES = "password|passwd|secret|token|api_?key|access_?key|auth_?key|private_?key|client_?secret"
-ASSIGNMENT = rf"(?i)(?:{ASSIGNED_NAMES})\s*[:=]\s*[\"'][^\"'\s]{{8,256}}[\"']"
+ASSIGNMENT = rf"(?i)(?:{ASSIGNED_NAMES})\s*[:=]\s*[\"'][^\"'\s]{{8,}}[\"']"
 ENTROPY_DETECTOR, ASSIGNMENT_DETECTOR = "Entropy (Pure)", "Regex (Vendor)"
 
 
@@ -24,7 +23,7 @@ def _finding(value, detector: str, kind: str):
 
 def _lined(files: DataFrame, values) -> DataFrame:
     """Distinct values of each file with their first line; the text is gone from here on."""
-    return explode_lined(spread(files.select("file", "content")), values, ["file"])
+    return explode_lined(files.select("file", "content"), values, ["file"])
 
 
 def entropy_tokens(files: DataFrame, min_length: int = 20, threshold: float = 4.5) -> DataFrame:

@@ -55,6 +55,8 @@ def _many_lines(texts: pa.Array, values: pa.Array) -> pa.Array:
 def explode_lined(files: DataFrame, values: Column, keep: list[str]) -> DataFrame:
     """``(*keep, value, line)``: each distinct value of each row's ``content`` once; the text is gone from here on."""
     ship_package(files.sparkSession)
+    # A rule may match nothing at all; that is no value.
+    values = F.filter(values, lambda v: v != "")
     # Exploding a list of at most one list drops the texts without any value, and looks for the values only once.
     some = F.filter(F.array(F.array_distinct(values)), lambda v: F.size(v) > 0)
     found = files.select(*keep, "content", F.explode(some).alias("value"))

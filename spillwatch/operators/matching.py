@@ -27,8 +27,14 @@ def candidates(
     ship_package(files.sparkSession)
     joined = None
     for part in rules.slices():
-        spec = part.screen_spec(keyword_only, strict_keyword_case)
-        screened = files.withColumn("ord", F.explode(text_screen(F.col("content"), spec, not strict_keyword_case)))
+        if strict_keyword_case:
+            # Keywords are compared as written, what other rules need in any case.
+            written = text_screen(F.col("content"), part.indexed().screen_spec(keyword_only, True), fold=False)
+            other = part.where(lambda rule: not rule["indexed"])
+            ords = F.concat(written, text_screen(F.col("content"), other.screen_spec(keyword_only))) if len(other) else written
+        else:
+            ords = text_screen(F.col("content"), part.screen_spec(keyword_only))
+        screened = files.withColumn("ord", F.explode(ords))
         # A slice of the rules is at most MAX_BROADCAST_BYTES.
         pairs = screened.join(F.broadcast(rule_matchers(part, files.sparkSession)), "ord")
         joined = pairs if joined is None else joined.unionByName(pairs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fetch import fetch_outcome, is_fetched
@@ -36,11 +36,21 @@ def detector_order(report_order: str = "full") -> tuple[str, ...]:
 
 
 def findings_by_detector(secrets: DataFrame, report_order: str = "full") -> DataFrame:
-    """``(detector, pos, findings)`` for every section, also those with none."""
+    """``(detector, pos, findings)`` for every section, also those with none.
+
+    In ``full`` order detectors outside the fixed list follow it, by name, so the sections add up to the total.
+    """
     sections = _ordered(secrets.sparkSession, detector_order(report_order), "detector")
     counts = secrets.groupBy("detector").agg(F.count("*").alias("n"))
-    joined = sections.join(counts, "detector", "left")
-    return joined.select("detector", "pos", F.coalesce("n", F.lit(0)).alias("findings"))
+    joined = sections.join(counts, "detector", "left").select("detector", "pos", F.coalesce("n", F.lit(0)).alias("findings"))
+    return joined if report_order == "reference" else joined.unionByName(_others(counts.withColumnRenamed("n", "findings"), sections, "detector"))
+
+
+def _others(counts: DataFrame, sections: DataFrame, column: str) -> DataFrame:
+    """Counts outside the fixed sections, placed behind them by name: a row per detector or source."""
+    other = counts.join(sections, column, "left_anti")
+    last = sections.agg(F.max("pos")).scalar()
+    return other.select(column, (last + F.row_number().over(Window.orderBy(column))).alias("pos"), *(c for c in counts.columns if c != column))
 
 
 def number_findings(secrets: DataFrame) -> DataFrame:
@@ -53,15 +63,15 @@ def number_findings(secrets: DataFrame) -> DataFrame:
 
     placed = with_position(secrets, "detector", "file", "line", "value", "rule_id", name="_position")
     first = placed.groupBy("detector").agg(F.min("_position").alias("_first"))
-    joined = placed.join(first, "detector")
+    joined = placed.join(F.broadcast(first), "detector")  # a row per detector
     return joined.select(*secrets.columns, (F.col("_position") - F.col("_first") + 1).alias("number"))
 
 
 def endpoints_by_source(endpoints: DataFrame) -> DataFrame:
-    """``(source, pos, endpoints)`` for the known sources that found something."""
+    """``(source, pos, endpoints)`` for the sources that found something, the known ones first."""
     sections = _ordered(endpoints.sparkSession, ENDPOINT_SOURCES, "source")
     counts = endpoints.groupBy("source").agg(F.count("*").alias("endpoints"))
-    return counts.join(sections, "source").select("source", "pos", "endpoints")
+    return counts.join(sections, "source").select("source", "pos", "endpoints").unionByName(_others(counts, sections, "source"))
 
 
 def distinct_paths_by_source(endpoints: DataFrame) -> DataFrame:
@@ -102,7 +112,6 @@ def render_secret_report(secrets: DataFrame, report_order: str = "full") -> Data
 
     Only ``write_report`` sorts it, and it does so by range, so no task holds the whole report.
     """
-    spark = secrets.sparkSession
     secrets = settle(secrets)  # read three times below; without this the texts would be scanned three times
     counts = findings_by_detector(secrets, report_order)
     total = findings_total(secrets).select(
@@ -131,7 +140,7 @@ def render_secret_report(secrets: DataFrame, report_order: str = "full") -> Data
             F.coalesce(nothing, F.array().cast("array<string>")),
         ).alias("lines"),
     )
-    sections = _ordered(spark, detector_order(report_order), "detector")
+    sections = F.broadcast(counts.select("detector", "pos"))
     items = number_findings(secrets).join(sections, "detector").select(
         F.col("pos").alias("section"),
         F.col("number").alias("item"),
@@ -172,7 +181,7 @@ def render_endpoint_report(endpoints: DataFrame) -> DataFrame:
             F.lit(""),
         ).alias("lines"),
     )
-    sections = _ordered(endpoints.sparkSession, ENDPOINT_SOURCES, "source")
+    sections = F.broadcast(endpoints_by_source(endpoints).select("source", "pos"))
     items = distinct_paths_by_source(endpoints).join(sections, "source").select(
         F.col("pos").alias("section"), F.col("path").alias("item"), F.array("path").alias("lines")
     )

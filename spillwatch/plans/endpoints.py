@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import endpoints as e
-from .balance import spread
 
 METHOD = "GET"
 REGEX_SOURCE = "Regex"
@@ -22,4 +21,4 @@ def endpoints_of(files: DataFrame) -> DataFrame:
 
 def scan_endpoints(files: DataFrame) -> DataFrame:
     """Endpoints quoted in each file, each path once per file."""
-    return endpoints_of(spread(files.select("file", "content")))
+    return endpoints_of(files.select("file", "content"))

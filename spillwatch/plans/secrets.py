@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as m
 from ..rules import RuleSet, built_in
-from .balance import spread
 
 MODES = ("fast", "deep")
 # Copies of the findings of one text, so that a text with very many copies is joined by many tasks.
@@ -64,7 +63,7 @@ def scan_secrets(
     if distinct_content:
         firsts = _firsts_of_distinct_content(files, chosen, deny, enforce_bounds, strict_keyword_case)
     else:
-        matches = surviving_matches(spread(files), chosen, deny, enforce_bounds, strict_keyword_case)
+        matches = surviving_matches(files, chosen, deny, enforce_bounds, strict_keyword_case)
         firsts = m.dedupe_matches(matches)
     return m.label_findings(firsts, chosen, mask_values)
 

@@ -116,12 +116,13 @@ class RuleSet:
 
     @classmethod
     def of(cls, rules) -> "RuleSet":
-        """From a RuleSet, a DataFrame of rule fields, or dicts; the first rule with an id wins."""
+        """From a RuleSet, a DataFrame of rule fields, or dicts. Rules that share an id all stay, and
+        a table without ``ord`` is taken in order of ``rule_id`` and ``regex``."""
         if isinstance(rules, RuleSet):
             return rules
         if isinstance(rules, DataFrame):
             fields = [name for name, _ in RULE_FIELDS if name in rules.columns]
-            ordered = rules.orderBy("ord") if "ord" in rules.columns else rules
+            ordered = rules.orderBy("ord") if "ord" in rules.columns else rules.orderBy("rule_id", "regex")
             table = ordered.select(*fields).limit(MAX_RULES + 1).toArrow()
             if table.num_rows > MAX_RULES:
                 raise ValueError(f"more than {MAX_RULES} rules: this is not a rule table")
@@ -174,7 +175,7 @@ class RuleSet:
 
     @cached_property
     def nbytes(self) -> int:
-        return sum(len(r["java_regex"]) + 400 for r in self.rows)
+        return sum(400 + sum(len(str(value)) for value in r.values()) for r in self.rows)
 
     def slices(self) -> list["RuleSet"]:
         """Cut so that each part may be broadcast."""

@@ -14,10 +14,12 @@ from ..rules import RuleSet
 
 
 def stream_scan_secrets(
-    files: DataFrame, path: str, checkpoint: str, rules: RuleSet | None = None, mode: str = "fast", **options
+    files: DataFrame, path: str, checkpoint: str, rules: RuleSet | None = None, mode: str = "fast", trigger: dict | None = None, **options
 ) -> StreamingQuery:
     """Scan each new file once and append its findings to ``path``.
 
+    ``trigger`` is what Spark's ``trigger`` takes, such as ``{"processingTime": "1 minute"}`` to run on; by default what is there is scanned.
+
     A batch replayed after a failure replaces its own folder, so findings are there exactly once.
     """
 
@@ -25,7 +27,7 @@ def stream_scan_secrets(
         found = scan_secrets(batch, rules, mode, **options)
         found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return files.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_scan_endpoints(files: DataFrame) -> DataFrame:

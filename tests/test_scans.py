@@ -289,3 +289,30 @@ def test_fast_findings_are_a_part_of_deep_matches(spark, sf_dir):
     deep = {(r["file"], r["value"]) for r in scan_secrets(texts, mode="deep").collect()}
     fast = {(r["file"], r["value"]) for r in scan_secrets(texts, mode="fast").collect()}
     assert fast and fast <= deep and len(built_in().indexed()) < len(built_in())
+
+
+def test_two_keys_in_one_text_are_two_findings(spark):
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
+    texts = [("a", f"{block.format('MIIE' * 700)}\nbetween\n{block.format('MIIF' * 9)}")]
+    found = scan_secrets(spark.createDataFrame(texts, "file string, content string"), mode="deep").where("rule_id = 'pem-rsa-private-key'")
+    assert sorted(len(r["value"]) for r in found.collect()) == sorted(len(block.format(x)) for x in ("MIIE" * 700, "MIIF" * 9))
+
+
+def test_long_values_are_whole(spark):
+    long = "A1b2C3d4/+" * 600
+    texts = [("a", f'aws_session_token = "{long}x"\naws_session_token = "{long}y"\npassword = "{long}"\njwt_secret = "{long[:400]}"')]
+    files = spark.createDataFrame(texts, "file string, content string")
+    values = [r["value"] for r in scan_secrets(files, mode="deep").collect()]
+    assert all(any(f"{long}{end}" in v for v in values) for end in "xy") and any("jwt_secret" in v and long[:400] in v for v in values)
+    from spillwatch.operators.detectors import assigned_secrets
+
+    assert any(long in r["value"] for r in assigned_secrets(files).collect())
+
+
+def test_rule_that_matches_nothing_at_all(spark):
+    from spillwatch.rules import RuleSet
+
+    texts = [("a", "x1 " * 5), ("b", " ".join(f"x{k}" for k in range(200)))]
+    rules = RuleSet.of([{"rule_id": "maybe", "regex": r"(?:x[0-9]+)?"}])
+    found = scan_secrets(spark.createDataFrame(texts, "file string, content string"), rules, mode="deep")
+    assert found.count() == 1 + 200
