@@ -11,7 +11,7 @@ survives lost executors.
 4. ``decontamination``: documents that hold a benchmark item go.
 5. ``packing``: token sequences, one row per piece.
 
-Null texts are empty texts, null ``doc_id`` is an id like others, other columns pass through, empty tables stay empty.
+Null texts are empty texts, rows with null ``doc_id`` stay in stage 3 and are judged like others elsewhere, other columns pass through, empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("component_id", F.lit(NO_ID)).alias("component"), "n_shingles")
     gone = keyed.filter("doc <> component").select("doc").distinct()
     stay = shingle_join.chosen(_by_key(docs), gone, "left_anti")
-    # Rows that share a number are one document: the first of them stays.
-    again = keyed.filter("doc = component").groupBy("doc").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).filter("n > 1 and words > 0")
+    # Rows that share a number are one document: the first of them stays. Rows without a number can't be told apart and stay.
+    again = keyed.filter(F.col("doc") != NO_ID).filter("doc = component").groupBy("doc").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).filter("n > 1 and words > 0")
     again = stored(again.select("doc"), "repeated-numbers")
     if again.isEmpty():
         return stay.select("row.*")

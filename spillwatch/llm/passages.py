@@ -20,6 +20,8 @@ like others and comes back as null; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import partitions_of, prepare, stored, texts_of
 from .shingle_join import BROADCAST_ROWS, mixed
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 128
 REACH = LENGTH - GRAM  # an anchor lies at most so far into a string
-HOT, BATCH_BYTES = 700, 1 << 18
+HOT, BATCH_BYTES = 150, 1 << 18
 NO_ID = -(2**63)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
@@ -71,7 +73,7 @@ def anchors_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-ANCHOR = "a long, seg long, doc long, rk int, start int, len int"
+ANCHOR = "a long, seg long, doc long, rk int, start int, len int, at int"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 at, grams = anchors_of(sums)
                 start, end = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(data))
                 seg = hashes_of(sums, start, end) + mixed((at - start).astype(np.uint64) * np.uint64(512) + (end - start).astype(np.uint64))
-                out.append((grams.view(np.int64), seg.view(np.int64), np.full(len(at), doc), np.full(len(at), rk), start, end - start))
+                out.append((grams.view(np.int64), seg.view(np.int64), np.full(len(at), doc), np.full(len(at), rk), start, end - start, at - start))
                 held += len(at)
                 if held > 50_000:
                     yield _frame(out)
@@ -108,7 +110,7 @@ SAME, DISTINCT = 0, 1
 def _resolve(batches):
     """Sorted by anchor and segment: rows whose segment repeats, and a row of each segment where an anchor has several."""
     carry, before, head, head_out = None, None, None, False
-    columns = ["a", "seg", "doc", "rk", "start", "len"]
+    columns = ["a", "seg", "doc", "rk", "start", "len", "at"]
 
     def judged(rows, following):
         """All of ``rows``; ``following`` is the key after them."""
@@ -168,14 +170,15 @@ def ordered_suffixes(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     ranks = _ranks(key[order], order, alone)
     depth = 8
+    # Later sorts need no stable order: equal ranks stay equal, and are put in order of place at the end.
     while depth < 256 and ranks.max() < n - 1:
         following = np.zeros(n, np.uint64)
         following[: n - depth] = ranks[depth:]
         key = (ranks.astype(np.uint64) << np.uint64(32)) | following
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranks = _ranks(key[order], order, alone)
         depth *= 2
-    return order
+    return np.argsort((ranks.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64))
 
 
 def _ranks(ordered: np.ndarray, order: np.ndarray, alone: np.ndarray) -> np.ndarray:
@@ -244,6 +247,7 @@ SPAN = "doc long, rk int, start int, end int"
 
 def _spans_of_batches(batches):
     held: list[tuple] = []
+    group: list[tuple] = []
     size, key = 0, None
 
     def done():
@@ -255,17 +259,30 @@ def _spans_of_batches(batches):
         return merged(pd.DataFrame({"doc": np.array([h[1] for h in held], np.int64)[segment], "rk": np.array([h[2] for h in held])[segment], "start": start, "end": start + LENGTH}))
 
     for batch in batches:
-        for row in zip(*(batch[c].tolist() for c in ("a", "doc", "rk", "start", "seg"))):
-            if row[0] != key and size > BATCH_BYTES // 2:
-                yield done()
-                held, size = [], 0
-            key = row[0]
-            held.append(row)
-            size += len(row[4])
+        for row in zip(*(batch[c].tolist() for c in ("a", "doc", "rk", "start", "seg", "at"))):
+            if row[0] != key:
+                some = promising(group)
+                held += some
+                size += sum(len(r[4]) for r in some)
+                group, key = [], row[0]
+                if size > BATCH_BYTES // 2:
+                    yield done()
+                    held, size = [], 0
+            group.append(row[:5] + (row[5],))
+    held += promising(group)
     if held:
         yield done()
 
 
+def promising(group: list[tuple]) -> list[tuple]:
+    """Segments of one anchor that can repeat a string with another: a string reaches ``REACH`` beyond the anchor in all, so at
+    least half of that on one side, and there both must agree."""
+    half = REACH // 2
+    left, right = [r[4][max(0, r[5] - half) : r[5] + GRAM] for r in group], [r[4][r[5] : r[5] + GRAM + half] for r in group]
+    lefts, rights = Counter(left), Counter(right)
+    return [r[:5] for r, x, y in zip(group, left, right) if (lefts[x] > 1 and len(x) == GRAM + half) or (rights[y] > 1 and len(y) == GRAM + half)]
+
+
 def merged(spans: pd.DataFrame) -> pd.DataFrame:
     """Spans of each document that touch or overlap made one."""
     s = spans.sort_values(["doc", "rk", "start"])
@@ -307,7 +324,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hot = distinct.groupBy("a").count().filter(F.col("count") > HOT).select("a", F.lit(True).alias("hot"))
     by_doc = (
         distinct.join(hot, "a", "left").groupBy("doc", "rk")
-        .agg(F.collect_list(F.struct("a", "start", "len", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("a", "start", "len", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     )
     by_doc = stored(by_doc, "wanted")
 
@@ -316,23 +333,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, rk, text, wanted in zip(*(batch[c].tolist() for c in ("doc", "rk", "text", "wanted"))):
                 data = text.encode()
-                rows += [(w["a"], doc, rk, w["start"], data[w["start"] : w["start"] + w["len"]], w["hot"]) for w in wanted]
-            yield pd.DataFrame(rows, columns=["a", "doc", "rk", "start", "seg", "hot"])
+                rows += [(w["a"], doc, rk, w["start"], data[w["start"] : w["start"] + w["len"]], w["at"], w["hot"]) for w in wanted]
+            yield pd.DataFrame(rows, columns=["a", "doc", "rk", "start", "seg", "at", "hot"])
 
     wide = long_texts.select("doc", "rk", "text").join(by_doc, ["doc", "rk"])
     # The same segments may be cut from repeated rows of one document.
-    segments = stored(wide.mapInPandas(cut, "a long, doc long, rk int, start int, seg binary, hot boolean").dropDuplicates(["a", "doc", "rk", "start"]), "segments")
+    segments = stored(wide.mapInPandas(cut, "a long, doc long, rk int, start int, seg binary, at int, hot boolean").dropDuplicates(["a", "doc", "rk", "start"]), "segments")
     cold = segments.filter("not hot").repartition(n, "a").sortWithinPartitions("a", "doc", "start")
     from_transform = cold.mapInPandas(_spans_of_batches, SPAN)
 
     def strings(batches):
         for batch in batches:
-            for doc, rk, start, seg in zip(*(batch[c].tolist() for c in ("doc", "rk", "start", "seg"))):
-                data = np.frombuffer(seg, np.uint8)
-                at = np.arange(len(data) - LENGTH + 1)
-                w1 = hashes_of(sums_of(data), at, at + LENGTH)
-                w2 = hashes_of(sums_of(data ^ np.uint8(0x5A)), at, at + LENGTH)
-                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "doc": doc, "rk": rk, "start": start + at})
+            for lo in range(0, len(batch), 1000):
+                part = batch.iloc[lo : lo + 1000]
+                first, second, starts, counts = [], [], [], []
+                for start, seg in zip(part["start"].tolist(), part["seg"].tolist()):
+                    data = np.frombuffer(seg, np.uint8)
+                    at = np.arange(len(data) - LENGTH + 1)
+                    first.append(hashes_of(sums_of(data), at, at + LENGTH).view(np.int64))
+                    second.append(hashes_of(sums_of(data ^ np.uint8(0x5A)), at, at + LENGTH).view(np.int64))
+                    starts.append(start + at)
+                    counts.append(len(at))
+                yield pd.DataFrame({
+                    "w1": np.concatenate(first), "w2": np.concatenate(second), "doc": np.repeat(part["doc"].to_numpy(), counts),
+                    "rk": np.repeat(part["rk"].to_numpy(), counts), "start": np.concatenate(starts),
+                })
 
     each = segments.filter("hot").mapInPandas(strings, "w1 long, w2 long, doc long, rk int, start int")
     place = F.xxhash64("doc", "rk", "start")
@@ -345,13 +370,16 @@ def without_spans(text: bytes, starts, ends) -> tuple[bytes, int, int]:
     """What is left, bytes removed, and maximal removed runs."""
     if starts is None or not len(starts):
         return text, 0, 0
-    spans = merged(pd.DataFrame({"doc": 0, "rk": 0, "start": np.asarray(starts, np.int64), "end": np.asarray(ends, np.int64)}))
-    left, since, removed = [], 0, 0
-    for start, end in zip(spans["start"].tolist(), spans["end"].tolist()):
-        left.append(text[since:start])
-        removed += end - start
-        since = end
-    return b"".join([*left, text[since:]]), removed, len(spans)
+    left, since, removed, count = [], 0, 0, 0
+    for start, end in sorted(zip(starts.tolist(), ends.tolist())):
+        if start > since or not count:
+            left.append(text[since:start])
+            count += 1
+            since = start
+        if end > since:
+            removed += end - since
+            since = end
+    return b"".join([*left, text[since:]]), removed, count
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
