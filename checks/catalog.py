@@ -242,6 +242,23 @@ def _(spark, sf):
     return spark.read.schema("scanner string, files bigint, findings bigint, seconds double").json(folder)
 
 
+@query(
+    "a10_write_scans",
+    f"""{o.endpoints()}, counts as (select 'endpoints' as scanner, (select count(*) from endpoints) as findings, null as error
+  union all select 'paths', (select count(*) from ({o.paths(0)})), null union all select 'broken', null, 'failed')
+ select scanner, (select count(*) from files) as files, findings, error from counts
+ union all select 'total', (select count(*) from files), cast(sum(findings) as bigint), '1 failed' from counts""",
+)
+def _(spark, sf):
+    folder = scratch(spark, "scans")
+    texts = page_texts(spark, sf)
+    broken = texts.select(F.raise_error(F.lit("no such scanner")).cast("string").alias("value"))
+    scans = {"endpoints": scan_endpoints(texts), "paths": endpoints.abs_paths(texts), "broken": broken}
+    writers.write_scans(scans, texts, f"{folder}/found", f"{folder}/log")
+    log = spark.read.schema(writers.SCAN_LOG).json(f"{folder}/log")
+    return log.select("scanner", "files", "findings", F.when(F.col("scanner") != "broken", F.col("error")).otherwise("failed").alias("error"))
+
+
 # ------------------------------------------------------------------- URLs
 
 
@@ -333,6 +350,28 @@ def _(spark, sf):
     return pairs.groupBy("keyword").agg(F.countDistinct("file").alias("files"))
 
 
+# One rule per document, with the keyword that the rule's form must have.
+_LETTERS = "case when length(regexp_replace(text, '[^a-z]', '', 'g')) < 2 then 'wxy' else left(regexp_replace(text, '[^a-z]', '', 'g'), 2 + cast(doc_id % 9 as int)) end"
+KEYWORD_RULES_SQL = f"""select doc_id, doc_id % 8 as form, {_LETTERS} as w from documents"""
+
+
+@query(
+    "c01_rule_keyword_by_form",
+    f"""select doc_id, case form when 0 then w when 1 then case when length(w) >= 6 then upper(w) else 'SECRET' end when 2 then 'abc'
+ when 3 then left(w, length(w) - 1) when 4 then w || '-' || w when 5 then w when 6 then w else null end as keyword from ({KEYWORD_RULES_SQL})""",
+)
+def _(spark, sf):
+    words = i.derive(spark, sf, KEYWORD_RULES_SQL.replace(", 'g')", ")"))
+    w, form = F.col("w"), F.col("form")
+    forms = [
+        F.concat(w, F.lit("[0-9]+")), F.concat(F.lit("(?i)"), w, F.lit(".{0,20}secret")), F.concat(F.lit("("), w, F.lit("){0,3}abc")),
+        F.concat(F.lit("[0-9]*"), w, F.lit("?")), F.concat(w, F.lit("-"), w), F.concat(F.lit("("), w, F.lit(")+[0-9]")),
+        F.concat(F.lit(r"\b(?:"), w, F.lit("){2,}")), F.concat(F.lit("(?:1"), w, F.lit("|2"), w, F.lit(")")),
+    ]
+    regex = F.coalesce(*(F.when(form == k, f) for k, f in enumerate(forms)))
+    return words.select("doc_id", rule_tables.rule_keywords(regex).alias("keyword"))
+
+
 @query("c02_is_valid_keyword", f"select ord, keyword, {o.VALID_KEYWORD} as valid from ({i.RULES_SQL})")
 def _(spark, sf):
     return rule_table(spark, sf).select("ord", "keyword", keywords.is_valid_keyword(F.col("keyword")).alias("valid"))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keywords import is_valid_keyword
+from ..rules.dialect import rule_keyword
 from ..rules.ruleset import DEFAULT_CONFIDENCE, DEFAULT_SEVERITY
 
 
+@F.arrow_udf(T.StringType())
+def rule_keywords(regex: pa.Array) -> pa.Array:
+    """The keyword of each rule's regex; null for none."""
+    return pa.array([None if r is None else rule_keyword(r) or None for r in regex.to_pylist()], pa.string())
+
+
 def rule_defaults(rules: DataFrame) -> DataFrame:
     """Empty severity becomes medium, confidence 0 becomes 75."""
     return rules.withColumns(

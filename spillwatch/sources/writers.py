@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.reports import scan_metrics
@@ -44,3 +46,27 @@ def write_scan_log(results: dict[str, DataFrame], files: DataFrame, seconds: dic
         F.current_timestamp().alias("logged_at"), "scanner", "files", "findings", taken.alias("seconds")
     )
     log.write.mode("append").json(path)
+
+
+SCAN_LOG = "scanner string, files bigint, findings bigint, seconds double, error string"
+
+
+def write_scans(scans: dict[str, DataFrame], files: DataFrame, folder: str, log: str) -> None:
+    """Run each scan once: append its rows below ``folder`` and a row on it to ``log``, then a row with the totals.
+
+    Findings are counted while they are written. A scan that fails leaves its error in the log, and the others go on.
+    """
+    spark = files.sparkSession
+    rows, file_count = [], files.count()
+    for scanner, found in scans.items():
+        begun, seen, error, count = time.time(), Observation(), None, None
+        try:
+            found.observe(seen, F.count(F.lit(1)).alias("findings")).write.mode("append").parquet(f"{folder}/scanner={scanner}")
+            count = seen.get["findings"]
+        except Exception as problem:  # goes to the log
+            error = f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"
+        rows.append((scanner, file_count, count, round(time.time() - begun, 3), error))
+    failed = sum(r[4] is not None for r in rows)
+    rows.append(("total", file_count, sum(r[2] or 0 for r in rows), round(sum(r[3] for r in rows), 3), f"{failed} failed" if failed else None))
+    table = spark.createDataFrame(rows, SCAN_LOG).select(F.current_timestamp().alias("logged_at"), "*")
+    table.write.mode("append").json(log)
