@@ -308,7 +308,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             lo = size = 0
             for hi, text in enumerate(texts):
                 size += len(text)
-                if size < 4_000_000 and hi < len(texts) - 1:
+                if size < 1_000_000 and hi < len(texts) - 1:
                     continue
                 found = model.scan(texts[lo : hi + 1])
                 out = pd.DataFrame([(doc_ids[lo + k], *rest) for k, *rest in found], columns=[c.split()[0] for c in FOUND.split(", ")])

@@ -44,7 +44,7 @@ BLOCK = 1024
 MORE_PAIRS = 16
 # Rows of document numbers that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
-SLAB_CHARS = 4_000_000
+SLAB_CHARS = 1_000_000
 # Partners of a centre that share one copy of its set.
 PARTNERS = 500
 _BASE = 0x9E3779B97F4A7C15

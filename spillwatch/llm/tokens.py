@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # Pieces kept between batches of one Python worker; only speed depends on it.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 250_000
 
 
 def default_path() -> str:
@@ -132,7 +132,7 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encoded_slabs(texts: list[str], path: str, chars: int = 4_000_000):
+def encoded_slabs(texts: list[str], path: str, chars: int = 2_000_000):
     """Yields ``(first, ids, starts)`` for slabs of texts of about ``chars`` characters, so memory doesn't follow the batch."""
     lo = size = 0
     for hi, text in enumerate(texts):
