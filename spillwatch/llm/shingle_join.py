@@ -100,7 +100,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
         hashes, firsts = word_hashes(texts[lo : hi + 1])
         n = len(hashes)
         rolled = np.zeros(n, np.uint64)
-        for k in range(words):
+        for k in range(min(words, n)):
             rolled[: n - k] += hashes[k:] * factors[k]
         rolled = mixed(rolled)
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
