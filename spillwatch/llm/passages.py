@@ -197,25 +197,40 @@ def shared_boundaries(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[
     code[symbols] = np.arange(len(symbols))
     coded = code[text]
     bwt = coded[order - 1]  # before the first suffix stands the last end mark
-    seen = np.zeros((n + 1, len(symbols)), np.int32)
-    seen[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(seen, axis=0, out=seen)
-    totals = seen[-1]
+    totals = np.bincount(bwt, minlength=len(symbols))
     first = np.concatenate([[0], np.cumsum(totals)])[:-1]
+    # How often each byte stands in the transform before each place; a row per byte, without the end mark.
+    seen = np.zeros((len(symbols) - 1, n + 1), np.int32)
+    for k in range(1, len(symbols)):
+        np.cumsum(bwt == k, out=seen[k - 1, 1:])
     reached = np.zeros(n + 1, bool)
     # Common prefixes of zero bytes: where the first symbol changes, and between end marks.
     front = np.unique(np.r_[np.arange(totals[0] + 1), first[totals > 0]])
     front = front[front < n]
-    reached[front] = True
+    before = np.array([0, n])  # boundaries of earlier steps
     for _ in range(length - 1):
+        reached[front] = True
+        # A byte matters at a boundary only if it stands on both sides of it inside the interval that it splits, so the bytes of
+        # the smaller side are enough, unless these are more than all bytes.
+        at = np.searchsorted(before, front)
+        low, high = before[np.maximum(at - 1, 0)], before[np.minimum(at, len(before) - 1)]
+        left = front - low <= high - front
+        since, size = np.where(left, low, front), np.where(left, front - low, high - front)
+        few = size < len(symbols)
+        p = np.repeat(front[few], size[few])
+        ends_at = np.cumsum(size[few])
+        byte = bwt[np.repeat(since[few] - ends_at + size[few], size[few]) + np.arange(len(p))]
+        p, byte = p[byte > 0], byte[byte > 0]
+        count = seen[byte - 1, p]
+        some = (first[byte] + count)[(count > 0) & (count < totals[byte])]
+        counts = seen[:, front[~few]]
+        rest = (first[1:, None] + counts)[(counts > 0) & (counts < totals[1:, None])]
+        target = np.concatenate([some, rest])
+        before = np.append(np.flatnonzero(reached[:n]), n)
+        front = np.unique(target[~reached[target]])
         if not len(front):
             break
-        counts = seen[front, 1:]
-        there = (counts > 0) & (counts < totals[1:])
-        target = (first[1:] + counts)[there]
-        target = np.unique(target[~reached[target]])
-        reached[target] = True
-        front = target
+    reached[front] = True
     return order, ~reached[:n]
 
 
