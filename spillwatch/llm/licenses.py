@@ -284,7 +284,9 @@ FOUND = "doc_id long, family string, probability double, similarity double, line
 
 def corpus_negatives(docs: DataFrame) -> list[str]:
     """At most ``PER_DOC`` lines of each of ``SAMPLED_DOCS`` documents, without those that are like a template."""
-    lines = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_DOCS).select(
+    # Numbers first, so that no task gathers whole texts to sort them.
+    wanted = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_DOCS)
+    lines = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(
         F.col("doc_id"), F.slice(F.shuffle(F.split(F.coalesce("text", F.lit("")), "\n"), 5), 1, PER_DOC).alias("lines")
     )
     short = F.transform("lines", lambda x: F.substring(x, 1, 300))
