@@ -2,26 +2,28 @@
 
 Texts and items are compared in lower-case ASCII letters with white space runs as one space.
 
-1. Windows. Every word of an item, with the bytes after it, is an anchor. Where a word of a document starts with the ``ANCHOR`` bytes
-   of one, the window of the item's length that puts both in the same place is taken. An item with its edits spread has many anchors left.
-2. Embedding. A window and its item walk through a random embedding of edit distance into Hamming distance (after Chakraborty, Goldenberg
-   and Koucky): step j writes the byte under the walker and moves on by a random bit that depends on j and the byte, so two walks
-   fall into step again after an edit. ``WALKS`` walks are taken.
-3. Bit sampling. A window stays if in one of ``SAMPLES`` draws of ``BITS`` places each its walk agrees with the item's. The numbers are
-   chosen for a recall of 0.95 and more at the allowed distance; ``tests/llm`` measures it.
-4. Exact verification: the least edit distance of the item to any part of the window and its surroundings, by a bit-parallel scan.
-
-Items are a bounded table per pass: an index of at most ``INDEX_BYTES`` of item text goes to the tasks, more items make more passes. Texts are not
+1. Pieces. An item of m bytes is cut into pieces of four bytes (fewer, where four are too many for a short item). k edits touch at most k of
+   the pieces and move the others by at most k places against each other. So a match holds at least ``m // 4 - k`` whole pieces in
+   a range of k places. Pieces are looked up at every byte of a document, counted in cells of k / 3 places, and where four neighbouring cells
+   hold enough, counted again with each piece once. Nothing within the allowed edits can be lost here.
+2. Parts of up to 64 bytes of the item are compared with such a place, many side by side: one of them at least must be within its share of the edits.
+3. Exact verification: the least edit distance of the item to any part of the place, by a bit-parallel scan.
+
+The work grows with the product of the text and the items that share pieces with it.
+
+Items are a bounded table per pass: pieces of at most ``INDEX_BYTES`` of item text goes to the tasks, more items make more passes. Texts are not
 shuffled.
 
-Defined cases: null text or item is empty and matches nothing; items shorter than an anchor match as whole words only; rows with null ``doc_id``
+Defined cases: null text or item is empty and matches nothing; items of fewer than ``SHORT`` bytes match, with the
+edits they may have, between edges of words only (any place in scripts without blanks is one); rows with null ``doc_id``
 or ``item_id`` are compared and keep the null; repeated documents are reported each, repeated items once per row; an empty table gives
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -29,14 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .shingle_join import mixed
 
-ANCHOR = 12
 MAX_EDITS = 0.2  # of the item's length
-WALKS, SAMPLES, BITS = 6, 48, 4
+# Items with fewer bytes match between the edges of words only.
+SHORT = 12
 INDEX_BYTES = 16 << 20
+# Bytes of documents that are searched at once, and of a part of them; cells of a table of counts; pieces written out at once.
+GROUP_BYTES, SLAB_BYTES, CELLS, HITS = 1 << 22, 1 << 15, 1 << 21, 1 << 21
+# Parts of items compared side by side.
+LANES = 4096
 _PLAIN = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+# Thai to Tibetan, Burmese, Khmer, kana and Chinese characters: scripts without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def plain(text: str) -> tuple[bytes, np.ndarray | None]:
@@ -49,56 +55,6 @@ def plain(text: str) -> tuple[bytes, np.ndarray | None]:
     return data[keep].tobytes(), keep
 
 
-def word_starts(data: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((data != 32) & np.r_[True, data[:-1] == 32])
-
-
-def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the ``ANCHOR`` bytes at each place, read as two overlapping numbers of eight bytes."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    eight = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
-    first, second = eight[at], eight[at + (ANCHOR - 8)]
-    out = first * _GOLDEN + (second ^ (second >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-
-
-def _moves(walk: int, step: int) -> np.ndarray:
-    """For each byte whether the walker moves on in this step."""
-    seed = np.uint64(walk << 32 | step)
-    return (mixed((np.arange(256, dtype=np.uint64) + seed * np.uint64(1000003)) * _GOLDEN) >> np.uint64(40)) & np.uint64(1)
-
-
-def walks(windows: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """(windows, steps) bytes that the walks write; zero after the end of a window."""
-    n, width = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint8)], axis=1)
-    at, lane = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, steps), np.uint8)
-    for j in range(steps):
-        here = padded[lane, np.minimum(at, lengths)]
-        out[:, j] = here
-        at += _moves_of(walk, j)[here]
-    return out
-
-
-_move_tables: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _moves_of(walk: int, step: int) -> np.ndarray:
-    if (walk, step) not in _move_tables:
-        _move_tables[walk, step] = _moves(walk, step).astype(np.int64)
-    return _move_tables[walk, step]
-
-
-@lru_cache(4096)
-def sampled_places(walk: int, length: int) -> np.ndarray:
-    """(SAMPLES, BITS) places of a walk of a window of this length."""
-    draws = mixed((np.arange(SAMPLES * BITS, dtype=np.uint64) + np.uint64(walk * 7919 + 1)) * _GOLDEN) >> np.uint64(11)
-    # Twice the length is about where the walk leaves the window.
-    return (draws.astype(np.float64) / 2**53 * (2 * length)).astype(np.int64).reshape(SAMPLES, BITS)
-
-
 def least_distance(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edit distance of ``item`` to any part of ``text``, and where such a part ends; bit-parallel after Myers."""
     m = len(item)
@@ -125,105 +81,293 @@ def least_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def least_distances(parts: list[bytes], of: np.ndarray, text: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """``least_distance`` of ``parts[of]``, of up to 64 bytes each, to their places of the text, all side by side."""
+    masks = np.zeros((len(parts), 256), np.uint64)
+    for k, part in enumerate(parts):
+        np.bitwise_or.at(masks[k], np.frombuffer(part, np.uint8), np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+    masks = masks.reshape(-1)
+    lengths = np.array([len(t) for t in parts])[of]
+    one, top = np.uint64(1), (lengths - 1).astype(np.uint64)
+    plus, minus = np.full(len(of), ~np.uint64(0)), np.zeros(len(of), np.uint64)
+    score, best = lengths.astype(np.int32), lengths.astype(np.int32)
+    row, sizes = of * 256, highs - lows
+    for step in range(int(sizes.max())):
+        eq = masks[row + text[np.minimum(lows + step, len(text) - 1)]]
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        ph = minus | ~(xh | plus)
+        mh = plus & xh
+        score += ((ph >> top) & one).astype(np.int32) - ((mh >> top) & one).astype(np.int32)
+        ph <<= one
+        mh <<= one
+        plus, minus = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best, where=step < sizes)
+    return best
+
+
+def distance(a: bytes, b: bytes) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def is_edge(text: bytes, at: int) -> bool:
+    """Whether no word goes on at this place."""
+    if not 0 < at < len(text):
+        return True
+    if text[at] & 0xC0 == 0x80:
+        return False
+    sides = text[max(0, at - 4) : at].decode(errors="ignore")[-1:], text[at : at + 4].decode(errors="ignore")[:1]
+    return not all(c.isalnum() and not _UNSPACED.match(c) for c in sides)
+
+
+def edits_of(length: int) -> int:
+    return int(MAX_EDITS * length)
+
+
+def piece_bytes(length: int) -> int:
+    """The longest pieces, up to four bytes, of which more fit into an item than it may have edits."""
+    return next(q for q in (4, 3, 2, 1) if length // q > edits_of(length))
+
+
+class Pieces:
+    """Pieces of ``q`` bytes of some items, looked up at every byte of a text."""
+
+    def __init__(self, q: int, items: list[tuple[int, bytes]], often: np.ndarray):
+        self.q, self.numbers = q, np.array([k for k, _ in items], np.int64)
+        self.length = np.array([len(t) for _, t in items], np.int64)
+        self.edits = np.array([edits_of(len(t)) for _, t in items], np.int64)
+        self.need = np.zeros(len(items), np.int64)
+        values, item, offset = [], [], []
+        for k, (_, text) in enumerate(items):
+            all_values = grams(text, q)
+            rare = often[slots(all_values, 16)]
+            fit = len(text) // q
+            phases = [np.arange(p, p + (fit - 1) * q + 1, q) for p in range(len(text) - fit * q + 1)]
+            at = min(phases, key=lambda p: int(rare[p].sum()))
+            self.need[k] = fit - self.edits[k]
+            values.append(all_values[at])
+            item.append(np.full(len(at), k, np.int64))
+            offset.append(at)
+        values, item, offset = map(np.concatenate, (values, item, offset))
+        self.bits = min(24, max(16, int(len(values) * 16).bit_length()))
+        slot = slots(values, self.bits)
+        order = np.argsort(slot, kind="stable")
+        self.item, self.offset = item[order], offset[order]
+        self.rank = self.offset // q
+        self.count = np.bincount(slot, minlength=1 << self.bits).astype(np.int32)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+        self.known = self.count > 0
+        self.needs = None
+        self.width = -(-np.maximum(self.edits, 1) // 3)
+        self.width_of = self.width[self.item].astype(np.int32)
+        self.moved = (self.length[self.item] - self.offset).astype(np.int32)
+        # Bytes that the longest match may take.
+        self.reach = int((self.length + self.edits).max())
+
+    def near(self, text: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(item, start, end)`` of parts of the text, such that each match of an item lies in one of its own."""
+        out = []
+        step = max(SLAB_BYTES, 2 * self.reach)
+        for at in range(0, max(1, len(text) - self.q + 1), step):
+            out += [(k, at + lo, at + hi) for k, lo, hi in self._near(text[at : at + step + self.reach])]
+        return out
+
+    def _near(self, text: np.ndarray):
+        if len(text) < self.q:
+            return []
+        slot = slots(grams(text, self.q), self.bits)
+        at = np.flatnonzero(self.known[slot])
+        slot = slot[at]
+        n, lo, at = self.count[slot], self.first[slot], at.astype(np.int32)
+        # A match with k edits moves its pieces by no more than k against each other: all of them lie in four neighbouring cells of k / 3 places.
+        cells = (len(text) + self.length) // self.width + 4
+        base = (np.cumsum(cells) - cells).astype(np.int32)
+        start = base[self.item]
+        total = np.cumsum(n, dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(total // HITS)) + 1).tolist(), len(at)]
+        counts = np.zeros(int(cells.sum()) + 3, np.int64)
+        if len(cuts) == 2:
+            held = self._hits(at, n, lo, start)
+            counts = np.bincount(held[0], minlength=len(counts))
+        else:
+            held = None
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                counts += np.bincount(self._hits(at[a:b], n[a:b], lo[a:b], start)[0], minlength=len(counts))
+        if self.needs is None or len(self.needs) != len(counts) - 3:
+            self.needs = np.repeat(self.need, cells).astype(np.uint16)
+        # A sum of four stays below 2**16.
+        few = np.minimum(counts, 16000, out=counts).astype(np.uint16)
+        two = few[:-1] + few[1:]
+        full = np.flatnonzero(two[:-2] + two[2:] >= self.needs)
+        if len(full) and held:
+            full = self._distinct(full, *held, len(counts), base)
+        item = np.searchsorted(base, full, "right") - 1
+        since = (full - base[item]) * self.width[item] - self.length[item]
+        lows, highs = since - self.edits[item], since + 4 * self.width[item] + self.length[item] + self.edits[item]
+        return zip(self.numbers[item].tolist(), lows.tolist(), highs.tolist())
+
+    def _hits(self, at, n, lo, start):
+        """The cell and the piece of each hit."""
+        k = np.repeat(lo - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(int(n.sum()), dtype=np.int32)
+        return (np.repeat(at, n) + self.moved[k]) // self.width_of[k] + start[k], k
+
+    def _distinct(self, full, cell, k, n, base):
+        """The full windows of four cells that are full when a piece counts once."""
+        window = np.full(n + 3, -1, np.int32)
+        window[full + 3] = np.arange(len(full))
+        near = np.zeros(n, bool)
+        for back in range(4):
+            near[full + back] = True
+        some = np.flatnonzero(near[cell])
+        cell, k = cell[some], k[some]
+        item = np.searchsorted(base, full, "right") - 1
+        many = self.need[item] + self.edits[item]
+        place = np.cumsum(many) - many
+        seen = np.zeros(int(many.sum()), bool)
+        rank = self.rank[k]
+        for back in range(4):
+            own = window[cell + (3 - back)]
+            # The last cells of an item reach into the next one's.
+            there = (own >= 0) & (item[own] == self.item[k])
+            seen[place[own[there]] + rank[there]] = True
+        return full[np.add.reduceat(seen, place, dtype=np.int64) >= self.need[item]]
+
+
+def grams(text, q: int) -> np.ndarray:
+    """The ``q`` bytes at each place as numbers."""
+    data = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
+    out = data[: len(data) - q + 1].astype(np.uint32)
+    for k in range(1, q):
+        out |= data[k : len(data) - q + 1 + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+
+
 class Index:
-    """Anchors of a bounded set of items."""
+    """Pieces of a bounded set of items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(item_id, plain(text)[0].strip()) for item_id, text in items]
-        self.short = [k for k, (_, t) in enumerate(self.items) if 0 < len(t) < ANCHOR]
-        grams, item, offset = [], [], []
+        by_bytes: dict[int, list[tuple[int, bytes]]] = {}
         for k, (_, text) in enumerate(self.items):
-            if len(text) >= ANCHOR:
-                data = np.frombuffer(text, np.uint8)
-                at = word_starts(data)
-                at = at[at + ANCHOR <= len(data)]
-                grams.append(_grams(data, at))
-                item.append(np.full(len(at), k))
-                offset.append(at)
-        self.samples: dict[tuple[int, int], np.ndarray] = {}
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        grams, item, offset = join(grams, np.uint64), join(item, np.int64), join(offset, np.int64)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.item, self.offset = grams[order], item[order], offset[order]
-        # One look into a table tells most words of a document that they are no anchor.
-        self.known = np.zeros(1 << 20, bool)
-        self.known[grams >> np.uint64(44)] = True
-
-    def windows(self, data: np.ndarray) -> list[tuple[int, int]]:
-        """``(item, start)`` of the windows that anchors name."""
-        if len(data) < ANCHOR or not len(self.grams):
-            return []
-        at = word_starts(data)
-        at = at[at + ANCHOR <= len(data)]
-        grams = _grams(data, at)
-        known = self.known[grams >> np.uint64(44)]
-        at, grams = at[known], grams[known]
-        lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        some = hi > lo
-        at, lo, n = at[some], lo[some], (hi - lo)[some]
-        k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return sorted(set(zip(self.item[k].tolist(), (np.repeat(at, n) - self.offset[k]).tolist())))
-
-    def passing(self, lanes: list[tuple[int, int, np.ndarray]]) -> list[bool]:
-        """For ``(item, start, document bytes)`` whether the window's sampled walks agree with its item's."""
-        out = np.zeros(len(lanes), bool)
-        lengths = np.array([len(self.items[item][1]) for item, _, _ in lanes], np.int64)
-        by_length = np.argsort(lengths, kind="stable")
-        for lo in range(0, len(lanes), 2048):
-            some = by_length[lo : lo + 2048]
-            width = int(lengths[some].max())
-            rows = np.zeros((len(some), width), np.uint8)
-            for r, k in enumerate(some.tolist()):
-                _, start, data = lanes[k]
-                since, upto = max(0, start), min(len(data), start + int(lengths[k]))
-                rows[r, since - start : upto - start] = data[since:upto]
-            items = np.array([lanes[k][0] for k in some.tolist()])
-            for walk in range(WALKS):
-                left = np.flatnonzero(~out[some])
-                if not len(left):
-                    break
-                trace = walks(rows[left], lengths[some[left]], walk, 2 * width)
-                places = np.stack([sampled_places(walk, int(n)) for n in lengths[some[left]]]).reshape(len(left), -1)
-                seen = np.take_along_axis(trace, places, axis=1).reshape(len(left), SAMPLES, BITS)
-                own = np.stack([self._sample_of(i, walk) for i in items[left].tolist()])
-                out[some[left]] = (seen == own).all(axis=2).any(axis=1)
-        return out.tolist()
-
-    def _sample_of(self, item: int, walk: int) -> np.ndarray:
-        if (item, walk) not in self.samples:
-            text = np.frombuffer(self.items[item][1], np.uint8)[None]
-            trace = walks(text, np.array([text.shape[1]]), walk, 2 * text.shape[1])[0]
-            self.samples[item, walk] = trace[sampled_places(walk, text.shape[1])]
-        return self.samples[item, walk]
+            if text:
+                by_bytes.setdefault(piece_bytes(len(text)), []).append((k, text))
+        self.pieces = []
+        for q, own in by_bytes.items():
+            often = np.zeros(1 << 16, np.int64)
+            for _, text in own:
+                often += np.bincount(slots(grams(text, q), 16), minlength=1 << 16)
+            own.sort(key=lambda item: len(item[1]))
+            some, cells = [], 0
+            for item in own:
+                more = 3 * max(SLAB_BYTES, 3 * len(item[1])) // max(1, edits_of(len(item[1])))
+                if some and cells + more > CELLS:
+                    self.pieces.append(Pieces(q, some, often))
+                    some, cells = [], 0
+                some.append(item)
+                cells += more
+            self.pieces.append(Pieces(q, some, often))
 
     def matches(self, texts: list[str]):
         """For each text ``(item number, distance, start, end)`` in bytes of its normal form, the best place of each item."""
-        raws = [plain(t)[0] for t in texts]
-        datas = [np.frombuffer(raw, np.uint8) for raw in raws]
-        lanes = [(k, item, start) for k, data in enumerate(datas) for item, start in self.windows(data)]
-        good = self.passing([(item, start, datas[k]) for k, item, start in lanes])
-        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        for (k, item, start), passes in zip(lanes, good):
-            if not passes:
-                continue
-            own = self.items[item][1]
-            allowed = int(MAX_EDITS * len(own))
-            since = max(0, start - allowed)
-            part = raws[k][since : max(0, start + len(own) + allowed)]
-            distance, end = least_distance(own, part)
-            if distance <= allowed:
-                _, back = least_distance(own[::-1], part[:end][::-1])
-                found = (distance, since + end - back, since + end)
-                if item not in best[k] or found < best[k][item]:
-                    best[k][item] = found
-        for k, raw in enumerate(raws if self.short else []):
-            around = b" " + raw + b" "
-            for item in self.short:
-                at = around.find(b" " + self.items[item][1] + b" ")
-                if at >= 0:
-                    best[k][item] = (0, at, at + len(self.items[item][1]))
+        out, held, size = [], [], 0
+        for k, text in enumerate(texts):
+            held.append(plain(text)[0])
+            size += len(held[-1])
+            if size >= GROUP_BYTES or k == len(texts) - 1:
+                out += self._matches(held)
+                held, size = [], 0
+        return out
+
+    def _matches(self, raws: list[bytes]):
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in raws]
+        # No normal form holds a line feed.
+        joined = np.frombuffer(b"\n".join(raws), np.uint8)
+        firsts = [0, *np.cumsum([len(raw) + 1 for raw in raws]).tolist()]
+        lanes = []
+        for item, lo, hi in merged(sorted(near for pieces in self.pieces for near in pieces.near(joined))):
+            least = len(self.items[item][1]) - edits_of(len(self.items[item][1]))
+            for k in range(max(0, bisect_right(firsts, lo) - 1), len(raws)):
+                if firsts[k] >= hi:
+                    break
+                since, upto = max(lo, firsts[k]), min(hi, firsts[k + 1] - 1)
+                # Long places are cut into some that share what a match may take; a match in one of those may begin and end anywhere.
+                own, allowed = len(self.items[item][1]), edits_of(len(self.items[item][1]))
+                if least <= upto - since <= 3 * own:
+                    lanes.append((item, k, since, upto, lo, hi))
+                elif upto - since > 3 * own:
+                    for a in range(since, upto - own - allowed, 2 * own - allowed):
+                        lanes.append((item, k, a, min(upto, a + 3 * own), a - allowed, min(upto, a + 3 * own) + allowed))
+        for item, k, lo, hi in self.within(joined, lanes):
+            found = self._match(item, raws[k], lo - firsts[k], hi - firsts[k])
+            if found and (item not in best[k] or found < best[k][item]):
+                best[k][item] = found
         return [[(item, *found) for item, found in sorted(b.items())] for b in best]
 
+    def within(self, text: np.ndarray, lanes: list[tuple[int, int, int, int, int, int]]):
+        """``(item, document, start, end)`` of the lanes that may hold their item with the edits it may have.
+
+        An item is cut into parts of up to 64 bytes. Of the edits of a match, one part at least has no more than by its share of the bytes.
+        """
+        parts, sub = [], []
+        numbers: dict[int, int] = {}
+        for k, (item, _, since, upto, lo, hi) in enumerate(lanes):
+            own = self.items[item][1]
+            n = -(-len(own) // 64)
+            if item not in numbers:
+                numbers[item] = len(parts)
+                parts += [own[j * len(own) // n : (j + 1) * len(own) // n] for j in range(n)]
+            for j in range(n):
+                a, b = j * len(own) // n, (j + 1) * len(own) // n
+                sub.append((k, numbers[item] + j, max(since, lo + a), min(upto, hi - len(own) + b), edits_of(len(own)) * (b - a) // len(own)))
+        if not sub:
+            return []
+        lane, part, lows, highs, allowed = np.array(sub, np.int64).T
+        good = np.zeros(len(lanes), bool)
+        order = np.argsort(highs - lows, kind="stable")
+        for at in range(0, len(sub), LANES):
+            some = order[at : at + LANES]
+            used, of = np.unique(part[some], return_inverse=True)
+            least = least_distances([parts[k] for k in used.tolist()], of, text, lows[some], highs[some])
+            good[lane[some][least <= allowed[some]]] = True
+        return [lanes[k][:4] for k in np.flatnonzero(good).tolist()]
+
+    def _match(self, item: int, raw: bytes, lo: int, hi: int) -> tuple[int, int, int] | None:
+        own, part = self.items[item][1], raw[lo:hi]
+        allowed = edits_of(len(own))
+        least, end = least_distance(own, part)
+        if least > allowed:
+            return None
+        if len(own) >= SHORT:
+            _, back = least_distance(own[::-1], part[:end][::-1])
+            return least, lo + end - back, lo + end
+        edges = [at for at in range(lo, hi + 1) if is_edge(raw, at)]
+        spans = [(a, b) for k, a in enumerate(edges) for b in edges[k + 1 : k + 2 + len(own) + allowed] if abs(b - a - len(own)) <= allowed]
+        found = min(((distance(own, raw[a:b]), a, b) for a, b in spans), default=None)
+        return found if found and found[0] <= allowed else None
+
+
+def merged(parts: list[tuple[int, int, int]]):
+    """Sorted parts, with those of an item that overlap made one."""
+    held = None
+    for item, lo, hi in parts:
+        if held and held[0] == item and lo <= held[2]:
+            held = item, held[1], max(held[2], hi)
+            continue
+        if held:
+            yield held
+        held = item, lo, hi
+    if held:
+        yield held
+
 
 FOUND = "doc_id long, item_id long, distance int, similarity double, start int, end int"
 
