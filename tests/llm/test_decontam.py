@@ -51,3 +51,20 @@ def test_places_between_slabs_lose_nothing(monkeypatch):
             if least <= int(decontam.MAX_EDITS * len(own)):
                 want[k, i] = least
     assert got == want and len(want) > 10
+
+
+def test_items_without_blanks_are_found_anywhere():
+    items = [(1, "地球到太阳的平均距离是多少千米"), (2, "for(i=0;i<n;i++)s+=a[i];"), (3, "Who wrote it?")]
+    index = decontam.Index(items)
+    assert found(index, "前文地球到太阳的平均距离是多少千米后文") == [0]
+    assert found(index, "Q:地球到太阳的平均距离是多少千米") == [0]
+    assert found(index, "{for(i=0;i<n;i++)s+=a[i];}") == [1]
+    assert found(index, 'see "who wrote it?"') == [2]
+
+
+def test_short_items_between_edges_of_words_with_their_edits():
+    index = decontam.Index([(1, "2+2=4?"), (2, "tiny one"), (3, "谁写的"), (4, "no")])
+    assert found(index, "(2+2=4?)") == [0]
+    assert found(index, "say: tinyone.") == [1] and found(index, "[tiny ome]") == [1]
+    assert found(index, "tiny onesies") == [] and found(index, "a snow") == [] and found(index, "no.") == [3]
+    assert found(index, "是谁写的书") == [2]
