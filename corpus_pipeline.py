@@ -8,7 +8,7 @@ survives lost executors.
 2. ``line_dedup``: repeated long lines go, but for the last document that holds them; ``n_chars`` follows the text.
 3. ``near_duplicates``: of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one with the smallest
    ``doc_id`` stays, once. Documents without words stay.
-4. ``decontamination``: documents that hold a benchmark item go.
+4. ``decontamination``: documents that hold a benchmark item go, by number and text.
 5. ``packing``: token sequences, one row per piece.
 
 Null texts are empty texts, rows with null ``doc_id`` stay in stage 3 and are judged like others elsewhere, other columns pass through, empty tables stay empty.
@@ -61,9 +61,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "contaminated")
-    gone = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).distinct()
-    return shingle_join.chosen(_by_key(docs), gone, "left_anti").select("row.*")
+    found = stored(decontam.contaminated_texts(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    # By number and text: other texts of the number, or without one, are clean.
+    gone = stored(found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key").distinct(), "contaminated-texts")
+    keyed = _by_key(docs).withColumn("text_key", decontam.text_key(F.col("row.text")))
+    return shingle_join.chosen(keyed, gone, "left_anti", ["doc", "text_key"]).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -369,16 +369,30 @@ def merged(parts: list[tuple[int, int, int]]):
         yield held
 
 
-FOUND = "doc_id long, item_id long, distance int, similarity double, start int, end int"
+FOUND = "doc_id long, item_id long, distance int, similarity double, start int, end int, text_key string"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that it holds; places count bytes of the document's normal form."""
+    return _contaminated(docs, benchmark).drop("text_key")
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text_key(text)`` of the rows that hold an item."""
+    return _contaminated(docs, benchmark).select("doc_id", "text_key")
+
+
+def text_key(text) -> Column:
+    """128 bits that stand for a text; null is empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = prepare(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // INDEX_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("text_key"))
     out = spark.createDataFrame([], FOUND)
     for k in range(passes):
         # About INDEX_BYTES of items each.
@@ -394,10 +408,10 @@ def _finder(items):
         index = Index(items)
         for batch in batches:
             rows = []
-            for doc, found in zip(batch["doc_id"].astype("Int64").tolist(), index.matches(batch["text"].tolist())):
+            for doc, key, found in zip(batch["doc_id"].astype("Int64").tolist(), batch["text_key"].tolist(), index.matches(batch["text"].tolist())):
                 for item, distance, start, end in found:
                     item_id, own = index.items[item]
-                    rows.append((None if doc is pd.NA else doc, item_id, distance, 1 - distance / len(own), start, end))
+                    rows.append((None if doc is pd.NA else doc, item_id, distance, 1 - distance / len(own), start, end, key))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
             for c in ("doc_id", "item_id"):
                 out[c] = out[c].astype("Int64")

@@ -246,9 +246,9 @@ def _with_centres(batches):
         last, centre, waiting = key[-1], own[-1], not tail_shared
 
 
-def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose ``doc`` is (not) among ``ids``; texts are not shuffled while the numbers are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", how)
+def chosen(docs: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc") -> DataFrame:
+    """Rows of ``docs`` whose ``doc``, or other key, is (not) among ``ids``; texts are not shuffled while the numbers are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
 
 def _bitmaps(docs: DataFrame, words: int) -> DataFrame:

@@ -64,6 +64,13 @@ def test_odd_rows_pass_every_filter(spark, make_docs, sf_dir):
     assert pairs(docs) == sorted([(None, None), (None, "null number"), (1, ""), (2, "same words here and there again"), (4, "other")], key=str)
 
 
+def test_contaminated_rows_go_alone(spark, given, make_docs, sf_dir):
+    item = given("benchmark").orderBy("item_id").first()["text"]
+    clean = [(None, "clean words without a number"), (None, None), (7, "other clean words"), (8, "more")]
+    docs = make_docs([(None, f"before {item} after"), (7, f"{item}!"), *clean])
+    assert pairs(STAGES["decontamination"](spark, docs, sf_dir)) == sorted(clean, key=str)
+
+
 def test_empty_table(spark, make_docs, sf_dir):
     docs = make_docs([])
     for _, stage in corpus_pipeline.STAGES:
