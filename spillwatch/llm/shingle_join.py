@@ -188,6 +188,11 @@ def most_overlap(n: int, m: int, a: np.ndarray, b: np.ndarray) -> int:
 # ------------------------------------------------------------------ stages
 
 
+def with_several_sets(rows: DataFrame) -> DataFrame:
+    """``doc`` of the documents whose rows hold different sets."""
+    return rows.groupBy("doc").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).filter("lo <> hi").select("doc")
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def work(batches):
         for batch in batches:
@@ -420,17 +425,27 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     prepare(docs)
     texts = texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    rows = stored(_sets(texts, words), "sets")
+    placed = _placed(texts, stored(_sets(texts, words), "sets"), words, threshold)
+    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return placed.select(shown("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown("component").alias("component_id"))
+
+
+def _placed(texts: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """``rows``, the sets of ``texts``, with their components."""
     equal = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
     repeated = stored(equal.filter("copies > 1"), "equal-sets")
-    # Copies of a set, all but the first, have no part in the join between sets.
-    copies = rows.join(repeated.drop("copies"), ["f1", "f2"]).filter(F.col("doc") != F.col("node")).select("doc").distinct()
+    # Copies of a set, all but the first, have no part in the join between sets, unless their document has another set too: then
+    # it stays a node and is linked with the first of each of its sets.
+    copies = rows.join(repeated.drop("copies"), ["f1", "f2"]).filter(F.col("doc") != F.col("node")).select("doc", "node").distinct()
+    several = stored(with_several_sets(rows), "several-sets")
+    same = stored(copies.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b")), "same-documents")
+    copies = copies.select("doc").distinct().join(several, "doc", "left_anti")
     nodes = chosen(texts, stored(copies, "copies"), "left_anti")
-    n = partitions_of(docs.sparkSession)
+    n = partitions_of(texts.sparkSession)
     dealt = _dealt(nodes, words, threshold).repartition(n, "print").sortWithinPartitions("print", "node")
     shared = stored(dealt.mapInPandas(_with_centres, "print long, node long, centre long").distinct(), "shared-prints")
     candidates = stored(shared.select(F.col("node").alias("doc")).distinct(), "candidates")
-    maps = stored(_bitmaps(chosen(texts, candidates, "inner"), words), "bitmaps")
+    maps = stored(_bitmaps(chosen(texts, candidates, "inner"), words).filter("n > 0"), "bitmaps")
 
     best = (
         shared.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
@@ -440,7 +455,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
     compared = _verified_texts(stored(_allowed(best, maps, threshold), "first-pairs"), texts, words, threshold)
     each = 1
     while True:
-        labels = components(compared.filter("linked").select("a", "b"))
+        labels = components(compared.filter("linked").select("a", "b").unionByName(same))
         found = stored(_open_pairs(shared, labels, maps, compared, threshold, each), "open-pairs")
         if found.isEmpty():
             break
@@ -451,6 +466,4 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
         each *= MORE_PAIRS
     by_set = repeated.select("f1", "f2", "node", F.lit(True).alias("known"))
     named = rows.join(by_set.drop("known"), ["f1", "f2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "doc")).otherwise(F.col("doc")))
-    placed = named.join(labels, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc")))
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return placed.select(shown("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown("component").alias("component_id"))
+    return named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -69,6 +69,13 @@ def test_repeated_rows_null_numbers_and_empty_table(make_docs):
     assert shingle_join.linked_components(make_docs([])).count() == 0
 
 
+def test_documents_with_several_texts(make_docs):
+    a, b, c, d, e, f = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcdef")
+    t = Fraction(4, 5)
+    rows = [(5, a), (9, a), (9, b), (12, f"{b} more"), (25, c), (26, d), (29, c), (29, d), (35, e), (39, e), (39, ""), (41, f), (49, f), (49, f"{a} {e}"), (50, "")]
+    assert found(make_docs(rows), 5, t) == brute.components(rows, 5, t)
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(3)
     for n in (5, 80, 900):
