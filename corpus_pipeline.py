@@ -7,7 +7,7 @@ survives lost executors.
 1. ``quality``: documents that the classifier rejects go; it learns from the labels of ``sf_dir`` that are not held out.
 2. ``line_dedup``: repeated long lines go, but for the last document that holds them; ``n_chars`` follows the text.
 3. ``near_duplicates``: of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one with the smallest
-   ``doc_id`` stays, once. Documents without words stay.
+   ``doc_id`` stays, once. Texts that share a ``doc_id`` are judged apart. Documents without words stay.
 4. ``decontamination``: documents that hold a benchmark item go, by number and text.
 5. ``packing``: token sequences, one row per piece.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spillwatch.llm import decontam, line_dedup, packing, shingle_join
 from spillwatch.llm import quality as quality_model
-from spillwatch.llm.common import stored, table
+from spillwatch.llm.common import stored, table, text_key
 
 NO_ID = -(2**63)
 
@@ -46,17 +46,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(shingle_join.linked_components(docs), "near-duplicates")
-    keyed = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("component_id", F.lit(NO_ID)).alias("component"), "n_shingles")
-    gone = keyed.filter("doc <> component").select("doc").distinct()
-    stay = shingle_join.chosen(_by_key(docs), gone, "left_anti")
-    # Rows that share a number are one document: the first of them stays. Rows without a number can't be told apart and stay.
-    again = keyed.filter(F.col("doc") != NO_ID).filter("doc = component").groupBy("doc").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).filter("n > 1 and words > 0")
-    again = stored(again.select("doc"), "repeated-numbers")
+    found = stored(shingle_join.linked_texts(docs), "near-duplicates")
+    # Of linked texts the one with the least number stays, by its key among texts of that number. Rows without a number stay, and come first.
+    first = found.filter("n > 0").groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("first"))
+    first = first.select("first.doc", "first.text_key", F.lit(True).alias("first"))
+    each = found.filter(F.col("doc") != NO_ID).groupBy("doc", "text_key").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    judged = each.join(first, ["doc", "text_key"], "left").withColumn("stays", (F.col("n") == 0) | F.col("first").isNotNull())
+    judged = stored(judged.select("doc", "text_key", "rows", "n", "stays"), "judged")
+    by_doc = judged.groupBy("doc").agg(F.max("stays").alias("some"), F.min("stays").alias("all"))
+    gone = stored(by_doc.filter(~F.col("some")).select("doc"), "gone")
+    partly = by_doc.filter(F.col("some") & ~F.col("all")).select("doc")
+    parts = stored(judged.filter(~F.col("stays")).join(partly, "doc", "left_semi").select("doc", "text_key"), "gone-texts")
+    keyed = _by_key(docs).withColumn("text_key", text_key(F.col("row.text")))
+    stay = shingle_join.chosen(shingle_join.chosen(keyed, gone, "left_anti"), parts, "left_anti", ["doc", "text_key"])
+    # Of rows with the same number and text one stays.
+    again = stored(judged.filter("stays and n > 0 and rows > 1").select("doc", "text_key"), "repeated-texts")
     if again.isEmpty():
         return stay.select("row.*")
-    single = shingle_join.chosen(stay, again, "left_anti")
-    several = shingle_join.chosen(stay, again, "inner").groupBy("doc").agg(F.first("row").alias("row"))
+    single = shingle_join.chosen(stay, again, "left_anti", ["doc", "text_key"])
+    several = shingle_join.chosen(stay, again, "inner", ["doc", "text_key"]).groupBy("doc", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return single.select("row").unionByName(several.select("row")).select("row.*")
 
 
@@ -64,7 +72,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(decontam.contaminated_texts(docs, table(spark, sf_dir, "benchmark")), "contaminated")
     # By number and text: other texts of the number, or without one, are clean.
     gone = stored(found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key").distinct(), "contaminated-texts")
-    keyed = _by_key(docs).withColumn("text_key", decontam.text_key(F.col("row.text")))
+    keyed = _by_key(docs).withColumn("text_key", text_key(F.col("row.text")))
     return shingle_join.chosen(keyed, gone, "left_anti", ["doc", "text_key"]).select("row.*")
 
 

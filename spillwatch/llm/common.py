@@ -49,5 +49,10 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null is empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

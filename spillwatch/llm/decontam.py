@@ -27,10 +27,10 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, text_key
 
 MAX_EDITS = 0.2  # of the item's length
 # Items with fewer bytes match between the edges of words only.
@@ -382,11 +382,6 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _contaminated(docs, benchmark).select("doc_id", "text_key")
 
 
-def text_key(text) -> Column:
-    """128 bits that stand for a text; null is empty."""
-    return F.md5(F.coalesce(text, F.lit("")))
-
-
 def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = prepare(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") > 0)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_of, prepare, stored, texts_of
+from .common import partitions_of, prepare, stored, text_key, texts_of
 from .components import components
 
 NO_ID = -(2**63)
@@ -199,9 +199,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch["text"].tolist(), words)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             wide = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc": batch["doc"], "n": [len(s) for s in sets], "f1": wide[:, 0], "f2": wide[:, 1]})
+            keys = {"text_key": batch["text_key"]} if "text_key" in batch else {}
+            yield pd.DataFrame({"doc": batch["doc"], "n": [len(s) for s in sets], "f1": wide[:, 0], "f2": wide[:, 1], **keys})
 
-    return docs.mapInPandas(work, "doc long, n int, f1 long, f2 long")
+    return docs.mapInPandas(work, "doc long, n int, f1 long, f2 long" + ", text_key string" * ("text_key" in docs.columns))
 
 
 def _dealt(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -430,6 +431,22 @@ def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction =
     return placed.select(shown("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown("component").alias("component_id"))
 
 
+def linked_texts(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """``doc, text_key, n, component`` of every row of ``docs``, where different sets of one ``doc_id`` are nodes of their own."""
+    prepare(docs)
+    texts = texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", text_key(F.col("text")).alias("text_key"))
+    rows = stored(_sets(texts, words), "sets")
+    several = stored(with_several_sets(rows), "several-sets")
+    # Such a set's node is its fingerprint.
+    own = F.when(F.col("apart"), F.col("f1")).otherwise(F.col("doc"))
+    rows = rows.join(several.withColumn("apart", F.lit(True)), "doc", "left").select("text_key", "n", "f1", "f2", F.col("doc").alias("number"), own.alias("doc"), "apart")
+    rows = stored(rows, "nodes")
+    nodes = rows.filter("apart").select(F.col("number").alias("doc"), "text_key", F.col("doc").alias("node")).distinct()
+    apart = stored(chosen(texts, several, "inner").join(nodes, ["doc", "text_key"]).select(F.col("node").alias("doc"), "text"), "texts-apart")
+    placed = _placed(chosen(texts, several, "left_anti").select("doc", "text").unionByName(apart), rows.drop("apart"), words, threshold)
+    return placed.select(F.col("number").alias("doc"), "text_key", "n", "component")
+
+
 def _placed(texts: DataFrame, rows: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """``rows``, the sets of ``texts``, with their components."""
     equal = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))

@@ -64,6 +64,12 @@ def test_odd_rows_pass_every_filter(spark, make_docs, sf_dir):
     assert pairs(docs) == sorted([(None, None), (None, "null number"), (1, ""), (2, "same words here and there again"), (4, "other")], key=str)
 
 
+def test_unlike_texts_of_one_number_stay(spark, make_docs, sf_dir):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = make_docs([(5, a), (9, a), (9, b), (12, f"{b} more"), (20, c), (20, c), (20, "something else")])
+    assert pairs(STAGES["near_duplicates"](spark, docs, sf_dir)) == sorted([(5, a), (9, b), (20, c), (20, "something else")], key=str)
+
+
 def test_contaminated_rows_go_alone(spark, given, make_docs, sf_dir):
     item = given("benchmark").orderBy("item_id").first()["text"]
     clean = [(None, "clean words without a number"), (None, None), (7, "other clean words"), (8, "more")]
