@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, shingle_join
+from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, secret_scan, shingle_join
 from .common import LOWER, UPPER, new_folder, table
 
 QUERIES: dict = {}
@@ -135,3 +135,8 @@ def _(spark, sf_dir):
     folder = new_folder(spark, "ids")
     id_files.write_ids(table(spark, sf_dir, "documents"), folder)
     return id_files.read_ids(spark, folder)
+
+
+@query("op13_secret_scan")
+def _(spark, sf_dir):
+    return secret_scan.digest(secret_scan.scan_texts(table(spark, sf_dir, "documents")))
