@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, secret_scan, shingle_join
+from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, ranked_search, secret_scan, shingle_join
 from .common import LOWER, UPPER, new_folder, table
 
 QUERIES: dict = {}
@@ -140,3 +140,39 @@ def _(spark, sf_dir):
 @query("op13_secret_scan")
 def _(spark, sf_dir):
     return secret_scan.digest(secret_scan.scan_texts(table(spark, sf_dir, "documents")))
+
+
+# Digits, letters and all beyond ASCII make terms; RE2 and the JVM agree on such a class.
+RANKED_SQL = f"""
+with given as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), total as (
+  select count(*) as docs, cast(sum(len(terms)) as bigint) as words from given where len(terms) > 0
+), occurrence as (
+  select doc_id, len(terms) as n, unnest(terms) as term from given
+), posting as (
+  select doc_id, term, any_value(n) as n, count(*) as tf from occurrence group by doc_id, term
+), weighted as (
+  select term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w
+  from posting, total group by term
+), wanted as (
+  select item_id, md5(coalesce(text, '')) as item_key,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark
+), needed as (
+  select item_id, item_key, term, count(*) as q from wanted group by all
+), scored as (
+  select item_id, item_key, doc_id,
+    cast(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) as bigint) as score
+  from needed join weighted using (term) join posting using (term), total group by item_id, item_key, doc_id
+), ranked as (
+  select *, row_number() over (partition by item_id, item_key order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, score, item_key from ranked where rank <= 10
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def _(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
