@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, ranked_search, secret_scan, shingle_join
+from . import chat, decontam, id_files, licenses, line_dedup, packing, passages, phrase_prints, quality, ranked_search, secret_scan, shingle_join, token_alignment
 from .common import LOWER, UPPER, new_folder, table
 
 QUERIES: dict = {}
@@ -176,3 +176,8 @@ select item_id, cast(rank as int) as rank, doc_id, score, item_key from ranked w
 @query("op11_ranked_search", RANKED_SQL)
 def _(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_token_alignment")
+def _(spark, sf_dir):
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"))
