@@ -14,8 +14,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
    and spreads over all tasks.
 5. Spans are merged by document.
 
-Defined cases: null text is empty; texts shorter than ``LENGTH`` stay whole; repeated rows are documents of their own; null ``doc_id`` is an id
-like others and comes back as null; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is empty; texts shorter than ``LENGTH`` stay whole; repeated rows are documents of their own; texts that share a ``doc_id``, or
+have a null one, are told apart by 128 bits of number and text, and null comes back as null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from .shingle_join import BROADCAST_ROWS, mixed
 LENGTH, GRAM = 200, 128
 REACH = LENGTH - GRAM  # an anchor lies at most so far into a string
 HOT, BATCH_BYTES = 150, 1 << 18
-NO_ID = -(2**63)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -73,7 +72,7 @@ def anchors_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-ANCHOR = "a long, seg long, doc long, rk int, start int, len int, at int"
+ANCHOR = "a long, seg long, doc long, rk long, start int, len int, at int"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -257,7 +256,7 @@ def repeated_strings(segments: list[bytes], where: np.ndarray, length: int = LEN
     return segment[good], offset[good]
 
 
-SPAN = "doc long, rk int, start int, end int"
+SPAN = "doc long, rk long, start int, end int"
 
 
 def _spans_of_batches(batches):
@@ -311,8 +310,13 @@ def merged(spans: pd.DataFrame) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc`` and ``rk`` are 128 bits that stand for a row's number and text: texts that share a number, or have none, are told apart."""
     return texts_of(docs).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash(F.col("text")).alias("rk"), "text", F.octet_length("text").alias("n_bytes")
+        "doc_id",
+        F.xxhash64("doc_id", "text").alias("doc"),
+        F.xxhash64(F.lit(7), F.col("text"), F.col("doc_id")).alias("rk"),
+        "text",
+        F.octet_length("text").alias("n_bytes"),
     )
 
 
@@ -353,7 +357,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     wide = long_texts.select("doc", "rk", "text").join(by_doc, ["doc", "rk"])
     # The same segments may be cut from repeated rows of one document.
-    segments = stored(wide.mapInPandas(cut, "a long, doc long, rk int, start int, seg binary, at int, hot boolean").dropDuplicates(["a", "doc", "rk", "start"]), "segments")
+    segments = stored(wide.mapInPandas(cut, "a long, doc long, rk long, start int, seg binary, at int, hot boolean").dropDuplicates(["a", "doc", "rk", "start"]), "segments")
     cold = segments.filter("not hot").repartition(n, "a").sortWithinPartitions("a", "doc", "start")
     from_transform = cold.mapInPandas(_spans_of_batches, SPAN)
 
@@ -374,7 +378,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     "rk": np.repeat(part["rk"].to_numpy(), counts), "start": np.concatenate(starts),
                 })
 
-    each = segments.filter("hot").mapInPandas(strings, "w1 long, w2 long, doc long, rk int, start int")
+    each = segments.filter("hot").mapInPandas(strings, "w1 long, w2 long, doc long, rk long, start int")
     place = F.xxhash64("doc", "rk", "start")
     twice = each.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("w1", "w2")
     from_strings = each.join(twice, ["w1", "w2"], "left_semi").select("doc", "rk", "start", (F.col("start") + LENGTH).alias("end"))
@@ -401,16 +405,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: kept are the bytes that are left, end to end."""
     spans = repeated_spans(docs)
     gathered = spans.groupBy("doc", "rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = _keyed(docs).join(gathered, ["doc", "rk"], "left").select("doc", "text", "n_bytes", "spans.start", "spans.end")
+    joined = _keyed(docs).join(gathered, ["doc", "rk"], "left").select("doc_id", "text", "n_bytes", "spans.start", "spans.end")
 
     def work(batches):
         for batch in batches:
             rows = []
-            for doc, text, n, starts, ends in zip(*(batch[c].tolist() for c in ("doc", "text", "n_bytes", "start", "end"))):
+            for text, n, starts, ends in zip(*(batch[c].tolist() for c in ("text", "n_bytes", "start", "end"))):
                 left, removed, count = without_spans(text.encode(), starts, ends)
-                rows.append((None if doc == NO_ID else doc, n, removed, count, left))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+                rows.append((n, removed, count, left))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
 
     return joined.mapInPandas(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

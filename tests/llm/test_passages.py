@@ -45,6 +45,36 @@ def test_repeated_rows_null_number_and_empty_table(make_docs):
     assert found(make_docs([])) == []
 
 
+def test_texts_of_one_number_are_told_apart(make_docs):
+    """Also where 32 bits of the texts, and those bits alone, are equal."""
+    draw = random.Random(9)
+    pair, seen = None, {}
+    while pair is None:
+        stem = "".join(draw.choice("abcdefgh") for _ in range(8))
+        value = passages_hash32(stem * 30)
+        pair = (seen[value], stem * 30) if value in seen and seen[value] != stem * 30 else None
+        seen[value] = stem * 30
+    first, other = pair
+    for number in (None, 7):
+        rows = [(number, first + "!" * 3 + draw_text(draw)), (number, other), (1, other), (2, draw_text(draw) * 2), (number, draw_text(draw))]
+        assert sorted(found(make_docs(rows)), key=str) == sorted(brute_rows(rows), key=str)
+
+
+def passages_hash32(text):
+    """A 32-bit key; two texts of equal keys are found within some ten thousand draws."""
+    import zlib
+
+    return zlib.crc32(text.encode()) & 0xFFFFFF
+
+
+def draw_text(draw):
+    return "".join(draw.choice("abcdefghijklmnop ") for _ in range(260))
+
+
+def brute_rows(rows):
+    return [(rows[k][0], *rest) for k, *rest in brute.without_repeats([(k, t) for k, (_, t) in enumerate(rows)])]
+
+
 def test_boundaries_of_suffixes():
     rnd = random.Random(6)
     segments = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(1, 40))) for _ in range(12)]
