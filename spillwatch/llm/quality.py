@@ -4,8 +4,9 @@ Filters of ``WIDTH`` bytes slide over the whole text. Their responses are max-po
 overlapping the next by half, rectified, and the chunks' vectors are combined by their mean and their maximum into one
 probability. A filter is a table of byte weights per place, so scoring is table lookups over the bytes of many documents at once.
 
-Training sees at most ``SAMPLE`` labelled documents (those with the smallest hash of ``doc_id``, of the rows that are not held out) and at
-most ``WINDOWS`` windows of each, spread over the whole text. Both are parameters; scoring reads every byte of every document.
+Training sees whole texts of at most ``SAMPLE`` labelled documents, those with the smallest hash of ``doc_id`` of the rows that are not held
+out, and no more of them than ``SAMPLE_BYTES`` hold (a longer text is no part of the sample). Both are parameters; windows are drawn from all of a
+text, and scoring reads every byte of every document.
 
 Defined cases: null text is empty, and an empty text has the score of a zero vector; null labels are no labels; a labelled row without
 a document is ignored; a null ``doc_id`` has hash 0 and is held out; with no labelled rows at all every score is ``PRIOR``; equal
@@ -21,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import prepare, stored, texts_of
 
 WIDTH, FILTERS, CHUNK = 4, 8, 256
 HALF = CHUNK // 2
-SAMPLE, WINDOWS, STEPS = 2000, 24, 700
+SAMPLE, SAMPLE_BYTES, STEPS = 2000, 64 << 20, 700
 FOLDS, THRESHOLD, PRIOR = 5, 0.3, 0.5
 # Bytes of text that are scored at once.
 SLAB = 1 << 20
@@ -81,14 +82,6 @@ def score(texts: list[bytes], network: Network, tables: list[np.ndarray]) -> np.
     return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def windows_of(text: bytes, count: int = WINDOWS) -> bytes:
-    """At most ``count`` windows of a chunk's length, evenly spread, end to end."""
-    if len(text) <= count * CHUNK:
-        return text
-    starts = np.linspace(0, len(text) - CHUNK, count).astype(int)
-    return b"".join(text[s : s + CHUNK] for s in starts)
-
-
 def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> Network:
     """Adam on the logistic loss; only the places that win the max-pooling carry gradients."""
     rng = np.random.default_rng(seed)
@@ -152,8 +145,8 @@ def calibrated(network: Network, texts: list[bytes], labels: np.ndarray) -> Netw
     return Network(network.bytes_, network.bias, (network.out * a).astype(np.float32), network.out_bias * a + b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Network | None:
-    """A network for ``labels.quality`` from at most ``sample`` documents; None where no labelled document exists."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """A network for ``labels.quality`` from at most ``sample`` whole documents of ``sample_bytes`` in all; None where there is none."""
     prepare(docs)
     rows = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -162,14 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int =
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-
-    @F.pandas_udf("binary")
-    def spread(text: pd.Series) -> pd.Series:
-        return pd.Series([windows_of(t.encode(), windows) for t in text])
-
     # ``wanted`` has ``sample`` rows at most, so it is safe to broadcast.
     found = texts_of(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
-    got = found.select("doc_id", "quality", spread("text").alias("seen")).collect()
+    found = stored(found.withColumn("size", F.octet_length("text")), "quality-sample")
+    taken, held = [], 0
+    for row in found.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held + row["size"] <= sample_bytes:
+            taken.append(row["doc_id"])
+            held += row["size"]
+    got = found.filter(F.col("doc_id").isin(taken)).select("doc_id", "quality", F.encode("text", "utf-8").alias("seen")).collect()
     if not got:
         return None
     got.sort(key=lambda r: r["doc_id"])
