@@ -44,9 +44,10 @@ BLOCK = 1024
 MORE_PAIRS = 16
 # Rows of document numbers that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
-SLAB_CHARS = 1_000_000
+# Characters whose words are hashed at once, and those whose rows leave a Python worker at once.
+SLAB_CHARS, YIELD_CHARS = 250_000, 2_000_000
 # Partners of a centre that share one copy of its set.
-PARTNERS = 500
+PARTNERS = 100
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _up = _down = np.ones(1, np.uint64)
@@ -193,9 +194,18 @@ def with_several_sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).filter("lo <> hi").select("doc")
 
 
+def parts_of(batches):
+    """Batches of texts cut into parts of about ``YIELD_CHARS`` characters, so memory doesn't follow the batch."""
+    for batch in batches:
+        sizes = np.cumsum(batch["text"].str.len().to_numpy(np.int64)) // YIELD_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(batch)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield batch.iloc[lo:hi]
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def work(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             sets = shingle_sets(batch["text"].tolist(), words)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             wide = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
@@ -208,17 +218,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def _dealt(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
     def work(batches):
         tiles = Tiles(t)
-        for batch in batches:
-            ids, prints = [], []
-            for doc, hashes in zip(batch["doc"].tolist(), shingle_sets(batch["text"].tolist(), words)):
-                if len(hashes):
-                    prints.append(tiles.fingerprints(hashes))
-                    ids.append(np.full(len(prints[-1]), doc, np.int64))
-                if len(ids) >= 1000:
-                    yield pd.DataFrame({"print": np.concatenate(prints).view(np.int64), "node": np.concatenate(ids)})
-                    ids, prints = [], []
-            if ids:
-                yield pd.DataFrame({"print": np.concatenate(prints).view(np.int64), "node": np.concatenate(ids)})
+        for batch in parts_of(batches):
+            sets = shingle_sets(batch["text"].tolist(), words)
+            some = [(doc, tiles.fingerprints(hashes)) for doc, hashes in zip(batch["doc"].tolist(), sets) if len(hashes)]
+            if some:
+                ids = np.repeat(np.array([doc for doc, _ in some], np.int64), [len(prints) for _, prints in some])
+                yield pd.DataFrame({"print": np.concatenate([prints for _, prints in some]).view(np.int64), "node": ids})
 
     return docs.mapInPandas(work, "print long, node long")
 
@@ -261,7 +266,7 @@ def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
     """``node, n, map``, a bitmap of the width of the set's band."""
 
     def work(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             sets = shingle_sets(batch["text"].tolist(), words)
             maps = [bitmap(s, bitmap_bits(max(1, len(s)))).tobytes() for s in sets]
             yield pd.DataFrame({"node": batch["doc"], "n": [len(s) for s in sets], "map": maps})
@@ -271,7 +276,7 @@ def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
     def work(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             sets = shingle_sets(batch["text"].tolist(), words)
             yield pd.DataFrame({"node": batch["doc"], "hashes": [s.tobytes() for s in sets]})
 
@@ -384,12 +389,18 @@ def pairs_of_tile(rows: list[tuple], t: Fraction, each: int):
     return out
 
 
+def _members() -> list:
+    """What tells the nodes of a print from those of another: equal only for equal sets of nodes."""
+    number = F.xxhash64("node")
+    return [F.bit_xor(number).alias("x"), F.sum(number.cast("decimal(38,0)")).alias("s"), F.count("*").alias("members")]
+
+
 def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared: DataFrame, t: Fraction, each: int) -> DataFrame:
     """Pairs that must still be compared, of prints that join several components."""
     labelled = shared.select("print", "node").join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
     mixed_prints = (
         labelled.groupBy("print")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.count("*").alias("members"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *_members())
         .filter("lo < hi").groupBy("x", "s", "members").agg(F.min("print").alias("print"))
     )
     rows = labelled.join(mixed_prints.select("print", "members"), "print")
@@ -460,12 +471,17 @@ def _placed(texts: DataFrame, rows: DataFrame, words: int, threshold: Fraction)
     nodes = chosen(texts, stored(copies, "copies"), "left_anti")
     n = partitions_of(texts.sparkSession)
     dealt = _dealt(nodes, words, threshold).repartition(n, "print").sortWithinPartitions("print", "node")
-    shared = stored(dealt.mapInPandas(_with_centres, "print long, node long, centre long").distinct(), "shared-prints")
+    shared = stored(dealt.mapInPandas(_with_centres, "print long, node long, centre long").distinct(), "all-shared-prints")
+    # Prints that the same nodes share say the same; one of them stays, with how many it stands for.
+    same_nodes = (
+        shared.groupBy("print").agg(*_members()).groupBy("x", "s", "members").agg(F.min("print").alias("print"), F.count("*").alias("prints"))
+    )
+    shared = stored(shared.join(same_nodes.select("print", "prints"), "print"), "shared-prints")
     candidates = stored(shared.select(F.col("node").alias("doc")).distinct(), "candidates")
     maps = stored(_bitmaps(chosen(texts, candidates, "inner"), words).filter("n > 0"), "bitmaps")
 
     best = (
-        shared.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
+        shared.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.sum("prints").alias("n"))
         .groupBy("node").agg(F.max(F.struct("n", (-F.xxhash64("centre")).alias("h"), "centre")).alias("best"))
         .select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
     )
