@@ -633,10 +633,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     texts = files(spark, sf).select("file", "content").unionByName(page_texts(spark, sf))
-    secrets, paths = scan_both(texts)
-    return secrets.select(F.lit("secret").alias("kind"), "file", F.col("value").alias("found")).unionByName(
-        paths.select(F.lit("endpoint").alias("kind"), "file", F.col("path").alias("found"))
-    )
+    return scan_both(texts).select("kind", "file", F.col("value").alias("found"))
 
 
 @query(

@@ -29,12 +29,20 @@ def shannon_entropy(value: Column) -> Column:
     return F.when(F.octet_length(value) == 0, F.lit(0.0)).otherwise(summed)
 
 
+def first_line(content: Column, value: Column) -> Column:
+    """1-based line of the first occurrence of a ``value`` that does occur: line feeds in what comes before it."""
+    before = F.call_function("substring_index", content, value, F.lit(1))
+    return (F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
 def line_number(content: Column, value: Column) -> Column:
     """1-based line of the first occurrence of ``value`` in ``content``; null when it does not occur."""
-    at = F.instr(content, value)
-    before = F.substring(content, F.lit(1), at - 1)
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return F.when(at > 0, line)
+    return F.when(F.contains(content, value), first_line(content, value))
+
+
+def distinct_values(values: Column) -> Column:
+    """Values in the order in which they are found, each once. A rule may match nothing at all; that is no value."""
+    return F.array_distinct(F.filter(values, lambda v: v != ""))
 
 
 def is_false_positive(value: Column, deny: Iterable[str] | None = None) -> Column:

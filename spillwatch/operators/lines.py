@@ -2,72 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import line_number
-from ..shipping import ship_package
-
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
-# Up to this many values, each is looked up in the text on its own; more of them share one pass over it,
-# so a text with very many findings costs no more than its length.
-FEW_VALUES = 32
-
-
-def first_starts(text: str, values: list[str]) -> list[int]:
-    """Where each value first occurs in the text; every value does occur."""
-    if ahocorasick is None:
-        return [text.find(value) for value in values]
-    automaton = ahocorasick.Automaton()
-    for number, value in enumerate(values):
-        automaton.add_word(value, number)
-    automaton.make_automaton()
-    starts: dict[int, int] = {}
-    for end, number in automaton.iter(text):
-        if number not in starts:
-            starts[number] = end - len(values[number]) + 1
-    return [starts[number] for number in range(len(values))]
-
-
-def first_lines(text: str, values: list[str]) -> list[int]:
-    """1-based line of the first occurrence of each value, in one pass over the text."""
-    starts = first_starts(text, values)
-    lines, line, done = [0] * len(values), 1, 0
-    for number in sorted(range(len(values)), key=starts.__getitem__):
-        line += text.count("\n", done, starts[number])
-        done = starts[number]
-        lines[number] = line
-    return lines
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _many_lines(texts: pa.Array, values: pa.Array) -> pa.Array:
-    rows = zip(texts.to_pylist(), values.to_pylist())
-    return pa.array([None if text is None else first_lines(text, found) for text, found in rows], pa.list_(pa.int32()))
+from ..functions.text import distinct_values, first_line
 
 
 def explode_lined(files: DataFrame, values: Column, keep: list[str]) -> DataFrame:
     """``(*keep, value, line)``: each distinct value of each row's ``content`` once; the text is gone from here on."""
-    ship_package(files.sparkSession)
-    # A rule may match nothing at all; that is no value.
-    values = F.filter(values, lambda v: v != "")
-    # Exploding a list of at most one list drops the texts without any value, and looks for the values only once.
-    some = F.filter(F.array(F.array_distinct(values)), lambda v: F.size(v) > 0)
-    found = files.select(*keep, "content", F.explode(some).alias("value"))
-    content, many = F.col("content"), F.size("value") > FEW_VALUES
-    few = F.transform("value", lambda v: line_number(content, v).cast("int"))
-    split = found.select(
-        *keep,
-        "value",
-        F.when(~many, few).alias("_few"),
-        F.when(many, content).alias("_text"),
-        F.when(many, F.col("value")).alias("_many"),
-    )
-    lined = split.select(*keep, "value", F.coalesce("_few", _many_lines("_text", "_many")).alias("line"))
-    return lined.select(*keep, F.inline(F.arrays_zip("value", "line")))
+    content = F.col("content")
+    lined = F.transform(distinct_values(values), lambda v: F.struct(v.alias("value"), first_line(content, v).alias("line")))
+    return files.select(*keep, F.inline(lined))

@@ -1,8 +1,8 @@
 """Secret matching: screen, match, filter, dedupe.
 
-``files`` always has ``file`` and ``content``; one row is one file. The text stays in the
-scan stage: what leaves it is one small row per match, so every shuffle is as big as
-the matches and not as big as the text.
+``files`` always has ``file`` and ``content``; one row is one file, and stays one until values exist: the rules that can
+match it are an array next to the text, and the matching is one expression over both. What leaves the scan stage is one small row
+per match, so every shuffle is as big as the matches and not as big as the text.
 """
 
 from __future__ import annotations
@@ -13,56 +13,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.screen import text_screen
-from ..functions.text import detector_label, is_false_positive, mask_value, shannon_entropy
+from ..functions.text import detector_label, distinct_values, first_line, is_false_positive, mask_value, shannon_entropy
 from ..rules import RuleSet
-from ..rules.ruleset import MAX_BROADCAST_BYTES, rule_labels, rule_matchers
+from ..rules.ruleset import MAX_BROADCAST_BYTES, rule_array, rule_labels
 from ..shipping import ship_package
-from .lines import explode_lined
 
 
 def candidates(
     files: DataFrame, rules: RuleSet, keyword_only: bool = False, strict_keyword_case: bool = False
 ) -> DataFrame:
-    """Files joined with the rules that can match them, each pair once; keeps the file's columns."""
+    """Files, still one row each, with the rules that can match them in ``rules``."""
     ship_package(files.sparkSession)
-    joined = None
+    content, parts = F.col("content"), []
     for part in rules.slices():
+        place = {row["ord"]: k for k, row in enumerate(part.rows, 1)}
+
+        def places(chosen: RuleSet, fold: bool, strict: bool = False) -> Column:
+            spec = chosen.screen_spec(keyword_only, strict)
+            return text_screen(content, tuple((place[number], sets, run) for number, sets, run in spec), fold)
+
         if strict_keyword_case:
             # Keywords are compared as written, what other rules need in any case.
-            written = text_screen(F.col("content"), part.indexed().screen_spec(keyword_only, True), fold=False)
             other = part.where(lambda rule: not rule["indexed"])
-            ords = F.concat(written, text_screen(F.col("content"), other.screen_spec(keyword_only))) if len(other) else written
+            found = places(part.indexed(), False, True)
+            found = F.concat(found, places(other, True)) if len(other) else found
         else:
-            ords = text_screen(F.col("content"), part.screen_spec(keyword_only))
-        screened = files.withColumn("ord", F.explode(ords))
-        # A slice of the rules is at most MAX_BROADCAST_BYTES.
-        pairs = screened.join(F.broadcast(rule_matchers(part, files.sparkSession)), "ord")
-        joined = pairs if joined is None else joined.unionByName(pairs)
-    return joined
+            found = places(part, True)
+        own = rule_array(part)
+        parts.append(F.transform(found, lambda k: F.element_at(own, k)))
+    # No filter on the rules here: it would move below and run the screen twice. A file without rules leaves no rows later.
+    return files.withColumn("rules", F.concat(*parts))
 
 
 def prefilter(files: DataFrame, rules: RuleSet, strict_keyword_case: bool = False) -> DataFrame:
     """``(file, ord)``: the indexed rules whose keyword occurs in a file."""
     found = candidates(files, rules.indexed(), keyword_only=True, strict_keyword_case=strict_keyword_case)
-    return found.select("file", "ord")
+    return found.select("file", F.explode("rules.ord").alias("ord"))
 
 
-def _values_of(content: Column, regex: Column, guard: Column) -> Column:
-    values = F.regexp_extract_all(content, regex, F.lit(0))
-    return F.when(guard.isNull(), values).when(F.rlike(content, guard), values)
+def _values_of(content: Column, rule: Column) -> Column:
+    values = F.regexp_extract_all(content, rule["java_regex"], F.lit(0))
+    return F.when(rule["java_guard"].isNull(), values).when(F.rlike(content, rule["java_guard"]), values)
 
 
 def match_rules(found: DataFrame) -> DataFrame:
-    """``(file, ord, pos, value)``: all non-overlapping whole matches of each candidate pair."""
-    values = _values_of(F.col("content"), F.col("java_regex"), F.col("java_guard"))
-    return found.select("file", "ord", F.posexplode(values).alias("pos", "value"))
+    """``(file, ord, pos, value)``: all non-overlapping whole matches of each candidate rule."""
+    content = F.col("content")
+    each = F.transform("rules", lambda r: F.struct(r["ord"].alias("ord"), _values_of(content, r).alias("found")))
+    matched = found.select("file", F.explode(F.filter(each, lambda m: F.size(m["found"]) > 0)).alias("m"))
+    return matched.select("file", "m.ord", F.posexplode("m.found").alias("pos", "value"))
+
+
+RULE_COLUMNS = ["rank", "entropy_check", "min_entropy", "min_length", "max_length", "context_keywords"]
+
+
+def matches_of_row(content: Column, rules: Column) -> Column:
+    """An array of the distinct values of each rule with their lines, and what the filters need of the rule."""
+
+    def of_rule(r):
+        named = [r[name].alias(name) for name in RULE_COLUMNS]
+        return F.transform(distinct_values(_values_of(content, r)), lambda v: F.struct(*named, v.alias("value"), first_line(content, v).alias("line")))
+
+    # A rule whose guard fails has no list at all.
+    return F.flatten(F.filter(F.transform(rules, of_rule), lambda found: found.isNotNull()))
 
 
 def distinct_matches(found: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """One row per candidate pair and distinct value, with its line; the text is gone from here on."""
-    values = _values_of(F.col("content"), F.col("java_regex"), F.col("java_guard"))
-    rule_columns = ["rank", "entropy_check", "min_entropy", "min_length", "max_length", "context_keywords"]
-    return explode_lined(found, values, ["file", *keep, *rule_columns])
+    """One row per candidate rule and distinct value, with its line; the text is gone from here on."""
+    return found.select("file", *keep, F.inline(matches_of_row(F.col("content"), F.col("rules"))))
 
 
 def min_entropy_active(entropy_check: Column, min_entropy: Column) -> Column:

@@ -7,12 +7,17 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import detector_label, is_false_positive
+from ..operators import endpoints as e
 from ..operators import matching as m
 from ..rules import RuleSet, built_in
+from ..rules.ruleset import MAX_BROADCAST_BYTES, rule_labels
+from .endpoints import METHOD, REGEX_SOURCE
 
 MODES = ("fast", "deep")
 # Copies of the findings of one text, so that a text with very many copies is joined by many tasks.
 SALTS = 16
+SECRETS_IN_ROW = "array<struct<kind:string,rank:bigint,value:string,line:int,entropy_check:boolean,min_entropy:double>>"
 
 
 def select_rules(rules=None, mode: str = "fast", tag: str | None = None, severity: str | None = None) -> RuleSet:
@@ -77,8 +82,33 @@ def _firsts_of_distinct_content(files, rules, deny, enforce_bounds, strict_keywo
     return copies.join(salted, ["key", "salt"]).select("file", "value", "rank", "line")
 
 
-def scan_both(files: DataFrame, rules=None, mode: str = "fast") -> tuple[DataFrame, DataFrame]:
-    """Secrets and endpoints of one input. Persist ``files`` first when reading it is the costly part."""
-    from .endpoints import scan_endpoints
+def scan_both(files: DataFrame, rules=None, mode: str = "fast") -> DataFrame:
+    """Secrets and endpoints of one input, which is read once: a finding's ``kind`` is ``secret`` or ``endpoint``.
 
-    return scan_secrets(files, rules, mode), scan_endpoints(files)
+    Columns are those of both scans; a secret's ``value`` is its text and an endpoint's its path, and what the other kind has is null.
+    """
+    chosen = select_rules(rules, mode)
+    content = F.col("content")
+    screened = m.candidates(files.select("file", "content"), chosen)
+    secrets = F.transform(
+        m.matches_of_row(content, F.col("rules")),
+        lambda s: F.struct(F.lit("secret").alias("kind"), s["rank"].alias("rank"), s["value"].alias("value"), s["line"].alias("line"),
+                           s["entropy_check"].alias("entropy_check"), s["min_entropy"].alias("min_entropy")),
+    )
+    paths = F.transform(
+        F.filter(e.distinct_paths(content), e.is_endpoint),
+        lambda p: F.struct(F.lit("endpoint").alias("kind"), F.lit(None).cast("long").alias("rank"), p.alias("value"), F.lit(None).cast("int").alias("line"),
+                           F.lit(False).alias("entropy_check"), F.lit(0.0).alias("min_entropy")),
+    )
+    none = F.array().cast(SECRETS_IN_ROW)
+    found = screened.select("file", F.inline(F.concat(F.coalesce(secrets, none), F.coalesce(paths, none))))
+    found = m.entropy_filter(found.where((F.col("kind") == "endpoint") | ~is_false_positive(F.col("value"))))
+    firsts = found.groupBy("kind", "file", "value").agg(F.min("rank").alias("rank"), F.min("line").alias("line"))
+    labels = rule_labels(chosen, files.sparkSession)
+    labelled = firsts.join(F.broadcast(labels) if chosen.nbytes <= MAX_BROADCAST_BYTES else labels, "rank", "left")
+    endpoint = F.col("kind") == "endpoint"
+    return labelled.select(
+        "kind", "rule_id", "type", "value", "file", "line",
+        F.when(~endpoint, detector_label(F.col("severity"))).alias("detector"), "severity", "confidence", "tags",
+        F.when(endpoint, METHOD).alias("method"), F.when(endpoint, REGEX_SOURCE).alias("source"),
+    )

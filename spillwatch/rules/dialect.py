@@ -370,8 +370,7 @@ def _needed(items):
 
 # A value format without any literal still needs one long run of these characters.
 MIN_RUN_LENGTH = 12
-RUN_REGEX = rf"[A-Za-z0-9_\-]{{{MIN_RUN_LENGTH},}}"
-_RUN_MEMBERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+RUN_CHARACTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 
 
 def needed_run(regex: str) -> int:
@@ -407,7 +406,7 @@ def _run_part(op, av):
     """(fewest characters, only run characters?) of one item."""
     members = _members(op, av)
     if members is not None:
-        return 1, members <= _RUN_MEMBERS
+        return 1, members <= RUN_CHARACTERS
     if op is sre.AT:
         return 0, True
     if op is sre.SUBPATTERN:

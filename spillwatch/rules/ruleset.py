@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keywords import is_valid_keyword_text
@@ -19,7 +20,7 @@ DEFAULT_CONFIDENCE = 75
 
 # A rule table is metadata. It is collected to compile it, but never past this many rows.
 MAX_RULES = 200_000
-# Rules above this many bytes of text are scanned in several slices, each one broadcast.
+# Rules above this many bytes of text are scanned in several slices, each one a constant of the plan.
 MAX_BROADCAST_BYTES = 8 << 20
 # Keyword-less rules run before the indexed ones and so name a value that both find.
 INDEXED_RANK_BASE = 1 << 32
@@ -178,7 +179,7 @@ class RuleSet:
         return sum(400 + sum(len(str(value)) for value in r.values()) for r in self.rows)
 
     def slices(self) -> list["RuleSet"]:
-        """Cut so that each part may be broadcast."""
+        """Cut so that each part may travel with the plan."""
         count = max(1, -(-self.nbytes // MAX_BROADCAST_BYTES))
         size = max(1, -(-len(self.rows) // count))
         return [RuleSet(self.rows[i : i + size]) for i in range(0, len(self.rows), size)] or [self]
@@ -240,10 +241,16 @@ def built_in() -> RuleSet:
     return RuleSet.of(_built_in_rules())
 
 
-def rule_matchers(rules: RuleSet, spark: SparkSession) -> DataFrame:
-    """What a scan needs to run a rule, keyed by ordinal."""
-    columns = "ord rank java_regex java_guard entropy_check min_entropy min_length max_length context_keywords"
-    return rules.df(spark).select(*columns.split())
+MATCHER_FIELDS = "ord rank java_regex java_guard entropy_check min_entropy min_length max_length context_keywords".split()
+MATCHER = (
+    "array<struct<ord:int,rank:bigint,java_regex:string,java_guard:string,entropy_check:boolean,min_entropy:double,"
+    "min_length:int,max_length:int,context_keywords:array<string>>>"
+)
+
+
+def rule_array(rules: RuleSet) -> Column:
+    """What a scan needs to run the rules, as one constant array in their order."""
+    return F.from_json(F.lit(json.dumps([{name: row[name] for name in MATCHER_FIELDS} for row in rules.rows])), MATCHER)
 
 
 def rule_labels(rules: RuleSet, spark: SparkSession) -> DataFrame:
