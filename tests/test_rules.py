@@ -281,3 +281,23 @@ def test_slices_cover_all_rules_and_change_nothing(spark, monkeypatch, files):
     parts = built_in().slices()
     assert len(parts) > 1 and sum(map(len, parts)) == len(built_in())
     assert matching.match_rules(matching.candidates(files, built_in())).count() == whole
+
+
+def test_no_rule_reports_a_part_of_a_longer_value():
+    from checks import plants
+
+    for row in built_in().rows:
+        text = f"x {plants.sample(row['regex'], longer=True)} y"
+        match = re.search(row["regex"].replace(r"\z", r"\Z"), text, re.A)
+        assert not match or not re.match(r"\w\w", text[match.end() - 1 :], re.A), row["rule_id"]
+
+
+def test_one_manifest_and_one_line_at_a_time():
+    secret = "apiVersion: v1\nkind: Secret\nmetadata:\n  name: a-b\ntype: Opaque\ndata:\n  key: YWJj\n"
+    first = "apiVersion: v1\ndata:\n  key: YWJj\nkind: Secret\nmetadata:\n  name: c\n"
+    text = "---\n".join([secret, "kind: ConfigMap\ndata:\n  a: b\n", secret, first, "kind: Secret\nmetadata:\n  name: none\n", "kind: Pod\ndata:\n"])
+    rules = {r["rule_id"]: r["regex"] for r in built_in().rows}
+    assert [m.group().count("kind") for m in re.finditer(rules["kubernetes-secret-manifest"], text)] == [1, 1]
+    assert [m.group() for m in re.finditer(rules["kubernetes-secret-data-first"], text)] == ["data:\n  key: YWJj\nkind: Secret"]
+    line = "host=a user=b password=c host=d user=e password=f"
+    assert re.findall(rules["libpq-dsn"], line) == ["host=a user=b password=c", "host=d user=e password=f"]
