@@ -5,6 +5,8 @@ Names start with the inventory's identifiers. All run over whole tables.
 
 from __future__ import annotations
 
+import re
+
 import tempfile
 import uuid
 
@@ -613,6 +615,22 @@ def _(spark, sf):
     return detectors.entropy_tokens(files(spark, sf), threshold=4.2)
 
 
+@query(
+    "e12_random_stretches",
+    f"""with files as materialized ({i.FILES_SQL}),
+ tokens as materialized (select file, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z0-9+/=_-]{{20,}}', 0))) as token from files),
+ lined as (select file, token, {o._line('content', 'token')} as line from tokens join files using (file)),
+ windows as (select token, unnest(range(1, length(token) - 18)) as start from (select distinct token from tokens)),
+ letters as (select token, start, substr(token, start + k, 1) as letter, count(*) as n from windows, range(20) as r(k) group by all),
+ sums as (select token, start, sum(cast(round(1e9 * n / 20.0 * log2(20.0 / n)) as bigint)) as entropy from letters group by token, start),
+ best as (select token, arg_min(start, struct_pack(e := -entropy, s := start)) as start, max(entropy) as entropy from sums group by token)
+ select 'Random stretch' as type, substr(token, start, 20) as value, file, min(line) as line, 'Regex (Entropy)' as detector
+ from best join lined using (token) where entropy >= 3600000000 group by file, substr(token, start, 20)""",
+)
+def _(spark, sf):
+    return detectors.random_stretches(files(spark, sf), threshold=3.6)
+
+
 @query("e13_assigned_secrets", ASSIGNED)
 def _(spark, sf):
     return detectors.assigned_secrets(files(spark, sf))
@@ -758,6 +776,63 @@ def _(spark, sf):
     return pages.inline_scripts(i.derive(spark, sf, i.SCRIPT_PAGES_SQL))
 
 
+def _re2(regex: str) -> str:
+    """The same pattern without possessive repeats."""
+    return o.q(re.sub(r"(?<=[*+?])\+", "", regex))
+
+
+_DOTS = "case when starts_with(path, '/') then path else concat('/', path) end"
+for _ in range(3):
+    _DOTS = f"regexp_replace({_DOTS}, '/[.](/|$)', '/', 'g')"
+for _ in range(5):
+    _DOTS = f"regexp_replace({_DOTS}, '^(/[.][.])+(/|$)', '/')"
+    _DOTS = f"regexp_replace({_DOTS}, '/[^/]+/[.][.](/|$)', '/')"
+_DOTS = f"regexp_replace({_DOTS}, '^(/[.][.])+(/|$)', '/')"
+
+
+def _resolved(ref: str, base: str) -> str:
+    """SQL columns of a reference's parts, resolved step by step."""
+    return f"""select *, case when regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') then {ref} when starts_with({ref}, '//') then concat(split_part({base}, '//', 1), {ref})
+  when {ref} = '' then split_part({base}, '#', 1) when starts_with({ref}, '#') then concat(split_part({base}, '#', 1), {ref})
+  when starts_with({ref}, '?') then concat(split_part(split_part({base}, '#', 1), '?', 1), {ref})
+  else concat(origin, {_DOTS}, rest) end as target from (
+   select *, regexp_extract({base}, '^[a-z]+://[^/?#]*', 0) as origin, regexp_extract({ref}, '[?#].*$', 0) as rest,
+    concat(case when starts_with({ref}, '/') then '' else regexp_extract(regexp_extract({base}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^(.*/)?', 0) end,
+     regexp_extract({ref}, '^[^?#]*', 0)) as path from"""
+
+
+PAGE_PIECES = f"""pieces as (select page_id, url, generate_subscripts(l, 1) as n, unnest(l) as piece from (select page_id, url,
+  regexp_extract_all(html, {_re2(pages.PIECE)}, 0) as l from ({{source}})))"""
+_ATTRIBUTES = f"""attributes as (select page_id, url, n, lower(regexp_extract(tag, '^<[a-zA-Z]+', 0)) as element, generate_subscripts(names, 1) as m, unnest(names) as name, unnest(vals) as val
+  from (select *, regexp_extract_all(tag, {_re2(pages.ATTRIBUTE)}, 1) as names, regexp_extract_all(tag, {_re2(pages.ATTRIBUTE)}, 2) as vals
+   from (select *, regexp_extract(piece, {_re2(rf"(?i)^(?:{pages.SCRIPT_OPEN}|{pages.START_TAG})")}, 0) as tag from pieces where not starts_with(piece, '<!--')))),
+ given as (select page_id, url, n, m, element, replace(replace(replace(replace(trim(regexp_replace(regexp_replace(val, '^[\"'']', ''), '[\"'']$', '')),
+  '&#47;', '/'), '&#x2F;', '/'), '&lt;', '<'), '&amp;', '&') as ref from attributes where lower(name) in ('src', 'href') and val <> '')"""
+
+
+@query(
+    "f11_resolved_references",
+    f"""with {PAGE_PIECES.format(source=i.REFERENCE_PAGES_SQL)}, {_ATTRIBUTES},
+ bases as (select page_id, arg_min(target, n) as base from ({_resolved('ref', 'url')} (select * from given where element = '<base'))) group by page_id),
+ placed as (select page_id, cast(row_number() over (partition by page_id order by n, m) - 1 as integer) as pos, ref, coalesce(base, url) as base
+  from given left join bases using (page_id))
+ select page_id, pos, target as url from ({_resolved('ref', 'base')} placed))""",
+)
+def _(spark, sf):
+    return pages.page_references(i.derive(spark, sf, i.REFERENCE_PAGES_SQL))
+
+
+@query(
+    "f12_tokenized_scripts",
+    f"""with {PAGE_PIECES.format(source=i.SCRIPT_TEXTS_SQL)}, scripts as (
+  select page_id, url, row_number() over (partition by page_id order by n) - 1 as pos, regexp_extract(piece, {_re2(rf"(?is)^{pages.SCRIPT_OPEN}(.*){pages.SCRIPT_CLOSE}$")}, 1) as content
+  from pieces where regexp_matches(piece, {_re2(rf"(?i)^{pages.SCRIPT_OPEN}")}))
+ select url, concat('page_', page_id, '_', pos) as file, content from scripts where trim(content) <> ''""",
+)
+def _(spark, sf):
+    return pages.inline_scripts(i.derive(spark, sf, i.SCRIPT_TEXTS_SQL))
+
+
 # ------------------------------------------------------------------- URL lists
 
 

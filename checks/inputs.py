@@ -175,6 +175,21 @@ SCRIPT_PAGES_SQL = f"""select page_id, url, concat(html, {NL}, '<script src=', {
     "'https://cdn.example.org/a.js'", "'//static.example.org/b.js?x=1'", "'/js/c.js'", "'d.js'", "'js/e.css'"])}, {DQ}, '></script>',
  '<SCRIPT>var n = ', cast(page_id as string), ';', {NL}, 'go();</SCRIPT><script> </script>') as html from pages"""
 
+# References of every form, tags that are none, and a base on some pages.
+REFERENCE_PAGES_SQL = f"""select page_id, concat(url, case page_id % 3 when 0 then '?page=1#top' else '' end) as url, concat(
+ case page_id % 5 when 0 then '<BASE target=x HREF=/base/dir/file.html>' when 1 then '<base href="https://base.example.org">' else '' end, html, {NL},
+ '<!-- <a href="hidden.js"> -->', '<a title=', {DQ}, '> src=no.js', {DQ}, ' href=', {DQ}, {case_of('page_id', [
+    "'../up.js'", "'./x/./y.js?z=../1'", "'a/b/../../../../c.js'", "'//h.example.org/d.js'", "'?q=1'", "'#part'", "''", "'..'", "'/r/../s/./t.js#u'", "'.'",
+    "'mailto:a@example.org'", "'https://e.example.org/../f.js'"])}, {DQ}, '><img src=unquoted.png/a alt=', {DQ}, {DQ},
+ '><link href=', {DQ}, 'g.css?a=1&amp;b=&#47;&#x2F;&amp;lt;', {DQ}, '><p src><script>s = ', {DQ}, '<a href=q.js>', {DQ}, ';</script >', '<a data-href=n.js>')
+ as html from pages"""
+
+# Scripts that hold what looks like the end of one, or stand where none can.
+SCRIPT_TEXTS_SQL = f"""select page_id, url, concat('<!-- <script>no();</script> ', case page_id % 2 when 0 then '--><script>' else '-><script>still no</script>--><SCRIPT async src=x>' end,
+ html, '</script ><script type=', {DQ}, 'a>b', {DQ}, '><!--', {NL}, 'one(', cast(page_id as string), ');', {NL}, '--></script', {NL}, '>',
+ '<p title=', {DQ}, '<script>quoted</script>', {DQ}, '><script/>two</script/><scripty>no</scripty><script>', {case_of('page_id', [
+    "'var s = \"</scripts>\"; </script>'", "'open'", "' </script>'"])}) as html from pages"""
+
 # A fetch log over the event table; the body size comes from the value.
 FETCH_LOG_SQL = """select event_id as url_id,
  case event_id % 8 when 0 then 200 when 1 then 204 when 2 then 304 when 3 then 404 when 4 then 429 when 5 then 500

@@ -193,16 +193,40 @@ def generate_filename(url: Column, index: Column) -> Column:
     )
 
 
+def without_dot_segments(path: Column) -> Column:
+    """A path with ``.`` and ``..`` worked off, segment by segment; what would climb above the root is dropped."""
+    segments = F.split(path, "/", -1)
+    last = F.element_at(segments, -1)
+
+    def step(kept, segment):
+        # The first segment, the empty one before the root, stays.
+        return (
+            F.when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+            .when(segment == ".", kept)
+            .otherwise(F.array_append(kept, segment))
+        )
+
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.slice(segments, 1, 1), step)
+    closed = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.startswith("/"), F.array_join(closed, "/")).otherwise(path)
+
+
 def resolve_url(reference: Column, base_url: Column) -> Column:
-    """A ``src`` or ``href`` value as an absolute URL, given the page it stands on."""
+    """A ``src`` or ``href`` value as an absolute URL, given the page it stands on or the base that the page names."""
+    scheme = F.regexp_extract(base_url, f"^{_SCHEME}", 0)
     page = F.regexp_extract(base_url, "^[^?#]*", 0)
     origin = F.regexp_extract(page, rf"^{_SCHEME}//[^/]*", 0)
-    folder = F.when(page.rlike(rf"^{_SCHEME}//[^/]*\z"), F.concat(page, F.lit("/"))).otherwise(F.regexp_extract(page, "^.*/", 0))
+    path = F.substring(page, F.length(origin) + 1, F.length(page))
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "^.*/", 0))
+    own, rest = F.regexp_extract(reference, "^[^?#]*", 0), F.regexp_extract(reference, r"(?s)[?#].*\z", 0)
     return (
         F.when(reference.rlike(f"^{_SCHEME}"), reference)
-        .when(reference.startswith("//"), F.concat(F.regexp_extract(page, f"^{_SCHEME}", 0), reference))
-        .when(reference.startswith("/"), F.concat(origin, reference))
-        .otherwise(F.concat(folder, reference))
+        .when(reference.startswith("//"), F.concat(scheme, reference))
+        .when(reference == "", F.regexp_extract(base_url, "^[^#]*", 0))
+        .when(reference.startswith("?"), F.concat(page, reference))
+        .when(reference.startswith("#"), F.concat(F.regexp_extract(base_url, "^[^#]*", 0), reference))
+        .when(reference.startswith("/"), F.concat(origin, without_dot_segments(own), rest))
+        .otherwise(F.concat(origin, without_dot_segments(F.concat(folder, own)), rest))
     )
 
 

@@ -281,3 +281,72 @@ def test_lines_of_any_number_of_values(spark):
     for r in rows:
         text = by_name[r["file"]]
         assert r["line"] == text.count("\n", 0, text.index(r["value"])) + 1
+
+
+def test_most_random_window(monkeypatch):
+    import math
+    import random
+
+    from spillwatch.operators import detectors
+
+    def plain(token, width):
+        def bits(window):
+            return sum(round(10**9 * window.count(c) / width * math.log2(width / window.count(c))) for c in set(window))
+
+        return max(((bits(token[k : k + width]), -k) for k in range(len(token) - width + 1)), default=None)
+
+    draw = random.Random(3)
+    for blocks in (1 << 16, 7):
+        monkeypatch.setattr(detectors, "WINDOWS", blocks)
+        for width in (4, 20):
+            terms = detectors.window_terms(width)
+            for n in (width, width + 1, 60, 200):
+                token = "".join(draw.choice("aaab0123456789é") for _ in range(n))
+                start, bits = detectors.most_random(token, width, terms)
+                assert (bits, -start) == plain(token, width)
+
+
+def test_random_stretches_inside_longer_tokens(spark):
+    from spillwatch.operators import detectors
+
+    key = "q7Kx3vB9mZ2tR5wY8cN4"
+    text = f"x\n/{'a' * 30}/{key}/{'b' * 30} {key} short\n{'a' * 25}"
+    df = spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file string, content string")
+    # Of windows that are equally random the first counts.
+    found = {(r["value"], r["line"], r["detector"]) for r in detectors.random_stretches(df).collect()}
+    assert found == {(key, 2, "Regex (Entropy)"), (f"a/{key[:18]}", 2, "Regex (Entropy)")}
+
+
+def test_references_resolve_like_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    references = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g"]
+    references += ["../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "g;x=1/../y", "g?y/./x"]
+    references += ["g?y/../x", "g#s/../x"]
+    bases = ["http://a/b/c/d;p?q", "https://h.org", "https://h.org/", "https://h.org/x/?a=/b#/c"]
+    rows = [(r, b) for r in references for b in bases]
+    df = spark.createDataFrame(rows, "r string, b string").select("r", "b", urls.resolve_url(F.col("r"), F.col("b")).alias("url"))
+    for row in df.collect():
+        # The library keeps the base's fragment with an empty reference, and an empty path before a query; none and the root are meant.
+        want = urljoin(row["b"], row["r"]) if row["r"] else row["b"].split("#")[0]
+        assert row["url"] in (want, want + "/", want.replace("h.org?", "h.org/?")), row
+
+
+def test_pieces_of_a_page(spark):
+    from html.parser import HTMLParser
+
+    from spillwatch.operators import pages
+
+    class Plain(HTMLParser):
+        found = []
+
+        def handle_starttag(self, tag, attributes):
+            self.found += [v.strip() for k, v in attributes if k in ("src", "href") and v is not None]
+
+    html = """<!doctype html><A HREF = 'x.js?a=1&amp;b=2' title="> href=no.js"><img/src=y.png><!-- <a href=c.js> --><p class=a'b href=&#x41;&#228;.js>
+    <script>if (a < b) { "<a href=s.js>" } // <!-- </script\n><a title='"' data-src=n.js href="z.js"/><br><a href=last.js"""
+    Plain().feed(html)
+    df = spark.createDataFrame([(1, "https://h.org/", html), (2, "https://h.org/", None), (3, "https://h.org/", "<" * 50_000 + "a='" * 50_000)], "page_id long, url string, html string")
+    got = [r["url"] for r in pages.page_references(df).orderBy("page_id", "pos").collect()]
+    assert got == ["https://h.org/" + v for v in Plain.found] and len(got) == 4
+    assert [r["content"] for r in pages.inline_scripts(df).collect()] == ['if (a < b) { "<a href=s.js>" } // <!-- ']
