@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_key
+from .common import prepare, text_key, tidy
 
 MAX_EDITS = 0.2  # of the item's length
 # Items with fewer bytes match between the edges of words only.
@@ -394,7 +394,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if rows:
-            out = out.unionByName(texts.mapInPandas(_finder(rows), FOUND))
+            out = out.unionByName(texts.mapInPandas(tidy(_finder(rows)), FOUND))
     return out
 
 

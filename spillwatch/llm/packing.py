@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import prepare, texts_of
+from .common import prepare, texts_of, tidy
 from .tokens import crc_of, default_path, encoded_slabs
 
 WINDOW, MAX_OPEN = 4096, 2048
@@ -160,4 +160,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
         yield table()
 
     columns = [c.split()[0] for c in PIECE.split(", ")] + ["ids"] * with_ids
-    return texts_of(docs).mapInPandas(stream, PIECE + ", ids binary" * with_ids)
+    return texts_of(docs).mapInPandas(tidy(stream), PIECE + ", ids binary" * with_ids)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_of, prepare, stored, text_key, texts_of
+from .common import partitions_of, prepare, stored, text_key, texts_of, tidy
 from .components import components
 
 NO_ID = -(2**63)
@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             keys = {"text_key": batch["text_key"]} if "text_key" in batch else {}
             yield pd.DataFrame({"doc": batch["doc"], "n": [len(s) for s in sets], "f1": wide[:, 0], "f2": wide[:, 1], **keys})
 
-    return docs.mapInPandas(work, "doc long, n int, f1 long, f2 long" + ", text_key string" * ("text_key" in docs.columns))
+    return docs.mapInPandas(tidy(work), "doc long, n int, f1 long, f2 long" + ", text_key string" * ("text_key" in docs.columns))
 
 
 def _dealt(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -225,7 +225,7 @@ def _dealt(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
                 ids = np.repeat(np.array([doc for doc, _ in some], np.int64), [len(prints) for _, prints in some])
                 yield pd.DataFrame({"print": np.concatenate([prints for _, prints in some]).view(np.int64), "node": ids})
 
-    return docs.mapInPandas(work, "print long, node long")
+    return docs.mapInPandas(tidy(work), "print long, node long")
 
 
 def _with_centres(batches):
@@ -271,7 +271,7 @@ def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
             maps = [bitmap(s, bitmap_bits(max(1, len(s)))).tobytes() for s in sets]
             yield pd.DataFrame({"node": batch["doc"], "n": [len(s) for s in sets], "map": maps})
 
-    return docs.mapInPandas(work, "node long, n int, map binary")
+    return docs.mapInPandas(tidy(work), "node long, n int, map binary")
 
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch["text"].tolist(), words)
             yield pd.DataFrame({"node": batch["doc"], "hashes": [s.tobytes() for s in sets]})
 
-    return docs.mapInPandas(work, "node long, hashes binary")
+    return docs.mapInPandas(tidy(work), "node long, hashes binary")
 
 
 def _allowed(pairs: DataFrame, maps: DataFrame, t: Fraction) -> DataFrame:
@@ -334,7 +334,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
             yield pd.DataFrame(found, columns=["a", "b", "linked"])
 
     n = partitions_of(pairs.sparkSession)
-    compared = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "side").mapInPandas(compare, "a long, b long, linked boolean")
+    compared = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "side").mapInPandas(tidy(compare), "a long, b long, linked boolean")
     return stored(compared.groupBy("a", "b").agg(F.max("linked").alias("linked")), "compared")
 
 
@@ -430,7 +430,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared:
             yield pd.DataFrame([(key[0], *pair) for pair in pairs_of_tile(held, t, each)], columns=["print", "a", "b"])
 
     n = partitions_of(shared.sparkSession)
-    return full.repartition(n, "print", "i", "j").sortWithinPartitions("print", "i", "j").mapInPandas(work, "print long, a long, b long")
+    return full.repartition(n, "print", "i", "j").sortWithinPartitions("print", "i", "j").mapInPandas(tidy(work), "print long, a long, b long")
 
 
 def linked_components(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -471,7 +471,7 @@ def _placed(texts: DataFrame, rows: DataFrame, words: int, threshold: Fraction)
     nodes = chosen(texts, stored(copies, "copies"), "left_anti")
     n = partitions_of(texts.sparkSession)
     dealt = _dealt(nodes, words, threshold).repartition(n, "print").sortWithinPartitions("print", "node")
-    shared = stored(dealt.mapInPandas(_with_centres, "print long, node long, centre long").distinct(), "all-shared-prints")
+    shared = stored(dealt.mapInPandas(tidy(_with_centres), "print long, node long, centre long").distinct(), "all-shared-prints")
     # Prints that the same nodes share say the same; one of them stays, with how many it stands for.
     same_nodes = (
         shared.groupBy("print").agg(*_members()).groupBy("x", "s", "members").agg(F.min("print").alias("print"), F.count("*").alias("prints"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # Pieces kept between batches of one Python worker; only speed depends on it.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
 
 
 def default_path() -> str:
