@@ -201,6 +201,67 @@ def _(spark, sf):
     return readers.ingest_external_findings(spark, folder, "gitleaks")
 
 
+@query(
+    "a06_read_external_endpoints",
+    f"""select trim(value) as path, 'GET' as method, 'LinkFinder' as source from ({i.EXTERNAL_SQL})
+ where trim(value) <> '' and not starts_with(trim(value), 'Running')""",
+)
+def _(spark, sf):
+    folder = scratch(spark, "endpoints")
+    i.derive(spark, sf, i.EXTERNAL_SQL).select("value").write.text(folder)
+    return readers.ingest_external_endpoints(spark, folder).select("path", "method", "source")
+
+
+def _scanner_query(scanner: str, record: str, whole: bool, expected: str):
+    """A record per document in the form that the scanner writes, next to broken ones, read back."""
+
+    @query(f"a06_{scanner}_output", expected)
+    def _(spark, sf):
+        folder = scratch(spark, scanner)
+        rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", f"{record} as value")
+        if whole:
+            # One array per file, some of them cut off.
+            arrays = rows.groupBy(F.floor(F.col("doc_id") / 100).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
+            arrays.select(F.concat(F.lit("["), "value", F.when(F.col("file") % 4 == 3, "").otherwise("]"))).write.option("maxRecordsPerFile", 1).text(folder)
+        else:
+            rows.select(F.when(F.col("doc_id") % 10 == 9, F.left("value", F.lit(20))).otherwise(F.col("value"))).write.text(folder)
+        found = readers.read_scanner_output(spark, folder, scanner)
+        return found.select("type", "value", "file", "line", "detector", "severity", "reject")
+
+
+_scanner_query(
+    "gitleaks",
+    """to_json(named_struct('RuleID', concat('rule-', doc_id % 7), 'Description', 'x', 'StartLine', doc_id % 90, 'Secret', if(doc_id % 11 = 5, '', md5(text)),
+ 'File', concat('src/', doc_id, '.js'), 'Entropy', 3.5, 'Tags', array('a', lang)))""",
+    True,
+    """select concat('rule-', doc_id % 7) as type, case when doc_id % 11 = 5 then null else md5(text) end as value, concat('src/', doc_id, '.js') as file,
+ cast(doc_id % 90 as integer) as line, 'gitleaks' as detector, cast(null as varchar) as severity, case when doc_id % 11 = 5 then 'no value' end as reject
+ from documents where doc_id // 100 % 4 <> 3 union all
+ select null, null, null, null, 'gitleaks', null, 'no JSON' from (select distinct doc_id // 100 from documents where doc_id // 100 % 4 = 3)""",
+)
+_scanner_query(
+    "trufflehog",
+    """to_json(named_struct('SourceMetadata', named_struct('Data', if(doc_id % 2 = 0, map('Filesystem', named_struct('file', concat(doc_id, '.js'), 'line', doc_id % 90)),
+ map('Git', named_struct('file', concat(doc_id, '.git'), 'line', doc_id % 80)))), 'DetectorName', lang, 'Verified', doc_id % 3 = 0, 'Raw', md5(text), 'Redacted', ''))""",
+    False,
+    """select case when doc_id % 10 <> 9 then lang end as type, case when doc_id % 10 <> 9 then md5(text) end as value,
+ case when doc_id % 10 <> 9 then concat(doc_id, case when doc_id % 2 = 0 then '.js' else '.git' end) end as file,
+ case when doc_id % 10 <> 9 then cast(case when doc_id % 2 = 0 then doc_id % 90 else doc_id % 80 end as integer) end as line, 'trufflehog' as detector,
+ case when doc_id % 10 <> 9 and doc_id % 3 = 0 then 'critical' else 'high' end as severity, case when doc_id % 10 = 9 then 'no JSON' end as reject from documents""",
+)
+_scanner_query(
+    "jsluice",
+    """if(doc_id % 2 = 0, to_json(named_struct('url', concat('/api/', doc_id), 'method', 'GET', 'type', 'fetch', 'filename', concat(doc_id, '.js'), 'queryParams', array())),
+ to_json(named_struct('kind', 'AWSAccessKey', 'data', named_struct('key', md5(text), 'secret', md5(lang), 'region', cast(null as string)), 'severity', 'high', 'filename', concat(doc_id, '.js'))))""",
+    False,
+    """select 'url.fetch' as type, concat('/api/', doc_id) as value, concat(doc_id, '.js') as file, cast(null as integer) as line, 'jsluice' as detector,
+ cast(null as varchar) as severity, cast(null as varchar) as reject from documents where doc_id % 2 = 0
+ union all select concat('AWSAccessKey.', part), case part when 'key' then md5(text) else md5(lang) end, concat(doc_id, '.js'), null, 'jsluice', 'high', null
+ from documents, (values ('key'), ('secret')) as t(part) where doc_id % 2 = 1 and doc_id % 10 <> 9
+ union all select 'url', null, null, null, 'jsluice', null, 'no JSON' from documents where doc_id % 10 = 9""",
+)
+
+
 @query("a07_write_findings", f"{o.secrets(built_in().by_family('github'))} select rule_id, value, file, line, detector from secrets")
 def _(spark, sf):
     folder = scratch(spark, "findings")

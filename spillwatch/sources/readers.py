@@ -45,14 +45,19 @@ def read_url_lists(spark: SparkSession, paths: str | list[str], js_only: bool =
 
 
 def read_files(spark: SparkSession, folder: str | list[str], suffix: str | None = None) -> DataFrame:
-    """``(url, file, content, fetched)`` from a folder, not its subfolders; ``file`` is the base name."""
-    reader = spark.read.option("recursiveFileLookup", "false")
+    """``(url, file, content, fetched)`` from a folder, not its subfolders; ``file`` is the base name.
+
+    A file that is no valid UTF-8 is read byte by byte, each byte as the character of its number, so nothing is replaced: ASCII
+    values, lines and lengths stay what they are.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    return reader.text(folder, wholetext=True).select(
+    content = F.col("content")
+    return reader.load(folder).select(
         F.lit(None).cast("string").alias("url"),
         F.url_decode(F.replace(_file_name(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.col("value").alias("content"),
+        F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1")).alias("content"),
         F.lit(True).alias("fetched"),
     )
 
@@ -110,6 +115,71 @@ def ingest_external_findings(spark: SparkSession, path: str | list[str], detecto
     return spark.read.schema(schema).json(path).withColumn("detector", F.lit(detector))
 
 
+def _field(record: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(record, path, kind)
+
+
+def _finding(kind: Column, value: Column, file: Column, line: Column, severity: Column) -> Column:
+    return F.struct(kind.alias("type"), value.alias("value"), file.alias("file"), line.alias("line"), severity.alias("severity"))
+
+
+def _gitleaks(record: Column) -> Column:
+    line = _field(record, "$.StartLine", "int")
+    return F.array(_finding(_field(record, "$.RuleID"), _field(record, "$.Secret"), _field(record, "$.File"), line, F.lit(None).cast("string")))
+
+
+def _trufflehog(record: Column) -> Column:
+    # The place stands under the name of the kind of source, whichever it is.
+    place = F.get(F.map_values(_field(record, "$.SourceMetadata.Data", "map<string,variant>")), F.lit(0))
+    severity = F.when(_field(record, "$.Verified", "boolean"), "critical").otherwise("high")
+    return F.array(_finding(_field(record, "$.DetectorName"), _field(record, "$.Raw"), _field(place, "$.file"), _field(place, "$.line", "int"), severity))
+
+
+def _jsluice(record: Column) -> Column:
+    # A secret has several named parts, a URL is one value.
+    file, nothing = _field(record, "$.filename"), F.lit(None).cast("int")
+    parts = F.filter(F.map_entries(_field(record, "$.data", "map<string,variant>")), lambda e: _field(e["value"], "$").isNotNull())
+    kind, severity = _field(record, "$.kind"), _field(record, "$.severity")
+    secrets = F.transform(parts, lambda e: _finding(F.concat_ws(".", kind, e["key"]), _field(e["value"], "$"), file, nothing, severity))
+    url = F.array(_finding(F.concat_ws(".", F.lit("url"), _field(record, "$.type")), _field(record, "$.url"), file, nothing, F.lit(None).cast("string")))
+    return F.when(F.size(parts) > 0, secrets).otherwise(url)
+
+
+# How each scanner writes: whole files that hold an array, or a record per line.
+SCANNERS = {"gitleaks": (True, _gitleaks), "trufflehog": (False, _trufflehog), "jsluice": (False, _jsluice)}
+
+
+def read_scanner_output(spark: SparkSession, path: str | list[str], scanner: str) -> DataFrame:
+    """``(type, value, file, line, detector, severity, reject, record)`` from the JSON that a scanner writes.
+
+    Records are read without a fixed schema, so fields of other versions do no harm. What can't be used stays as a row with the reason in ``reject``:
+    text that is no JSON (``record`` has it) and records without a value.
+    """
+    whole, findings = SCANNERS[scanner]
+    lines = spark.read.text(path, wholetext=whole).where(trimmed(F.col("value")) != "")
+    parsed = lines.select("value", F.try_parse_json("value").alias("json"))
+    records = parsed.select(
+        "value", F.col("json").isNull().alias("broken"), F.explode(F.coalesce(F.try_variant_get("json", "$", "array<variant>"), F.array("json"))).alias("record")
+    )
+    found = records.select("value", "broken", "record", F.explode_outer(findings(F.col("record"))).alias("f"))
+    usable = F.coalesce(F.col("f.value"), F.lit("")) != ""
+    return found.select(
+        "f.type",
+        F.when(usable, F.col("f.value")).alias("value"),
+        "f.file",
+        "f.line",
+        F.lit(scanner).alias("detector"),
+        "f.severity",
+        F.when(F.col("broken"), "no JSON").when(~usable, "no value").alias("reject"),
+        F.when(F.col("broken"), F.col("value")).when(~usable, F.to_json("record")).alias("record"),
+    )
+
+
+def ingest_scanner_findings(spark: SparkSession, path: str | list[str], scanner: str) -> DataFrame:
+    """The findings among :func:`read_scanner_output`."""
+    return read_scanner_output(spark, path, scanner).where(F.col("reject").isNull()).drop("reject", "record")
+
+
 # ------------------------------------------------------------------- rule packs
 
 

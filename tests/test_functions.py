@@ -261,6 +261,15 @@ def test_slices(spark, monkeypatch):
     assert sorted((r["ord"], r["n"]) for r in numbered.collect()) == [(n, 100 + n) for n in range(1, 11)]
 
 
+def test_files_that_are_no_text_keep_their_bytes(spark, tmp_path):
+    from spillwatch.sources import readers
+
+    (tmp_path / "a.js").write_bytes(b"\xff\xfe\nkey = 'ghp_x'\n\x80")
+    (tmp_path / "b.js").write_bytes("é\n東".encode())
+    got = {r["file"]: r["content"] for r in readers.read_files(spark, str(tmp_path), ".js").collect()}
+    assert got == {"a.js": "\xff\xfe\nkey = 'ghp_x'\n\x80", "b.js": "é\n東"}
+
+
 def test_display_of_long_urls(spark):
     assert one(spark, urls.display_url(F.col("u")), u="x" * 50) == "x" * 50
     assert one(spark, urls.display_url(F.col("u")), u="y" + "x" * 50) == "..." + "x" * 47
