@@ -1,10 +1,14 @@
 """Licence scans: a trained classifier of text windows, confirmed by comparison with licence templates.
 
 A text is cut into lines, lines that were wrapped are joined again, and what is longer than ``WINDOW`` words is read in overlapping
-windows. Hashed word unigrams and bigrams feed a multinomial logistic regression over licence families and an unknown class. It
-is trained on pieces of ``TEMPLATES`` in varied surroundings, with at most ``NEGATIVES`` windows of the corpus as unknown: a bounded,
-documented sample, taken from the documents with the smallest hash of ``doc_id``. Its temperature and the least probability of a finding are
-set on pieces kept out of training. A finding counts if it shares enough word pairs with a template of its family.
+windows. Hashed word unigrams and bigrams feed one logistic regression per licence family, and one for the unknown class, each against the
+rest, so a window may have several families. They are trained on pieces of ``TEMPLATES``, of SPDX lines and of two of them together in varied
+surroundings. Unknown are other licences and lines of the corpus: at most ``PER_DOC`` lines of each of ``SAMPLED_DOCS`` documents, those with the
+smallest hash of ``doc_id``, lines up to ``LINE_CHARS`` characters taken whole; a bounded, documented sample. Temperature and the least
+probability of a finding are set on pieces kept out of training.
+
+A finding counts if it shares enough word pairs with a template of its family, and either names the family (``NAMES``) or has
+``OWN_PAIRS`` pairs that the templates of no other family have.
 
 Defined cases: null or empty text has no findings; a null ``doc_id`` stays null; repeated rows are reported each; without any document
 in the sample the fixed unknown sentences are the only negatives; an empty table gives no rows; other columns are ignored.
@@ -25,8 +29,12 @@ from .shingle_join import word_hashes
 
 WINDOW, STRIDE = 32, 16
 FEATURE_BITS = 17
-NEGATIVES, SAMPLED_DOCS, PER_DOC = 4000, 400, 10
-VARIANTS = 60
+SAMPLED_DOCS, PER_DOC, LINE_CHARS = 400, 10, 20_000
+# Training pieces of a template, and of two of different families.
+VARIANTS, DUAL = 60, 1500
+# Words of a piece and around it: together a window.
+PIECE, AROUND = 22, 5
+OWN_PAIRS = 6
 CONFIRMED = 0.6
 UNKNOWN = "unknown"
 
@@ -37,7 +45,8 @@ TEMPLATES = {
         "licensed under the mit license",
         "this project is licensed under the terms of the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-        "spdx license identifier mit",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
         "the mit license",
     ],
     "apache-2.0": [
@@ -45,41 +54,47 @@ TEMPLATES = {
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0",
         "distributed under the apache license 2.0",
         "apache license version 2.0",
-        "spdx license identifier apache 2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
         "released under the gnu general public license version 2",
         "the gnu general public license",
-        "spdx license identifier gpl 3.0 or later",
+        "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses",
+        "licensed under the gpl",
     ],
     "lgpl": [
         "licensed under the gnu lesser general public license version 2.1",
         "you can redistribute it and or modify it under the terms of the gnu lesser general public license",
-        "spdx license identifier lgpl 2.1 or later",
+        "you should have received a copy of the gnu lesser general public license along with this library",
+        "licensed under the lgpl",
     ],
     "agpl": [
         "licensed under the gnu affero general public license version 3",
         "under the terms of the gnu affero general public license as published by the free software foundation",
-        "spdx license identifier agpl 3.0 only",
+        "you should have received a copy of the gnu affero general public license along with this program",
+        "licensed under the agpl",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "released under the bsd 3 clause license",
         "licensed under the bsd 2 clause license",
-        "spdx license identifier bsd 3 clause",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "the bsd license",
     ],
     "mpl-2.0": [
         "this source code form is subject to the terms of the mozilla public license v 2.0",
         "licensed under the mozilla public license version 2.0",
-        "spdx license identifier mpl 2.0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0",
     ],
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software",
         "licensed under the isc license",
     ],
-    "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
     "cc0": ["to the extent possible under law the author has waived all copyright under cc0 1.0", "released under cc0 1.0 universal public domain dedication"],
     "cc-by-nc": [
         "licensed under cc by nc 4.0",
@@ -93,8 +108,51 @@ TEMPLATES = {
         "this work is licensed under a creative commons attribution sharealike 4.0 international license",
     ],
 }
-# Sentences with the same words that give no licence.
+# SPDX identifiers of the families.
+SPDX = {
+    "mit": ["MIT", "MIT-0"],
+    "apache-2.0": ["Apache-2.0"],
+    "gpl": [f"GPL-{v}{end}" for v in ("1.0", "2.0", "3.0") for end in ("", "+", "-only", "-or-later")],
+    "lgpl": [f"LGPL-{v}{end}" for v in ("2.0", "2.1", "3.0") for end in ("", "+", "-only", "-or-later")],
+    "agpl": [f"AGPL-{v}{end}" for v in ("1.0", "3.0") for end in ("", "-only", "-or-later")],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD"],
+    "mpl-2.0": ["MPL-2.0"],
+    "isc": ["ISC"],
+    "unlicense": ["Unlicense"],
+    "cc0": ["CC0-1.0"],
+    "cc-by-nc": [f"CC-BY-NC{more}-{v}" for more in ("", "-SA", "-ND") for v in ("3.0", "4.0")],
+    "cc-by": [f"CC-BY{more}-{v}" for more in ("", "-SA", "-ND") for v in ("3.0", "4.0")],
+}
+# Words that name a family and no other.
+NAMES = {
+    "mit": ["mit"],
+    "apache-2.0": ["apache"],
+    "gpl": ["gpl", "gplv2", "gplv3", "gnu general"],
+    "lgpl": ["lgpl", "lesser general", "library general"],
+    "agpl": ["agpl", "affero general"],
+    "bsd": ["bsd", "0bsd"],
+    "mpl-2.0": ["mpl", "mozilla public"],
+    "isc": ["isc"],
+    "unlicense": ["unlicense"],
+    "cc0": ["cc0"],
+    "cc-by-nc": ["by nc", "attribution noncommercial", "attribution non"],
+    "cc-by": ["by 3", "by 4", "by sa", "by nd", "attribution 3", "attribution 4", "attribution sharealike", "attribution noderivatives"],
+}
+# Other licences, and sentences with the same words that give none.
 NO_LICENCE = [
+    "eclipse public license v 2.0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+    "spdx license identifier epl 2.0",
+    "spdx license identifier zlib",
+    "spdx license identifier bsl 1.0",
+    "distributed under the boost software license version 1.0",
+    "licensed under the european union public licence version 1.2",
+    "licensed under the artistic license 2.0",
+    "common development and distribution license version 1.0",
+    "licensed under the microsoft public license",
+    "do what the fuck you want to public license version 2",
+    "licensed under the open font license version 1.1",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages",
     "he lost his driving license last week and had to apply for a new one",
     "version 2.0 of the program was released under a lot of pressure",
     "the general public may use the software in the library free of charge",
@@ -107,15 +165,21 @@ _WORDS_ONLY = {ord(c): " " for c in string.punctuation}
 FAMILIES = [UNKNOWN, *TEMPLATES]
 
 
+def templates_of(family: str) -> list[str]:
+    """Notices of a family, and lines that give one of its identifiers."""
+    named = [f"{before} {plain_words(i).lower()}" for i in SPDX[family] for before in ("spdx license identifier", "license")]
+    return TEMPLATES[family] + named
+
+
 def plain_words(text: str) -> str:
     return text.translate(_WORDS_ONLY)
 
 
 def units(text: str):
-    """``(line number, text)``; a line that goes on in the next is joined with it."""
+    """``(line number, text)``; a line that goes on in the next, in small letters or in capitals as it does, is joined with it."""
     held, since = "", 0
     for k, line in enumerate(text.split("\n")):
-        if held and line[:1].islower() and held[-1:] not in ".!?:;":
+        if held and (line[:1].islower() or (line.isupper() and held.isupper())) and held[-1:] not in ".!?:;":
             held = f"{held} {line}"
             continue
         if held:
@@ -172,61 +236,75 @@ class Windows:
         return tuple(map(np.concatenate, (rows, columns, values)))
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 class Model:
     def __init__(self, weights: np.ndarray, temperature: float, least: float):
         self.weights, self.temperature, self.least = weights.astype(np.float32), temperature, least
-        self.templates = {}
-        for family, texts in TEMPLATES.items():
+        self.templates, self.names = {}, {}
+        for family in TEMPLATES:
+            texts = templates_of(family)
             # Each text is one window or several; its pairs are taken as a whole.
             w = Windows(texts)
             self.templates[family] = [set().union(*(w.pair_set(k) for k in np.flatnonzero(w.text == t))) for t in range(len(texts))]
+            names = Windows(NAMES[family])
+            self.names[family] = {int(names.words[s]) for s, e in zip(names.start, names.end) if e - s == 1} | set().union(*(names.pair_set(k) for k in range(len(names))))
+        every = {f: set().union(*sets) for f, sets in self.templates.items()}
+        self.own = {f: pairs.difference(*(every[g] for g in every if g != f)) for f, pairs in every.items()}
 
     def probabilities(self, windows: Windows) -> np.ndarray:
-        z = windows.logits(self.weights) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return sigmoid(windows.logits(self.weights) / self.temperature)
 
     def similarity(self, family: str, pairs: set[int]) -> float:
         best = 0.0
         for own in self.templates[family]:
             both = len(own & pairs)
-            # Two pairs say too little, unless they are the whole template.
-            if both >= 3 or both == len(own) >= 2:
+            # One or two pairs say too little, unless they are the whole template.
+            if both >= 3 or both == len(own) >= 1:
                 best = max(best, both / min(len(own), len(pairs)))
         return best
 
+    def confirmed(self, family: str, windows: Windows, k: int) -> float:
+        """Similarity of a window to the family's templates; 0 if it doesn't name the family or say what only that one says."""
+        pairs = windows.pair_set(k)
+        seen = pairs | set(windows.words[windows.start[k] : windows.end[k]].tolist())
+        if not seen & self.names[family] and len(pairs & self.own[family]) < OWN_PAIRS:
+            return 0.0
+        return self.similarity(family, pairs)
+
     def scan(self, texts: list[str]):
         """``(text, family, probability, similarity, line)``, the best window of each family in each text."""
         pieces = [(k, line, unit) for k, t in enumerate(texts) for line, unit in units(t)]
         windows = Windows([p[2] for p in pieces])
         p = self.probabilities(windows)
-        family = p.argmax(axis=1)
         best: dict[tuple[int, str], tuple] = {}
-        for w in np.flatnonzero((family > 0) & (p.max(axis=1) >= self.least)).tolist():
-            name = FAMILIES[family[w]]
-            alike = self.similarity(name, windows.pair_set(w))
+        for w, family in zip(*(x.tolist() for x in np.nonzero(p[:, 1:] >= self.least))):
+            name = FAMILIES[family + 1]
+            alike = self.confirmed(name, windows, w)
             if alike < CONFIRMED:
                 continue
             k, line, _ = pieces[windows.text[w]]
-            found = (round(alike, 6), round(float(p[w, family[w]]), 6), -line)
+            found = (round(alike, 6), round(float(p[w, family + 1]), 6), -line)
             best[k, name] = max(best.get((k, name), found), found)
         return [(k, name, prob, alike, -line) for (k, name), (alike, prob, line) in sorted(best.items())]
 
 
-def _softmax_fit(rows, columns, values, labels, n, steps=150, decay=1e-4):
+def _logistic_fit(rows, columns, values, truth, n, steps=150, decay=1e-4):
+    """One regression per column of ``truth``, each against the rest."""
     weights = np.zeros((1 << FEATURE_BITS, len(FAMILIES)))
     used, at = np.unique(columns, return_inverse=True)
     w, square = np.zeros((len(used), len(FAMILIES))), np.full((len(used), len(FAMILIES)), 1e-8)
-    share = np.bincount(labels, minlength=len(FAMILIES)).astype(float)
-    balance = (len(labels) / np.maximum(share, 1))[labels] ** 0.5
-    truth = np.eye(len(FAMILIES))[labels]
+    # The rarer answer of each regression weighs more.
+    share = truth.mean(axis=0)
+    balance = np.where(truth > 0, np.sqrt(0.5 / np.maximum(share, 1e-3)), 1.0)
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     by_feature = np.argsort(at, kind="stable")
     groups = np.flatnonzero(np.r_[True, np.diff(at[by_feature]) > 0])
     for _ in range(steps):
         z = np.add.reduceat(w[at] * values[:, None], starts)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (z / z.sum(axis=1, keepdims=True) - truth) * balance[:, None] / n
+        error = (sigmoid(z) - truth) * balance / n
         grad = decay * w + np.add.reduceat((error[rows] * values[:, None])[by_feature], groups)
         square += grad**2
         w -= 0.5 * grad / np.sqrt(square)
@@ -236,62 +314,91 @@ def _softmax_fit(rows, columns, values, labels, n, steps=150, decay=1e-4):
 
 def train(negatives: list[str], seed: int = 3) -> Model:
     rng = random.Random(seed)
-    pool = [t.split() for t in negatives if len(t.split()) >= 4] or [t.split() for t in NO_LICENCE]
-    texts, labels = [], []
+    pool = [plain_words(t).split() for t in negatives if len(t.split()) >= 4] or [plain_words(t).split() for t in NO_LICENCE]
+    texts: list[str] = []
+    labels: list[tuple[int, ...]] = []
 
     def around() -> list[str]:
+        if rng.random() < 0.5:
+            return []
         words = rng.choice(pool)
         k = rng.randrange(len(words))
-        return words[k : k + rng.randint(0, 10)]
-
-    for family, templates in TEMPLATES.items():
-        for template in templates:
-            words = template.replace(".", " ").split()
-            for _ in range(VARIANTS):
-                n = max(min(len(words), 4), int(len(words) * rng.uniform(0.6, 1)))
-                k = rng.randint(0, len(words) - n)
-                piece = words[k : k + n] if len(words) > 12 else words
-                piece = [w for w in piece if rng.random() > 0.04]
-                texts.append(" ".join([*(around() if rng.random() < 0.5 else []), *piece, *(around() if rng.random() < 0.5 else [])]))
-                labels.append(FAMILIES.index(family))
-    plain = [plain_words(t) for t in negatives[:NEGATIVES]] + NO_LICENCE * 20
-    texts += [" ".join(t.split()[:WINDOW]) for t in plain if t.split()]
-    labels += [0] * (len(texts) - len(labels))
-    texts = [" ".join(plain_words(t).split()[:WINDOW]) or "nothing" for t in texts]
-    order = list(range(len(texts)))
+        return words[k : k + rng.randint(0, AROUND)]
+
+    def piece(template: str) -> list[str]:
+        """A part of a long template, from anywhere in it; a short one whole."""
+        words = plain_words(template).split()
+        if len(words) <= 12:
+            return words
+        n = rng.randint(10, min(PIECE, len(words)))
+        k = rng.randint(0, len(words) - n)
+        return [w for w in words[k : k + n] if rng.random() > 0.04]
+
+    def add(words: list[str], *families: str) -> None:
+        texts.append(" ".join([*around(), *words, *around()]))
+        labels.append(tuple(FAMILIES.index(f) for f in families))
+
+    for family in TEMPLATES:
+        for template in TEMPLATES[family]:
+            for _ in range(VARIANTS * (1 + len(template.split()) // PIECE)):
+                add(piece(template), family)
+        for template in templates_of(family)[len(TEMPLATES[family]) :]:
+            for _ in range(VARIANTS // 6):
+                add(piece(template), family)
+    # Two licences in one sentence or one expression.
+    short = {f: [t for t in TEMPLATES[f] if len(t.split()) <= 10] for f in TEMPLATES}
+    for _ in range(DUAL):
+        one, two = rng.sample(list(TEMPLATES), 2)
+        if rng.random() < 0.5:
+            ids = [plain_words(rng.choice(SPDX[f])).lower().split() for f in (one, two)]
+            add(["spdx", "license", "identifier", *ids[0], rng.choice(["or", "and"]), *ids[1]], one, two)
+        elif short[one] and short[two]:
+            add([*rng.choice(short[one]).replace(".", " ").split(), rng.choice(["or", "and"]), *rng.choice(short[two]).replace(".", " ").split()], one, two)
+    for text in NO_LICENCE * 20:
+        add(plain_words(text).split(), UNKNOWN)
+    for text in negatives:
+        texts.append(plain_words(text))
+        labels.append((0,))
+    order = [k for k in range(len(texts)) if texts[k].strip()]
     rng.shuffle(order)
-    kept_out = order[: len(order) // 5]
-    fitted = order[len(order) // 5 :]
-    truth = np.array(labels)
-    windows = Windows([texts[k] for k in fitted])
-    weights = _softmax_fit(*windows.features(), truth[fitted], len(fitted))
-    # Temperature: least log loss on what was kept out. Least probability: the highest that a kept-out unknown reaches wrongly, halfway to 1.
-    outside = Windows([texts[k] for k in kept_out])
-    z, y = outside.logits(weights.astype(np.float32)), truth[kept_out]
-
-    def probabilities(temperature):
-        e = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
-        return e / e.sum(axis=1, keepdims=True)
-
-    loss = lambda t: -np.log(probabilities(t)[np.arange(len(y)), y] + 1e-12).mean()
+
+    def part(chosen: list[int]):
+        """All windows of the texts, and which families each has."""
+        windows = Windows([texts[k] for k in chosen])
+        truth = np.zeros((len(windows), len(FAMILIES)))
+        for w, t in enumerate(windows.text.tolist()):
+            truth[w, list(labels[chosen[t]])] = 1
+        return windows, truth
+
+    windows, truth = part(order[len(order) // 5 :])
+    weights = _logistic_fit(*windows.features(), truth, len(windows))
+    # Temperature: least log loss on what was kept out. Least probability: the highest that a kept-out unknown reaches wrongly.
+    outside, y = part(order[: len(order) // 5])
+    z = outside.logits(weights.astype(np.float32))
+
+    def loss(temperature):
+        p = np.clip(sigmoid(z / temperature), 1e-9, 1 - 1e-9)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
     temperature = min(np.geomspace(0.1, 4, 40), key=loss)
-    wrong = probabilities(temperature)[y == 0, 1:].max(axis=1) if (y == 0).any() else np.zeros(1)
-    return Model(weights, float(temperature), float(min(0.9, max(0.3, np.quantile(wrong, 0.999)))))
+    unknown = y[:, 0] > 0
+    wrong = sigmoid(z[unknown, 1:] / temperature).max(axis=1) if unknown.any() else np.zeros(1)
+    return Model(weights, float(temperature), float(min(0.5, max(0.2, np.quantile(wrong, 0.999)))))
 
 
 FOUND = "doc_id long, family string, probability double, similarity double, line int"
 
 
 def corpus_negatives(docs: DataFrame) -> list[str]:
-    """At most ``PER_DOC`` lines of each of ``SAMPLED_DOCS`` documents, without those that are like a template."""
+    """At most ``PER_DOC`` whole lines, of up to ``LINE_CHARS``, of each of ``SAMPLED_DOCS`` documents, without those that are like a template."""
     # Numbers first, so that no task gathers whole texts to sort them.
     wanted = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_DOCS)
     lines = docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select(
-        F.col("doc_id"), F.slice(F.shuffle(F.split(F.coalesce("text", F.lit("")), "\n"), 5), 1, PER_DOC).alias("lines")
+        F.col("doc_id"),
+        F.slice(F.shuffle(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) <= LINE_CHARS), 5), 1, PER_DOC).alias("lines"),
     )
-    short = F.transform("lines", lambda x: F.substring(x, 1, 300))
-    rows = sorted(lines.select("doc_id", short.alias("lines")).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["lines"]))
-    texts = [t for r in rows for t in r["lines"] if t.strip()][:NEGATIVES]
+    rows = sorted(lines.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["lines"]))
+    texts = [t for r in rows for t in r["lines"] if t.strip()]
     probe = Model(np.zeros((1 << FEATURE_BITS, len(FAMILIES)), np.float32), 1.0, 0.0)
     windows = Windows(texts)
     like = {int(windows.text[k]) for k in range(len(windows)) for f in TEMPLATES if probe.similarity(f, windows.pair_set(k)) >= 0.5}

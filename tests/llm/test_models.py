@@ -132,6 +132,37 @@ def test_held_out_wordings(model):
     assert model.scan(clean) == []
 
 
+def families(model, text):
+    return [f for _, f, *_ in model.scan([text])]
+
+
+def test_every_identifier_of_the_families(model):
+    missed = [(f, i, got) for f, ids in licenses.SPDX.items() for i in ids for got in [families(model, f"SPDX-License-Identifier: {i}")] if got != [f]]
+    assert not missed
+
+
+def test_two_licences_of_one_line(model):
+    assert families(model, "SPDX-License-Identifier: MIT OR Apache-2.0") == ["apache-2.0", "mit"]
+    assert families(model, "Licensed under either of the Apache License, Version 2.0 or the MIT license") == ["apache-2.0", "mit"]
+    assert families(model, "SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause") == ["bsd", "gpl"]
+
+
+def test_other_licences_stay_unknown(model):
+    for text in ["Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib", "Distributed under the Boost Software License, Version 1.0."]:
+        assert families(model, text) == [], text
+    for text in ["SPDX-License-Identifier: CDDL-1.1", "Licensed under the Open Software License version 3.0", "the license version 2.0 identifier", "Sleepycat License"]:
+        assert families(model, text) == [], text
+
+
+def test_short_notices_and_whole_licences(model):
+    assert families(model, "License: MIT") == ["mit"] and families(model, "license: Apache-2.0") == ["apache-2.0"]
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    assert families(model, warranty) == ["mit"]
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert families(model, text.capitalize() + ".") == [family], text
+
+
 def test_licences_of_odd_rows(spark, make_docs):
     docs = make_docs([(1, None), (2, ""), (None, "Released under the MIT License."), (3, "word " * 30000 + "Licensed under CC BY-NC 4.0."), (4, "x"), (4, "x")])
     got = {(r["doc_id"], r["family"]) for r in licenses.scan_licences(docs).collect()}
