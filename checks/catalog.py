@@ -734,6 +734,18 @@ def _(spark, sf):
     return published(scan_secrets(files(spark, sf), built_in().by_family("aws").union(USER_RULES), "deep"))
 
 
+# A repeated group whose way the next character decides, and a flag that is set in the middle.
+LOOP_RULES = RuleSet.of([
+    {"rule_id": "hex-runs", "regex": r'token = "(?:[0-9]+[a-f]+)+', "severity": "high"},
+    {"rule_id": "late-flag", "regex": r'token(?i) = "[0-9A-F]{40}', "severity": "low"},
+])
+
+
+@query("h01_user_rules_with_loops", o.scan(LOOP_RULES))
+def _(spark, sf):
+    return published(scan_secrets(files(spark, sf), LOOP_RULES, "deep"))
+
+
 # ------------------------------------------------------------------- endpoints
 
 

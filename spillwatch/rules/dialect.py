@@ -120,8 +120,11 @@ def _word_opening(rest: str) -> tuple[str, int]:
     return f"{atom}{check}{atom}{{{low}{more}}}", count.end()
 
 
-def to_java(regex: str) -> str:
-    """The same rule for ``java.util.regex``, with ASCII ``\\b`` and ``\\s`` and ``\\n``-only line ends."""
+def to_java(regex: str, loops: bool = False) -> str:
+    """The same rule for ``java.util.regex``, with ASCII ``\\b`` and ``\\s`` and ``\\n``-only line ends.
+
+    ``loops`` takes the possessive repeats that :func:`possessive_loops` makes; rules themselves have none.
+    """
     out = ["(?d)"]
     multiline = False
     i = 0
@@ -184,12 +187,12 @@ def to_java(regex: str) -> str:
                     raise UnsupportedRegex("repeat count above 1000")
                 out.append(found.group(0))
                 i = found.end()
-                if regex[i : i + 1] == "+":
+                if regex[i : i + 1] == "+" and not loops:
                     raise UnsupportedRegex("possessive repeat")
             else:
                 out.append(r"\{")
                 i += 1
-        elif c in "*+?" and regex[i + 1 : i + 2] == "+":
+        elif c in "*+?" and regex[i + 1 : i + 2] == "+" and not loops:
             raise UnsupportedRegex("possessive repeat")
         else:
             out.append(r"\}" if c == "}" else c)
@@ -222,7 +225,7 @@ def _is_repeat(op) -> bool:
 
 _TOKEN = re.compile(
     r"(?P<skip>\\.|\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\])"
-    r"|(?P<open>\()(?:\?(?:P?<\w+>|[a-zA-Z-]*:))?|(?P<close>\))|(?P<either>\|)|(?P<count>\{\d+(?:,\d*)?\}|[*+?])|.",
+    r"|(?P<open>\()(?:\?(?:P?<\w+>|[a-zA-Z-]*:))?|(?P<close>\))|(?P<either>\|)|(?P<count>(?:\{\d+(?:,\d*)?\}|[*+?])\+?)|.",
     re.S,
 )
 
@@ -246,13 +249,162 @@ def overflows_stack(regex: str) -> bool:
         elif kind == "either":
             varying[-1] = True
         elif kind == "count":
-            if after and (text in "*+" or text.endswith(",}")):
+            # A possessive repeat is run in a loop.
+            looped, text = len(text) > 1 and text.endswith("+"), text[0] if text[0] in "*+?" else text.rstrip("+")
+            if after and not looped and (text in "*+" or text.endswith(",}")):
                 return True
             low, _, high = text.strip("{}").partition(",")
             varying[-1] = varying[-1] or text in "*+?" or ("," in text and low != high)
     return False
 
 
+# ---------------------------------------------------------------- repeats that need no way back
+
+_INLINE_FLAGS = re.compile(r"\(\?([a-zA-Z-]+)\)")
+
+
+def scoped_flags(regex: str) -> str:
+    """The rule with flags that are set in its middle, ``a(?i)b``, as groups of their own, ``a(?i:b)``, up to the end of the group they stand in.
+
+    They also hold for the alternatives that follow, so a group is closed before a bar and opened again behind it.
+    """
+    lead = re.match(r"\(\?[ims]+\)", regex)
+    if not _INLINE_FLAGS.search(regex, lead.end() if lead else 0):
+        return regex
+    out, at = [lead.group(0)] if lead else [], lead.end() if lead else 0
+    levels: list[list[str]] = [[]]
+    while at < len(regex):
+        flags = _INLINE_FLAGS.match(regex, at)
+        if flags:
+            levels[-1].append(f"(?{flags.group(1)}:")
+            out.append(levels[-1][-1])
+            at = flags.end()
+            continue
+        token = _LONG_ESCAPE.match(regex, at) or _TOKEN.match(regex, at)
+        kind, text = token.lastgroup if token.re is _TOKEN else "skip", token.group(0)
+        if kind == "open":
+            levels.append([])
+        elif kind == "close":
+            out.append(")" * len(levels[-1]))
+            if len(levels) > 1:
+                levels.pop()
+        elif kind == "either":
+            text = ")" * len(levels[-1]) + "|" + "".join(levels[-1])
+        out.append(text)
+        at = token.end()
+    return "".join(out) + ")" * sum(map(len, levels))
+
+
+_EVERY = frozenset(range(129))  # ASCII, and one number for all beyond it
+_CATEGORIES = {
+    sre.CATEGORY_DIGIT: frozenset(b"0123456789"),
+    sre.CATEGORY_SPACE: frozenset(b"\t\n\x0b\f\r "),
+    sre.CATEGORY_WORD: frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"),
+}
+_NEGATED = {sre.CATEGORY_NOT_DIGIT: sre.CATEGORY_DIGIT, sre.CATEGORY_NOT_SPACE: sre.CATEGORY_SPACE, sre.CATEGORY_NOT_WORD: sre.CATEGORY_WORD}
+
+
+def _class_members(av) -> frozenset:
+    found, negated = set(), False
+    for kind, value in av:
+        if kind is sre.NEGATE:
+            negated = True
+        elif kind is sre.LITERAL:
+            found.add(min(value, 128))
+        elif kind is sre.RANGE:
+            found.update(range(min(value[0], 128), min(value[1], 128) + 1))
+        elif kind is sre.CATEGORY:
+            found |= _CATEGORIES[value] if value in _CATEGORIES else _EVERY - _CATEGORIES[_NEGATED[value]]
+    # A class that leaves out some characters beyond ASCII still has others.
+    return _EVERY - (found - {128}) if negated else frozenset(found)
+
+
+def _either_case(members: frozenset) -> frozenset:
+    return members | {ord(c) for m in members if m < 128 for c in (chr(m).lower(), chr(m).upper())}
+
+
+def _first(items) -> tuple[frozenset, bool]:
+    """Characters that a sequence may begin with, and whether it may be empty. Case is never told apart, which is only wider."""
+    out: frozenset = frozenset()
+    for op, av in items:
+        if op is sre.LITERAL:
+            own, empty = frozenset([min(av, 128)]), False
+        elif op is sre.NOT_LITERAL:
+            own, empty = _EVERY, False
+        elif op is sre.ANY:
+            own, empty = _EVERY, False
+        elif op is sre.IN:
+            own, empty = _class_members(av), False
+        elif op is sre.SUBPATTERN:
+            own, empty = _first(av[3])
+        elif op is sre.BRANCH:
+            parts = [_first(b) for b in av[1]]
+            own, empty = frozenset().union(*(p for p, _ in parts)), any(e for _, e in parts)
+        elif _is_repeat(op):
+            own, empty = _first(av[2])
+            empty = empty or av[0] == 0
+        else:  # a place between characters
+            own, empty = frozenset(), True
+        out |= _either_case(own)
+        if not empty:
+            return out, False
+    return out, True
+
+
+def _decided(items, after: frozenset) -> bool:
+    """Whether the next character alone decides how a sequence goes on, at every place of it."""
+    for k, (op, av) in enumerate(items):
+        rest, empty = _first(items[k + 1 :])
+        rest = rest | after if empty else rest
+        if op is sre.SUBPATTERN:
+            if not _decided(av[3], rest):
+                return False
+        elif op is sre.BRANCH:
+            parts = [_first(b) for b in av[1]]
+            if any(e for _, e in parts) or sum(len(p) for p, _ in parts) != len(frozenset().union(*(p for p, _ in parts))):
+                return False
+            if not all(_decided(b, rest) for b in av[1]):
+                return False
+        elif _is_repeat(op):
+            own, empty = _first(av[2])
+            if empty or (av[0] != av[1] and (op is sre.MIN_REPEAT or own & rest)) or not _decided(av[2], own | rest):
+                return False
+    return True
+
+
+def possessive_loops(regex: str) -> str | None:
+    """The rule with its repeated groups made possessive, where this can't change a match; None if some repeat may have to give back.
+
+    It can't where the next character alone decides between another round and what follows, and between the ways through the group. The
+    JVM matcher runs such a repeat in a loop and doesn't recurse. Only groups of the outermost level are looked at.
+    """
+    lead = re.match(r"(?:\(\?[ims]+\))?", regex).group(0)
+
+    def first_of(text):
+        return parse(lead + text)[1]
+
+    out, depth, begun, ended = [], 0, 0, False
+    for token in _TOKEN.finditer(regex, len(lead)):
+        kind, text = token.lastgroup, token.group(0)
+        if kind == "either" and depth == 0:
+            return None
+        if kind == "open" and depth == 0:
+            begun = token.start()
+        depth += (kind == "open") - (kind == "close")
+        if kind == "count" and ended:
+            try:
+                body, rest = first_of(regex[begun : token.start()]), first_of(regex[token.end() :])
+            except (re.error, OverflowError):  # a lazy repeat, for one
+                return None
+            own, empty = _first(body)
+            if not empty and not own & _first(rest)[0] and _decided(body, own | _first(rest)[0]):
+                text += "+"
+        ended = kind == "close" and depth == 0
+        out.append(text)
+    safe = lead + "".join(out)
+    return None if overflows_stack(safe) else safe
+
+
 # ---------------------------------------------------------------- keyword (one literal)
 
 

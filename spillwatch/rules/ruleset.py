@@ -79,32 +79,34 @@ def reject_reason(rule: dict) -> str | None:
     if not rule.get("regex"):
         return "rule without a regex"
     try:
-        dialect.to_java(rule["regex"])
-        dialect.parse(rule["regex"])
+        regex = dialect.scoped_flags(rule["regex"])
+        dialect.to_java(regex)
+        dialect.parse(regex)
         if rule.get("guard_regex"):
             dialect.to_java(rule["guard_regex"])
     except (re.error, OverflowError, ValueError) as problem:
         return f"invalid regex: {problem}"
-    if dialect.overflows_stack(rule["regex"]):
-        return "unbounded repeat over alternatives or over repeats of varying length"
+    if dialect.overflows_stack(regex) and dialect.possessive_loops(regex) is None:
+        return "unbounded repeat over alternatives or over repeats of varying length, which may have to give back"
     return None
 
 
 def compile_rule(row: dict, ordinal: int) -> dict:
-    keyword = dialect.rule_keyword(row["regex"])
+    regex = dialect.scoped_flags(row["regex"])
+    keyword = dialect.rule_keyword(regex)
     indexed = is_valid_keyword_text(keyword)
-    ci, _ = dialect.parse(row["regex"])
+    ci, _ = dialect.parse(regex)
     guard = row["guard_regex"]
     return {
         **row,
         "ord": ordinal,
-        "java_regex": dialect.to_java(row["regex"]),
+        "java_regex": dialect.to_java(dialect.possessive_loops(regex), loops=True) if dialect.overflows_stack(regex) else dialect.to_java(regex),
         "java_guard": dialect.to_java(guard) if guard else None,
         "keyword": keyword or None,
         "ci": ci,
         "indexed": indexed,
-        "needs": dialect.needed_literals(row["regex"]),
-        "needs_run": dialect.needed_run(row["regex"]),
+        "needs": dialect.needed_literals(regex),
+        "needs_run": dialect.needed_run(regex),
         "rank": ordinal + (INDEXED_RANK_BASE if indexed else 0),
     }
 

@@ -242,13 +242,47 @@ def test_no_rule_is_slow_on_long_prose(spark):
     assert time.time() - begun < 60
 
 
-@pytest.mark.parametrize("regex", [r"(a|b)+x", r"(a|b.)+x", r"(?:[a-z]+\.)+com", r"((ab)*c)*", r"(?:ab?)*", r"(a|b){2,}", r"(x(a|b))+"])
-def test_stack_breaking_rules_are_rejected(regex):
+LOOPS = [r"(a|b)+x", r"(?:ab|cd)*x\d{9}", r"((ab)*c)*", r"(a|b){2,}", r"k=(?:[a-z]+,)*;", r"(?i)(?:ab|c[0-9]+)+_", r"x(?:\.[a-z]+)+$"]
+
+
+@pytest.mark.parametrize("regex", LOOPS)
+def test_decided_loops_run_without_the_stack(regex):
+    assert dialect.overflows_stack(regex)
+    loop = dialect.possessive_loops(regex)
+    assert loop is not None and not dialect.overflows_stack(loop) and RuleSet.of([{"rule_id": "r", "regex": regex}])
+
+
+@pytest.mark.parametrize("regex", [r"(?:[a-z]+)+x", r"(?:[a-z0-9]+\.)+example\.com", r"(?:ab?)*b", r"(a|ab)*c", r"(x(a|b))+x", r"(?:a|)+b", r"(?:(?:a|b)+c|d)*a"])
+def test_repeats_that_may_give_back_are_rejected(regex):
     assert dialect.overflows_stack(regex)
     with pytest.raises(ValueError):
         RuleSet.of([{"rule_id": "r", "regex": regex}])
 
 
+FLAGS = [r"foo(?i)bar", r"a(?i)b|c", r"(?:x(?i)y|z)W", r"(?i)q(?-i)R|s", r"[(?i)]a\(?i", r"k(?s).(?i)v"]
+
+
+def test_loops_and_flags_find_what_the_original_finds(spark):
+    """Over texts drawn from the rules' own letters, next to the check engine; and a text that would fill the stack."""
+    import random
+
+    rules = RuleSet.of([{"rule_id": str(k), "regex": r} for k, r in enumerate(LOOPS + FLAGS)])
+    draw = random.Random(8)
+    letters = "abcdx,;k=._012345678 fooBARqrRsSyYzWwV(?i)\n"
+    texts = ["".join(draw.choice(letters) for _ in range(60)) for _ in range(300)] + ["foobar fooBAR FOObar", "abcdabx123456789", "k=ab,c,;k=;"]
+    con = duckdb.connect()
+    con.register("texts", pa.table({"k": list(range(len(texts))), "t": texts}))
+    want = set()
+    for row in rules.rows:
+        for k, values in con.execute(f"select k, regexp_extract_all(t, {sql_text(row['regex'])}, 0) from texts").fetchall():
+            want |= {(str(k), row["ord"], v) for v in values}
+    long = {"loop": "ab" * 1_000 + "x", "list": "k=" + "a," * 300_000 + ";"}
+    files = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + list(long.items()), "file string, content string")
+    got = {(r["file"], r["ord"], r["value"]) for r in matching.match_rules(matching.candidates(files, rules)).collect()}
+    assert {g for g in got if g[0] not in long and g[2]} == {w for w in want if w[2]}
+    assert ("loop", 0, long["loop"]) in got and ("list", 4, long["list"]) in got
+
+
 @pytest.mark.parametrize("regex", [r"(?:a|b)x", r"[a-z]+", r"(?:ab){1,5}", r"(abc)+", r"(?:a|b){1,3}", r"[(|)]+x", r"\(a|b\)+", r"(?i)(a)+", r"(?P<n>a{2})+"])
 def test_safe_rules_are_kept(regex):
     assert not dialect.overflows_stack(regex)
