@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from checks import catalog
 from spillwatch.operators import endpoints, matching, reports, resume, url_lists
 from spillwatch.plans.endpoints import endpoints_of, scan_endpoints
 from spillwatch.plans.secrets import scan_secrets, select_rules
@@ -316,3 +317,14 @@ def test_rule_that_matches_nothing_at_all(spark):
     rules = RuleSet.of([{"rule_id": "maybe", "regex": r"(?:x[0-9]+)?"}])
     found = scan_secrets(spark.createDataFrame(texts, "file string, content string"), rules, mode="deep")
     assert found.count() == 1 + 200
+
+
+def test_streams_keep_the_splits_of_their_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "scratch", lambda spark, name: str(tmp_path / name))
+    stream = catalog._as_stream(spark, spark.range(0, 700, 1, 7).toDF("n"), "many")
+    assert len(list((tmp_path / "many").glob("part-*.parquet"))) == 7  # no three tasks that each read a third
+    seen = []
+    stream.writeStream.foreachBatch(lambda batch, _: seen.append([r.n for r in batch.collect()])).option(
+        "checkpointLocation", str(tmp_path / "progress")
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sorted(n for batch in seen for n in batch) == list(range(700))
