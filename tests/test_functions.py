@@ -2,7 +2,6 @@
 
 import math
 import time
-import time
 
 import pytest
 from pyspark.sql import functions as F

@@ -186,6 +186,16 @@ def test_read_files(spark, tmp_path):
     assert found(readers.read_files(spark, str(tmp_path)), "file") == [("a b+c.js",), ("b.txt",)]
 
 
+def test_a_file_for_each_text_is_written_by_the_tasks(spark, tmp_path):
+    texts = spark.createDataFrame([("a\nb",), ("é",), ("",), (None,)], "html string").repartition(3)
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/named"):
+        catalog._write_each(texts, folder)
+        read = readers.read_files(spark, folder, suffix=".txt")
+        assert sorted(r["content"] for r in read.collect()) == ["\n", "\n", "a\nb\n", "é\n"]
+    # No driver's commit, which moves file by file, and nothing left half written.
+    assert all(f.suffix == ".txt" and f.name.startswith("part-") for f in (tmp_path / "plain").iterdir())
+
+
 def test_load_rules_from_folder(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "cloud").mkdir()
