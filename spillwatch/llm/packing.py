@@ -16,7 +16,7 @@ very long texts are encoded slab by slab; an empty table gives no rows; other co
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -141,23 +141,25 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
             next_id += 1
 
         def table():
-            out = pd.DataFrame(rows, columns=columns)
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            columns = list(zip(*rows)) or [()] * len(schema)
             rows.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()
-            doc_ids = [None if d is pd.NA else d for d in doc_ids]
+            # The texts stay in Arrow: as Python's strings they would be there several times over.
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for first, ids, starts in encoded_slabs(texts, path):
                 for k in range(len(starts) - 1):
                     # A copy, so an open window doesn't hold the whole slab.
                     for pieces in packer.document(doc_ids[first + k], ids[starts[k] : starts[k + 1]].copy()):
                         finished(pieces)
+            # Not two batches at a time.
+            batch = texts = ids = starts = None
+            pa.default_memory_pool().release_unused()
             yield table()
         for pieces in packer.close():
             finished(pieces)
         yield table()
 
-    columns = [c.split()[0] for c in PIECE.split(", ")] + ["ids"] * with_ids
-    return texts_of(docs).mapInPandas(tidy(stream), PIECE + ", ids binary" * with_ids)
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")] + [("ids", pa.binary())] * with_ids)
+    return texts_of(docs).mapInArrow(tidy(stream), PIECE + ", ids binary" * with_ids)

@@ -67,9 +67,13 @@ class PieceEncoder:
             found = [k if k >= 0 else get(p) for p, k in zip(pieces, found)]
         return np.array(found, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All numbers of all texts, each text closed by ``END_ID``, and where each text begins (one more than texts)."""
-        column = pa.array(texts, pa.large_string())
+        if isinstance(texts, pa.Array):
+            # A copy that begins at its buffers' beginning: slices cast to wider offsets lose their place.
+            column = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+        else:
+            column = pa.array(texts, pa.large_string())
         # A special token is found before letters are lowered, so texts that may hold one stay as they are.
         column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
         split = pc.ascii_split_whitespace(column)
@@ -132,11 +136,11 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encoded_slabs(texts: list[str], path: str, chars: int = 2_000_000):
+def encoded_slabs(texts: list[str] | pa.Array, path: str, chars: int = 2_000_000):
     """Yields ``(first, ids, starts)`` for slabs of texts of about ``chars`` characters, so memory doesn't follow the batch."""
     lo = size = 0
-    for hi, text in enumerate(texts):
-        size += len(text)
+    for hi, n in enumerate(pc.utf8_length(texts).to_pylist() if isinstance(texts, pa.Array) else map(len, texts)):
+        size += n
         if size >= chars or hi == len(texts) - 1:
             yield (lo, *encoder(path).encode(texts[lo : hi + 1]))
             lo, size = hi + 1, 0

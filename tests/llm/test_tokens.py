@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given as drawn
 from hypothesis import settings
@@ -89,6 +90,17 @@ def test_empty_table(spark, make_docs):
     assert packing.pack(make_docs([])).count() == 0
 
 
+def test_texts_in_arrow_are_encoded_like_lists(make_docs, tokenizer):
+    texts = ["one two, three.", "", "É <|x|> \n ünd 😀", "word " * 300, "a"]
+    for array in (pa.array(texts), pa.array(["cut off", *texts], pa.large_string())[1:]):
+        slabs = list(tokens.encoded_slabs(array, tokens.default_path(), 20))
+        listed = list(tokens.encoded_slabs(texts, tokens.default_path(), 20))
+        assert [s[0] for s in slabs] == [s[0] for s in listed]
+        assert all(np.array_equal(a, b) for one, two in zip(slabs, listed) for a, b in zip(one[1:], two[1:]))
+    # Packing makes no Python strings of a batch of texts.
+    assert "MapInArrow" in packing.pack(make_docs([(1, "one")]))._jdf.queryExecution().executedPlan().toString()
+
+
 def check_packing(rows, ids_of, window=4096):
     by_doc, by_sequence = {}, {}
     for r in rows:
