@@ -63,7 +63,7 @@ _powers = Powers()
 
 
 def parse(text: str, seen: set[str], start: int = 0, upto: int | None = None) -> tuple[list[int], int]:
-    """Ends of the phrases that end at ``upto`` at most; and where the unfinished one starts."""
+    """Ends of the phrases that end at ``upto`` at most; and where the unfinished one starts. The definition; documents use ``walk``."""
     ends = []
     add, note = seen.add, ends.append
     end, last = start + 1, len(text) if upto is None else upto
@@ -77,12 +77,28 @@ def parse(text: str, seen: set[str], start: int = 0, upto: int | None = None) ->
     return ends, start
 
 
+def walk(text: str, root: dict, start: int = 0, upto: int | None = None) -> tuple[list[int], int, list[dict]]:
+    """As ``parse``, with the phrases as paths below ``root``, so a character is one look-up however long its phrase; and the nodes that grew."""
+    ends, grown = [], []
+    node, add, note = root, grown.append, ends.append
+    for end, char in enumerate(text[start:upto], start + 1):
+        below = node.get(char)
+        if below is None:
+            node[char] = {}
+            add(node)
+            note(end)
+            node = root
+        else:
+            node = below
+    return ends, ends[-1] if ends else start, grown
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def minima(codes: np.ndarray, start: int, ends: list[int]) -> np.ndarray:
-    """Minimum hashes of the phrases between ``start`` and ``ends``."""
+def minima(codes: np.ndarray, start: int, ends: list[int], known: np.ndarray = _NOTHING) -> np.ndarray:
+    """Minimum hashes of the phrases between ``start`` and ``ends``; with those ``known`` of other phrases, as far as they can be smaller."""
     if not ends:
         return _NOTHING
     _powers.to(len(codes))
@@ -92,7 +108,8 @@ def minima(codes: np.ndarray, start: int, ends: list[int]) -> np.ndarray:
     since = np.concatenate([[0], to[:-1]])
     hashes = _mixed((sums[to] - sums[since]) * _powers.down[since] + (to - since).astype(np.uint64))
     least = np.full(PLACES, 2**64 - 1, np.uint64)
-    for turn in range(2 * PLACES):
+    # A later round has no smaller minima, so rounds end with the last that the known ones needed.
+    for turn in range(2 * PLACES if known is _NOTHING else int(known.max() >> np.uint64(55)) + 1):
         drawn = _mixed(hashes + np.uint64((turn * _BASE) % 2**64))
         value = (drawn >> np.uint64(9)) | np.uint64(turn << 55)
         if turn < PLACES:
@@ -126,22 +143,22 @@ class Parsed:
     """A document's fingerprint, and what is needed to fingerprint its edited text."""
 
     def __init__(self, text: str):
-        self.text, self.seen = text, set()
+        self.text, self.root = text, {}
         self.cut = len(text) - len(text) // 4
         codes = codes_of(text)
-        head, self.resume = parse(text, self.seen, 0, self.cut)
+        head, self.resume, _ = walk(text, self.root, 0, self.cut)
         self.head = minima(codes, 0, head)
-        tail, _ = parse(text, self.seen, self.resume)
-        since = [self.resume, *tail]
-        self.seen.difference_update(text[a:b] for a, b in zip(since, tail))
-        self.print = text_of_print(self._joined(minima(codes, self.resume, tail)))
+        tail, _, grown = walk(text, self.root, self.resume)
+        for node, end in zip(grown, tail):
+            del node[text[end - 1]]
+        self.print = text_of_print(self._joined(minima(codes, self.resume, tail, self.head)))
 
     def _joined(self, tail: np.ndarray) -> np.ndarray:
         return tail if self.head is _NOTHING else self.head if tail is _NOTHING else np.minimum(self.head, tail)
 
     def edited_print(self, edited: str) -> str:
-        tail, _ = parse(edited, self.seen, self.resume)
-        return text_of_print(self._joined(minima(codes_of(edited), self.resume, tail)))
+        tail, _, _ = walk(edited, self.root, self.resume)
+        return text_of_print(self._joined(minima(codes_of(edited), self.resume, tail, self.head)))
 
 
 def fingerprint(text: str) -> str:

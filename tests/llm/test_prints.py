@@ -39,6 +39,31 @@ def test_phrases_are_those_of_a_plain_parse():
         assert {text[a:b] for a, b in zip([0, *ends], ends)} == brute.phrases(text)
 
 
+def test_paths_give_the_phrases_of_the_definition(texts):
+    for text in ["", "a", "aaaaaaaa", "é" * 9 + "xyz", "a\ud800\U0001f600a\U0001f600", *(t for _, t in texts[:60])]:
+        for cut in (0, len(text) // 3, len(text)):
+            seen, root = set(), {}
+            head, resume = phrase_prints.parse(text, seen, 0, cut)
+            assert phrase_prints.walk(text, root, 0, cut)[:2] == (head, resume)
+            assert phrase_prints.walk(text, root, resume)[:2] == phrase_prints.parse(text, seen, resume)
+
+
+def test_known_minima_end_the_rounds_early(texts, monkeypatch):
+    rounds = []
+    mixed = phrase_prints._mixed
+    monkeypatch.setattr(phrase_prints, "_mixed", lambda x: rounds.append(len(x)) or mixed(x))
+    for _, text in texts[:60]:
+        ends, _ = phrase_prints.parse(text, set())
+        codes, half = phrase_prints.codes_of(text), len(ends) * 3 // 4
+        if not half:
+            continue
+        whole, head = phrase_prints.minima(codes, 0, ends), phrase_prints.minima(codes, 0, ends[:half])
+        rounds.clear()
+        tail = phrase_prints.minima(codes, ends[half - 1], ends[half:], head)
+        assert np.array_equal(np.minimum(head, tail), whole)
+        assert len(rounds) <= int(head.max() >> np.uint64(55)) + 2
+
+
 def test_likeness_follows_the_phrase_sets(texts):
     long_ones = [t for _, t in texts if len(t) > 2000][:40]
     prints, sets = [phrase_prints.fingerprint(t) for t in long_ones], [brute.phrases(t) for t in long_ones]
