@@ -12,7 +12,8 @@ Sets are 64-bit hashes of shingles, sorted. Equal sets are folded into one node,
    hashes that fall on it. Differing bits count differing hashes at most once, so they bound the overlap from above. Of the pairs
    that pass, a spanning forest is compared exactly, by intersecting the sorted arrays. This repeats, without pairs already
    compared and with ``MORE_PAIRS`` times as many of every two components, until no pair of different components is left, which takes a few
-   rounds. Groups beyond ``BLOCK`` nodes are cut into pairs of blocks.
+   rounds. Of a fingerprint's nodes only those that have such a pair left go on to the next. Groups beyond ``BLOCK`` nodes are cut into
+   pairs of blocks.
 
 So no pair of a group is written out unless its comparison may join two components, and the components are exact. Pairs of texts just below
 the threshold that nothing else connects must all be compared; there the work follows the number of such pairs.
@@ -355,38 +356,45 @@ class _Forest:
         return x != y
 
 
-def pairs_of_tile(rows: list[tuple], t: Fraction, each: int):
+def pairs_of_tile(rows: list[tuple], t: Fraction, each: int) -> tuple[list[tuple[int, int]], list[int]]:
     """Untried pairs of nodes of different components whose bitmaps allow a link: a spanning forest of them if ``each`` is 1, else up to
-    ``each`` of every two components. ``rows``: size, node, component, block, bitmap and the nodes it was compared with."""
+    ``each`` of every two components; and the nodes of such pairs beyond these. ``rows``: size, node, component, block, bitmap and the nodes
+    it was compared with."""
     rows.sort(key=lambda r: r[:2])
-    sizes = [r[0] for r in rows]
+    sizes, comps, block_of = [r[0] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    all_sizes = np.array(sizes)
     bits = bitmap_bits(1 << (sizes[0].bit_length() - 1))
-    blocks = len({r[3] for r in rows}) > 1
+    blocks = block_of.min() < block_of.max()
     maps = None
-    forest, out = _Forest(), []
+    forest, out, waiting = _Forest(), [], set()
     taken: dict[tuple[int, int], int] = {}
     for i in range(len(rows) - 1):
         n, node, comp, block, _, tried = rows[i]
         hi = bisect_right(sizes, n * t.denominator // t.numerator)
-        if hi <= i + 1 or all(r[2] == comp for r in rows[i + 1 : hi]):
+        # Nodes of one component aren't compared, however many they are.
+        js = np.flatnonzero(comps[i + 1 : hi] != comp) + i + 1
+        if blocks:
+            js = js[block_of[js] != block]
+        if not len(js):
             continue
         if maps is None:
             maps = np.stack([folded(r[4], bits) for r in rows])
-        m = np.array(sizes[i + 1 : hi])
-        overlap = (n + m - np.bitwise_count(maps[i + 1 : hi] ^ maps[i]).sum(axis=1).astype(np.int64)) // 2
-        for j in (np.flatnonzero(overlap * t.denominator >= (n + m - overlap) * t.numerator) + i + 1).tolist():
-            _, other, other_comp, other_block, _, other_tried = rows[j]
-            if comp == other_comp or (blocks and block == other_block) or other in tried or node in other_tried:
+        overlap = (n + all_sizes[js] - np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1).astype(np.int64)) // 2
+        for j in js[overlap * t.denominator >= (n + all_sizes[js] - overlap) * t.numerator].tolist():
+            _, other, other_comp, _, _, other_tried = rows[j]
+            if other in tried or node in other_tried:
                 continue
             if each == 1:
-                if forest.join(comp, other_comp):
-                    out.append((min(node, other), max(node, other)))
-                continue
-            two = (min(comp, other_comp), max(comp, other_comp))
-            taken[two] = taken.get(two, 0) + 1
-            if taken[two] <= each:
+                taking = forest.join(comp, other_comp)
+            else:
+                two = (min(comp, other_comp), max(comp, other_comp))
+                taken[two] = taken.get(two, 0) + 1
+                taking = taken[two] <= each
+            if taking:
                 out.append((min(node, other), max(node, other)))
-    return out
+            else:
+                waiting.update((node, other))
+    return out, sorted(waiting)
 
 
 def _members() -> list:
@@ -396,7 +404,8 @@ def _members() -> list:
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared: DataFrame, t: Fraction, each: int) -> DataFrame:
-    """Pairs that must still be compared, of prints that join several components."""
+    """``print, a, b``: pairs that must be compared now, of prints that join several components; where ``a`` is ``b``, a node
+    that has more such pairs in the print."""
     labelled = shared.select("print", "node").join(labels, "node", "left").select("print", "node", F.coalesce("component", "node").alias("component"))
     mixed_prints = (
         labelled.groupBy("print")
@@ -416,18 +425,23 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, maps: DataFrame, compared:
 
     columns = ["print", "i", "j", "n", "node", "component", "block", "map", "tried"]
 
+    def rows_of(key, held):
+        if len(held) < 2:
+            return []
+        pairs, waiting = pairs_of_tile(held, t, each)
+        return [(key[0], a, b) for a, b in pairs] + [(key[0], node, node) for node in waiting]
+
     def work(batches):
         held, key = [], None
         for batch in batches:
             found = []
             for row in zip(*(batch[c].tolist() for c in columns)):
                 if row[:3] != key:
-                    found += [(key[0], *pair) for pair in pairs_of_tile(held, t, each)] if len(held) > 1 else []
+                    found += rows_of(key, held)
                     held, key = [], row[:3]
                 held.append((*row[3:8], frozenset(row[8].tolist()) if row[8] is not None else frozenset()))
             yield pd.DataFrame(found, columns=["print", "a", "b"])
-        if len(held) > 1:
-            yield pd.DataFrame([(key[0], *pair) for pair in pairs_of_tile(held, t, each)], columns=["print", "a", "b"])
+        yield pd.DataFrame(rows_of(key, held), columns=["print", "a", "b"])
 
     n = partitions_of(shared.sparkSession)
     return full.repartition(n, "print", "i", "j").sortWithinPartitions("print", "i", "j").mapInPandas(tidy(work), "print long, a long, b long")
@@ -489,12 +503,14 @@ def _placed(texts: DataFrame, rows: DataFrame, words: int, threshold: Fraction)
     each = 1
     while True:
         labels = components(compared.filter("linked").select("a", "b").unionByName(same))
+        if shared.isEmpty():
+            break
         found = stored(_open_pairs(shared, labels, maps, compared, threshold, each), "open-pairs")
         if found.isEmpty():
             break
-        pairs = found.select("a", "b").distinct()
-        # A print without such a pair now has none later.
-        shared = shared.join(found.select("print").distinct(), "print", "left_semi")
+        pairs = found.filter("a <> b").select("a", "b").distinct()
+        # A node without another such pair in a print has none there later, since components only grow.
+        shared = stored(found.filter("a = b").select("print", F.col("a").alias("node")).distinct(), "waiting-nodes")
         compared = compared.unionByName(_verified_texts(pairs, texts, words, threshold))
         each *= MORE_PAIRS
     by_set = repeated.select("f1", "f2", "node", F.lit(True).alias("known"))

@@ -57,6 +57,24 @@ def test_small_blocks_lose_nothing(make_docs, monkeypatch):
     assert found(make_docs(rows), 3, Fraction(9, 10)) == brute.components(rows, 3, Fraction(9, 10))
 
 
+def test_only_nodes_with_open_pairs_go_on():
+    # Many unlike sets share a print with near ones of three components: two of them, 1 and 2, are alike.
+    rng = np.random.default_rng(6)
+    t, bits = Fraction(9, 10), shingle_join.bitmap_bits(100)
+    near = rng.integers(0, 2**64, 100, np.uint64, endpoint=False)
+    sets = [np.unique(np.r_[near[: 100 - k], rng.integers(0, 2**64, k, np.uint64, endpoint=False)]) for k in (0, 1, 1, 2)]
+    sets += [np.unique(rng.integers(0, 2**64, 100, np.uint64, endpoint=False)) for _ in range(200)]
+    rows = [(len(s), k, 1 if k == 2 else k, 0, shingle_join.bitmap(s, bits).tobytes(), frozenset()) for k, s in enumerate(sets)]
+    pairs, waiting = shingle_join.pairs_of_tile(list(rows), t, 1)
+    assert len(pairs) == 2 and {k for pair in pairs for k in pair} <= {0, 1, 2, 3}
+    # Three components have a forest of two pairs; the other pairs between them wait, and nobody else does.
+    assert waiting == [0, 1, 2, 3]
+    every, none = shingle_join.pairs_of_tile(list(rows), t, 16)
+    assert sorted(every) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)] and none == []
+    tried = [(*row[:5], frozenset(a + b - row[1] for a, b in every if row[1] in (a, b))) for row in rows]
+    assert shingle_join.pairs_of_tile(tried, t, 16) == ([], [])
+
+
 def test_given_table(given, texts):
     t = Fraction(9, 10)
     assert found(given("documents"), 3, t) == brute.components(texts, 3, t)
