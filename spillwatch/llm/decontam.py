@@ -38,6 +38,8 @@ SHORT = 12
 INDEX_BYTES = 16 << 20
 # Bytes of documents that are searched at once, and of a part of them; cells of a table of counts; pieces written out at once.
 GROUP_BYTES, SLAB_BYTES, CELLS, HITS = 1 << 22, 1 << 15, 1 << 21, 1 << 21
+# Table of cells and pieces; beyond it each window has its own.
+TABLE_BYTES = 1 << 24
 # Parts of items compared side by side.
 LANES = 4096
 _PLAIN = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -166,6 +168,10 @@ class Pieces:
         self.width = -(-np.maximum(self.edits, 1) // 3)
         self.width_of = self.width[self.item].astype(np.int32)
         self.moved = (self.length[self.item] - self.offset).astype(np.int32)
+        # A piece falls on a cell from as many places as the cell has, so this many hits at most; and 64-bit words for an item's pieces.
+        fits = self.need + self.edits
+        self.most = int((self.width * fits).max())
+        self.words = -(-int(fits.max()) // 64)
         # Bytes that the longest match may take.
         self.reach = int((self.length + self.edits).max())
 
@@ -201,7 +207,7 @@ class Pieces:
         if self.needs is None or len(self.needs) != len(counts) - 3:
             self.needs = np.repeat(self.need, cells).astype(np.uint16)
         # A sum of four stays below 2**16.
-        few = np.minimum(counts, 16000, out=counts).astype(np.uint16)
+        few = (counts if self.most <= 16000 else np.minimum(counts, 16000, out=counts)).astype(np.uint16)
         two = few[:-1] + few[1:]
         full = np.flatnonzero(two[:-2] + two[2:] >= self.needs)
         if len(full) and held:
@@ -218,14 +224,29 @@ class Pieces:
 
     def _distinct(self, full, cell, k, n, base):
         """The full windows of four cells that are full when a piece counts once."""
-        window = np.full(n + 3, -1, np.int32)
-        window[full + 3] = np.arange(len(full))
         near = np.zeros(n, bool)
         for back in range(4):
             near[full + back] = True
         some = np.flatnonzero(near[cell])
         cell, k = cell[some], k[some]
         item = np.searchsorted(base, full, "right") - 1
+        cells = np.flatnonzero(near)
+        if len(cells) * self.words * 64 <= TABLE_BYTES:
+            # A row of bits per cell, a bit per piece; the four cells of a window are rows one after another.
+            order = np.zeros(n, np.int32)
+            order[cells] = np.arange(len(cells), dtype=np.int32)
+            seen = np.zeros((len(cells), self.words * 64), np.uint8)
+            seen[order[cell], self.rank[k]] = 1
+            bits = np.packbits(seen, axis=1).view(np.uint64)
+            at = order[full]
+            union = bits[at]
+            # The last cells of an item, which reach into the next one's, have no hits.
+            upto = np.r_[base[1:], n][item]
+            for ahead in range(1, 4):
+                union |= np.where((full + ahead < upto)[:, None], bits[at + ahead], np.uint64(0))
+            return full[np.bitwise_count(union).sum(axis=1, dtype=np.int64) >= self.need[item]]
+        window = np.full(n + 3, -1, np.int32)
+        window[full + 3] = np.arange(len(full))
         many = self.need[item] + self.edits[item]
         place = np.cumsum(many) - many
         seen = np.zeros(int(many.sum()), bool)
