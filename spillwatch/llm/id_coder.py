@@ -1,140 +1,139 @@
 """Adaptive range coding of token numbers, many blocks side by side.
 
-Every block starts from the same fresh model, so blocks can be read alone. A block is a lane; all lanes take step k together, so a step is some
-array operations over lanes. Per number:
+Every block starts from the same fresh model and a table of order-0 shares, so blocks can be read alone with their table. A block is a lane;
+all lanes take step k together, so a step is some array operations over lanes. Per number:
 
 * Order 2 (the two numbers before) and order 1 (the one before) each predict the number that came last in their context, with a
-  confidence; order 0 predicts the block's most frequent number so far.
-* The chance that the leading prediction is right is mixed from what each order says of it, in the logistic domain, with weights
-  that learn from every number. Adaptive chances for the second prediction and for order 0's share the rest.
-* One range-coding step takes the outcome: leading prediction, second, order 0's, or none. If none, a second step takes the number by the
-  order-0 counts of its upper byte, which are brought up to date every ``REFRESH`` numbers.
+  confidence; order 0 gives every number its share in the table.
+* The chance that the leading prediction is right is mixed in the logistic domain from what each order says of it, with weights that the
+  confidences select and that learn from every number. An adaptive chance for order 1's prediction, where it is another one, takes
+  a part of the rest, and order 0's shares all that is left.
+* One range-coding step takes the outcome: leading prediction, second, or the number by its share.
 
-All arithmetic is on integers, so every machine decodes the same.
+Amounts are whole numbers below 2**53 in floats. These and the model are only added, multiplied, divided and rounded down, so every machine
+decodes the same.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 
-BLOCK, LANES, REFRESH = 4096, 2048, 64
-SLOTS2, SLOTS1, SLOTS0 = 1 << 12, 1 << 11, 1 << 11
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_16 = np.uint64(16)
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
-_LOG = np.array([0] + [min(7, k.bit_length()) for k in range(1, 256)], np.int64)
+BLOCK, LANES = 4096, 2048
+SLOTS2, SLOTS1 = 1 << 12, 1 << 11
+# Ranges lie between BOTTOM and TOP; a step deals out TOTAL parts of one, of which order 0 keeps at least SHARES.
+TOP, BOTTOM, WORD = 2.0**48, 2.0**32, 2.0**16
+TOTAL, SHARES = 2.0**24, 2.0**18
+FLAGS = TOTAL - SHARES - 2
+# Log-odds are counted in parts of 1 / UNIT.
+UNIT = 64.0
+RATE, RATE0, RATE_SECOND = 0.1, 0.03 / UNIT, 0.06
+# Confidence of a prediction in bits above the number: how often it was right at a stretch.
+SURE, SURE_MOST = 1 << 16, 7 << 16
+HASH, EIGHT = np.int32(40503), np.int32(8)
+# Steps that the encoder predicts before their outcomes are put into ranges.
+AHEAD = 32
+
+
+def _squash() -> np.ndarray:
+    """Chances of log-odds from -10 to 10 in steps of 1/64, from products alone."""
+    powers, x = [1.0], 1.0
+    for _ in range(640):
+        x *= 0.9844964370054085  # exp(-1/64)
+        powers.append(x)
+    upper = [1 / (1 + x) for x in powers]
+    return np.array([1 - p for p in upper[:0:-1]] + upper)
+
+
+_SQUASH = _squash()
+_START = np.array([-1.2, -0.3, 0.4, 0.8, 1.1, 1.4, 1.7, 2.0] + [-1.0, -1.2, -1.0, -0.8, -0.6, -0.5, -0.4, -0.3] + [-1.0, 0.0, 0.4, 0.7, 0.9, 1.1, 1.3, 1.5]) * UNIT
+# The place of chance 1/2, and half a part to round, come in with order 2.
+_START[:8] += len(_SQUASH) // 2 + 0.5
+
+
+def shares_of(counts: np.ndarray) -> np.ndarray:
+    """Counts of all numbers as whole shares of ``SHARES``, at least one for a number that occurs; without any, equal shares."""
+    if not counts.any():
+        return np.full(1 << 16, int(SHARES) >> 16, np.int64)
+    seen = counts > 0
+    spare = int(SHARES) - int(seen.sum())
+    shares = np.where(seen, 1 + counts * spare // int(counts.sum()), 0)
+    shares[np.argmax(counts)] += int(SHARES) - int(shares.sum())
+    return shares
+
+
+def table_of(blocks: list[np.ndarray]) -> bytes:
+    """The order-0 table of some blocks, as it is kept in files."""
+    counts = np.zeros(1 << 16, np.int64)
+    for block in blocks:
+        counts += np.bincount(block, minlength=1 << 16)
+    return zlib.compress(shares_of(counts).astype("<u4").tobytes())
+
+
+class Order0:
+    def __init__(self, table: bytes | None):
+        shares = shares_of(np.zeros(1 << 16, np.int64)) if table is None else np.frombuffer(zlib.decompress(table), "<u4").astype(np.int64)
+        upto = np.cumsum(shares)
+        self.since, self.upto = (upto - shares).astype(np.float64), upto.astype(np.float64)
+        self.number = np.repeat(np.arange(1 << 16, dtype=np.int32), shares)
+        # The log-odds of a number, about: its power of two and a straight line up to the next.
+        part, power = np.frexp(np.maximum(shares, 0.25) / SHARES)
+        self.odds = 0.6875 * (power + 2 * part - 2)
 
 
 class Model:
     """The state of all lanes before one step."""
 
-    def __init__(self, lanes: int):
-        self.base2, self.base1, self.base0 = (np.arange(lanes) * s for s in (SLOTS2, SLOTS1, SLOTS0))
-        self.id2, self.sure2 = np.zeros(lanes * SLOTS2, np.uint16), np.zeros(lanes * SLOTS2, np.uint8)
-        self.id1, self.sure1 = np.zeros(lanes * SLOTS1, np.uint16), np.zeros(lanes * SLOTS1, np.uint8)
-        self.count0 = np.zeros(lanes * SLOTS0, np.uint8)
-        self.common, self.common_n = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.p = np.full(lanes * 32, 2048, np.int32)  # chances by order and confidence: 8 for order 2, 16 for order 1, 8 for order 0
-        self.p[:] = np.tile(np.array([400, 1600, 2400, 2900, 3200, 3400, 3600, 3700] + [300] * 8 + [400, 1200, 1800, 2200, 2500, 2700, 2900, 3000] + [40, 60, 90, 120, 160, 200, 250, 300], np.int32), lanes)
-        self.weights = np.tile(np.array([22000, 14000, 8000], np.int64), (lanes, 1)).T.copy()
-        self.p_second = np.full(lanes * 16, 500, np.int32)
-        self.p_common = np.full(lanes, 200, np.int32)
-        self.hist = np.ones((lanes, 256), np.int64)
-        self.cum = np.zeros((lanes, 257), np.int64)
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.lane32, self.lane16 = np.arange(lanes) * 32, np.arange(lanes) * 16
-
-    def refresh(self, k: int) -> None:
-        hist = self.hist[:k]
-        total = hist.sum(axis=1, keepdims=True)
-        share = 1 + hist * 3840 // total
-        np.cumsum(share, axis=1, out=self.cum[:k, 1:])
-        self.cum[:k, 256] = 4096
-        big = (total > 6000).ravel()
-        if big.any():
-            hist[big] = (hist[big] + 1) >> 1
-
-    def upper_byte(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The symbol in whose share of 4096 the value falls."""
-        flat, row = self.cum.ravel(), lanes * 257
-        at = row.copy()
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            at += half * (flat[at + half] <= value)
-        return at - row
-
-    def predict(self, k: int):
-        """For the first ``k`` lanes the three predictions and the bounds of the four outcomes out of 65536."""
-        b1, b2 = self.before1[:k], self.before2[:k]
-        self.at2 = self.base2[:k] + (((b1 * 40503 + b2 * 60493 + 7) >> 3) & (SLOTS2 - 1))
-        self.at1 = self.base1[:k] + (((b1 * 40503) >> 2) & (SLOTS1 - 1))
-        self.c2, self.f2 = self.id2[self.at2].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.c1, self.f1 = self.id1[self.at1].astype(np.int64), self.sure1[self.at1].astype(np.int64)
-        common = self.common[:k]
-        self.lead = np.where(self.f2 > 0, self.c2, np.where(self.f1 > 0, self.c1, common))
-        agree = self.c1 == self.lead
-        self.second = np.where(agree, common, self.c1)
-        n0 = _LOG[self.count0[self.base0[:k] + (self.lead & (SLOTS0 - 1))]]
-        lane = self.lane32[:k]
-        self.ctx = np.stack([lane + self.f2, lane + 8 + 8 * agree + self.f1, lane + 24 + n0])
-        self.stretched = _STRETCH[self.p[self.ctx]]
-        dot = (self.weights[:, :k] * self.stretched).sum(axis=0) >> 15
-        self.p_lead = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        self.ctx_second = self.lane16[:k] + np.minimum(self.f2, 1) * 8 + np.where(agree, 0, self.f1)
-        first = np.clip(self.p_lead << 4, 32, 65536 - 96)
-        rest = 65536 - first
-        # A prediction that repeats an earlier one gets no room.
-        b_ok = self.second != self.lead
-        c_ok = (common != self.lead) & (common != self.second)
-        to_b = first + np.where(b_ok, np.maximum(rest * self.p_second[self.ctx_second] >> 12, 1), 0)
-        to_c = to_b + np.where(c_ok, np.maximum((65536 - to_b) * self.p_common[:k] >> 12, 1), 0)
-        return first, to_b, to_c
-
-    def learn(self, k: int, ids: np.ndarray, missed: np.ndarray) -> None:
-        hit = ids == self.lead
-        target = np.where(hit, 4095, 0)
-        err = (target - self.p_lead) * 6
-        self.weights[:, :k] += (self.stretched * err) >> 10
-        p = self.p[self.ctx]
-        self.p[self.ctx] = p + ((target - p) >> 4)
-        q = self.p_second[self.ctx_second]
-        self.p_second[self.ctx_second] = np.where(hit, q, q + ((np.where(ids == self.second, 4000, 20) - q) >> 4))
-        c = self.p_common[:k]
-        self.p_common[:k] = np.where(missed | (ids == self.common[:k]), c + ((np.where(missed, 20, 4000) - c) >> 5), c)
-        for at, now, sure, ids_, sures in ((self.at2, self.c2, self.f2, self.id2, self.sure2), (self.at1, self.c1, self.f1, self.id1, self.sure1)):
-            right = now == ids
-            keep = right | (sure > 3)
-            sures[at] = np.where(right, np.minimum(sure + 1, 7), np.where(keep, sure >> 1, 1))
-            ids_[at] = np.where(keep, now, ids)
-        at0 = self.base0[:k] + (ids & (SLOTS0 - 1))
-        n = np.minimum(self.count0[at0].astype(np.int64) + 1, 255)
-        self.count0[at0] = n
-        more = n > self.common_n[:k]
-        self.common[:k] = np.where(more, ids, self.common[:k])
-        self.common_n[:k] = np.where(more, n, self.common_n[:k])
-        lanes = np.flatnonzero(missed)
-        self.hist[lanes, ids[lanes] >> 8] += 24
-        self.before2[:k], self.before1[:k] = self.before1[:k], ids
-
-
-def _settle(low, span, lanes, move):
-    """Shifts out two bytes where they are fixed, or where the span has become too narrow to go on."""
-    while len(lanes):
-        lo, sp = low[lanes], span[lanes]
-        fixed = (lo ^ (lo + sp)) < TOP
-        narrow = ~fixed & (sp < BOTTOM)
-        if narrow.any():
-            sp = np.where(narrow, (~lo + np.uint64(1)) & (BOTTOM - np.uint64(1)), sp)
-            span[lanes] = sp
-        go = fixed | narrow
-        lanes = lanes[go]
-        if len(lanes):
-            move(lanes, lo[go])
-            low[lanes] = lo[go] << _16
-            span[lanes] = sp[go] << _16
+    def __init__(self, lanes: int, order0: Order0):
+        self.odds0 = order0.odds
+        lane = np.arange(lanes)
+        self.base2, self.base1, self.base_mix = lane * SLOTS2, lane * SLOTS1, lane * 24
+        self.last2, self.last1 = _zeros(lanes * SLOTS2), _zeros(lanes * SLOTS1)
+        self.mix, self.mix0 = np.tile(_START, lanes), np.full(lanes, 0.3 * UNIT)
+        self.second = np.full(lanes * 24, 0.05)
+
+    def places(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the predictions of order 2 and order 1 are kept, from the hashes of the number before and the one before that."""
+        k = h1.shape[-1]
+        return self.base2[:k] + (((h2 << 5) + h1 >> 3) & (SLOTS2 - 1)), self.base1[:k] + ((h1 >> 2) & (SLOTS1 - 1))
+
+    def predict(self, k: int, at2: np.ndarray, at1: np.ndarray):
+        """For the first ``k`` lanes the parts of ``TOTAL`` below which the leading prediction and the second lie."""
+        self.e2, self.e1 = self.last2.take(at2), self.last1.take(at1)
+        self.c2, self.c1 = self.e2 & 0xFFFF, self.e1 & 0xFFFF
+        f2 = self.e2 >> 16
+        self.lead = self.c1 + (self.c2 - self.c1) * (f2 > 0)
+        self.other = self.c1 != self.lead
+        base = self.base_mix[:k]
+        self.in2, self.in1 = base + f2, base + ((self.e1 >> 16) + (16 - self.other * EIGHT))
+        self.m2, self.m1 = self.mix.take(self.in2), self.mix.take(self.in1)
+        self.odds = self.odds0.take(self.lead)
+        self.p = _SQUASH.take((self.m2 + self.m1 + self.mix0[:k] * self.odds).astype(np.int64), mode="clip")
+        self.q = self.second.take(self.in1)
+        first = np.floor(self.p * FLAGS)
+        return first, first + (np.floor(self.q * (FLAGS - first)) + 1) * self.other
+
+    def learn(self, k: int, at2: np.ndarray, at1: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the numbers in; whether the leading prediction was right, and order 1's."""
+        hit, right1 = now == self.lead, now == self.c1
+        err = hit - self.p
+        step = err * (RATE * UNIT)
+        self.mix[self.in2] = self.m2 + step
+        self.mix[self.in1] = self.m1 + step
+        self.mix0[:k] += step * self.odds * RATE0
+        self.second[self.in1] = self.q + (right1 - self.q) * RATE_SECOND
+        fresh = now + SURE
+        self.last2[at2] = fresh + np.minimum(self.e2 & SURE_MOST, SURE_MOST - SURE) * (now == self.c2)
+        self.last1[at1] = fresh + np.minimum(self.e1 & SURE_MOST, SURE_MOST - SURE) * right1
+        return hit, right1
+
+
+def _zeros(n: int) -> np.ndarray:
+    # Written at once, which lets the system take large pages.
+    out = np.empty(n, np.int32)
+    out.fill(0)
+    return out
 
 
 def _slabs(lengths: np.ndarray):
@@ -144,106 +143,146 @@ def _slabs(lengths: np.ndarray):
         yield order[lo : lo + LANES]
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def _shared(second, since0, upto0):
+    """The parts of ``TOTAL`` that a number takes by its share: where they begin, and how many."""
+    scale = (TOTAL - second) * (1 / SHARES)
+    since = np.floor(since0 * scale)
+    parts = np.floor(upto0 * scale) - since
+    since += second
+    return since, parts
+
+
+def _predicted(since, parts, at, is_first, first, second):
+    """Puts in the parts of numbers that were predicted, at these places."""
+    since[at] = first * ~is_first
+    parts[at] = first + (second - first - first) * ~is_first
+
+
+def encode_blocks(blocks: list[np.ndarray], table: bytes | None = None) -> list[bytes]:
+    """Codes blocks by an order-0 table that has all of their numbers (``None``: equal shares)."""
+    order0 = Order0(table)
     out: list[bytes] = [b""] * len(blocks)
     lengths = np.array([len(b) for b in blocks], np.int64)
     for some in _slabs(lengths):
-        n = lengths[some]
+        n, lanes = lengths[some], len(some)
         steps = int(n[0])
-        ids = np.zeros((steps, len(some)), np.int64)
+        # Two numbers 0 come before the first.
+        ids = np.zeros((lanes, steps + 2), np.uint16)
         for lane, b in enumerate(some.tolist()):
-            ids[: n[lane], lane] = blocks[b]
-        model = Model(len(some))
-        low, span = np.zeros(len(some), np.uint64), np.full(len(some), 2**64 - 1, np.uint64)
-        written, place = np.zeros((len(some), 2 * steps + 16), np.uint16), np.zeros(len(some), np.int64)
+            ids[lane, 2 : n[lane] + 2] = blocks[b]
+        ids = np.ascontiguousarray(ids.T)
+        model = Model(lanes, order0)
+        low, span = np.zeros(lanes), np.full(lanes, TOP)
+        width = 2 * steps + 4
+        written, place = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
 
-        def move(lanes, lo):
-            written[lanes, place[lanes]] = (lo >> np.uint64(48)).astype(np.uint16)  # noqa: B023
-            place[lanes] += 1  # noqa: B023
+        def carry(lanes):
+            low[lanes] -= TOP  # noqa: B023
+            at = place[lanes] - 1  # noqa: B023
+            while len(at):
+                written[at] += 1  # noqa: B023
+                at = at[written[at] == 0] - 1  # noqa: B023
 
-        for step in range(steps):
-            k = int(np.searchsorted(-n, -step, side="left"))  # lanes that are longer than this
-            if step % REFRESH == 0:
-                model.refresh(k)
-            now = ids[step, :k]
-            first, to_b, to_c = model.predict(k)
-            common = model.common[:k]
-            is_a, is_b, is_c = now == model.lead, now == model.second, now == common
-            missed = ~(is_a | is_b | is_c)
-            since = np.where(is_a, 0, np.where(is_b, first, np.where(is_c, to_b, to_c)))
-            upto = np.where(is_a, first, np.where(is_b, to_b, np.where(is_c, to_c, 65536)))
-            unit = span[:k] >> _16
-            low[:k] += unit * since.astype(np.uint64)
-            span[:k] = unit * (upto - since).astype(np.uint64)
-            _settle(low, span, np.arange(k), move)
-            lanes = np.flatnonzero(missed)
-            if len(lanes):
-                upper, lower = now[lanes] >> 8, now[lanes] & 255
-                a, b = model.cum[lanes, upper], model.cum[lanes, upper + 1]
-                unit = span[lanes] >> np.uint64(20)
-                low[lanes] += unit * ((a << 8) + lower * (b - a)).astype(np.uint64)
-                span[lanes] = unit * (b - a).astype(np.uint64)
-                _settle(low, span, lanes, move)
-            model.learn(k, now, missed)
-        for _ in range(4):
-            move(np.arange(len(some)), low)
-            low <<= _16
+        active = np.searchsorted(-n, -np.arange(steps), side="left").tolist()  # lanes that are longer than a step
+        firsts, seconds, hits, others = (np.zeros((AHEAD, lanes), t) for t in (np.float64, np.float64, bool, bool))
+        for begin in range(0, steps, AHEAD):
+            rows = ids[begin : begin + AHEAD + 2].astype(np.int32)
+            hashes = rows[:-1] * HASH
+            at2, at1 = model.places(hashes[1:], hashes[:-1])
+            rows = rows[2:]
+            for r in range(len(rows)):
+                k = active[begin + r]
+                a2, a1, now = at2[r, :k], at1[r, :k], rows[r, :k]
+                firsts[r, :k], seconds[r, :k] = model.predict(k, a2, a1)
+                hits[r, :k], right = model.learn(k, a2, a1, now)
+                np.logical_and(right, model.other, out=others[r, :k])
+            m = len(rows)
+            since, parts = _shared(seconds[:m], order0.since.take(rows), order0.upto.take(rows))
+            at = np.flatnonzero(hits[:m] | others[:m])
+            _predicted(since.ravel(), parts.ravel(), at, hits.ravel()[at], firsts.ravel()[at], seconds.ravel()[at])
+            for r in range(m):
+                k = active[begin + r]
+                lo, sp, at = low[:k], span[:k], place[:k]
+                unit = np.floor(sp * (1 / TOTAL))
+                lo += unit * since[r, :k]
+                np.multiply(unit, parts[r, :k], out=sp)
+                if lo.max() >= TOP:
+                    carry(np.flatnonzero(lo >= TOP))
+                while True:
+                    narrow = sp < BOTTOM
+                    word = np.floor(lo * (1 / BOTTOM))
+                    written[at] = word.astype(np.uint16)
+                    grow = narrow * (WORD - 1) + 1
+                    lo -= word * narrow * BOTTOM
+                    lo *= grow
+                    sp *= grow
+                    at += narrow
+                    if sp.min() >= BOTTOM:
+                        break
+        # The first whole word in the span is enough, zeros follow.
+        low[:] = np.ceil(low * (1 / BOTTOM)) * BOTTOM
+        carry(np.flatnonzero(low >= TOP))
+        written[place] = low * (1 / BOTTOM)
         for lane, b in enumerate(some.tolist()):
-            out[b] = written[lane, : place[lane]].astype(">u2").tobytes()
+            out[b] = written[lane * width : place[lane] + 1].astype(">u2").tobytes()
     return out
 
 
-def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+@np.errstate(over="ignore")  # of damaged blocks
+def decode_blocks(payloads: list[bytes], lengths: list[int], table: bytes | None = None) -> list[np.ndarray]:
+    order0 = Order0(table)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(payloads)
     sizes = np.array(lengths, np.int64)
     for some in _slabs(sizes):
-        n = sizes[some]
+        n, lanes = sizes[some], len(some)
         steps = int(n[0])
-        width = max(len(payloads[b]) for b in some.tolist()) // 2 + 8
-        units = np.zeros((len(some), width), np.uint16)
+        # A step takes two words at most, also of damaged blocks.
+        width = 2 * steps + 4
+        words = np.zeros((lanes, width), np.uint16)
         for lane, b in enumerate(some.tolist()):
-            units[lane, : len(payloads[b]) // 2] = np.frombuffer(payloads[b], ">u2")
-        ids = np.zeros((steps, len(some)), np.uint16)
-        model = Model(len(some))
-        low, span = np.zeros(len(some), np.uint64), np.full(len(some), 2**64 - 1, np.uint64)
-        code, place = np.zeros(len(some), np.uint64), np.full(len(some), 4)
-        for k in range(4):
-            code = (code << _16) | units[:, k].astype(np.uint64)
-
-        def move(lanes, lo):
-            code[lanes] = (code[lanes] << _16) | units[lanes, place[lanes]].astype(np.uint64)  # noqa: B023
-            place[lanes] = np.minimum(place[lanes] + 1, width - 1)  # noqa: B023
-
+            own = np.frombuffer(payloads[b], ">u2")[:width]
+            words[lane, : len(own)] = own
+        ids = np.zeros((steps, lanes), np.uint16)
+        model = Model(lanes, order0)
+        span = np.full(lanes, TOP)
+        code = (words[:, 0] * WORD + words[:, 1]) * WORD + words[:, 2]
+        words = words.ravel()
+        place = np.arange(lanes) * width + 3
+        h1, h2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        active = np.searchsorted(-n, -np.arange(steps), side="left").tolist()
         for step in range(steps):
-            k = int(np.searchsorted(-n, -step, side="left"))
-            if step % REFRESH == 0:
-                model.refresh(k)
-            first, to_b, to_c = model.predict(k)
-            unit = span[:k] >> _16
-            value = np.minimum((code[:k] - low[:k]) // unit, np.uint64(65535)).astype(np.int64)
-            is_a, is_b, is_c = value < first, value < to_b, value < to_c
-            missed = ~is_c
-            now = np.where(is_a, model.lead, np.where(is_b, model.second, model.common[:k]))
-            since = np.where(is_a, 0, np.where(is_b, first, np.where(is_c, to_b, to_c)))
-            upto = np.where(is_a, first, np.where(is_b, to_b, np.where(is_c, to_c, 65536)))
-            low[:k] += unit * since.astype(np.uint64)
-            span[:k] = unit * (upto - since).astype(np.uint64)
-            _settle(low, span, np.arange(k), move)
-            lanes = np.flatnonzero(missed)
-            if len(lanes):
-                unit = span[lanes] >> np.uint64(20)
-                value = np.minimum((code[lanes] - low[lanes]) // unit, np.uint64((1 << 20) - 1)).astype(np.int64)
-                upper = model.upper_byte(lanes, value >> 8)
-                a, b = model.cum[lanes, upper], model.cum[lanes, upper + 1]
-                lower = np.minimum((value - (a << 8)) // (b - a), 255)
-                low[lanes] += unit * ((a << 8) + lower * (b - a)).astype(np.uint64)
-                span[lanes] = unit * (b - a).astype(np.uint64)
-                _settle(low, span, lanes, move)
-                now[lanes] = (upper << 8) | lower
+            k = active[step]
+            at2, at1 = model.places(h1[:k], h2[:k])
+            first, second = model.predict(k, at2, at1)
+            co, sp, at = code[:k], span[:k], place[:k]
+            unit = np.floor(sp * (1 / TOTAL))
+            value = np.minimum(np.floor(co / unit), TOTAL - 1)
+            # The last share that begins at the value or before.
+            share = ((value - second) * SHARES + (SHARES - 1)) / (TOTAL - second)
+            now = order0.number.take(share.astype(np.int64), mode="clip")
+            since, parts = _shared(second, order0.since.take(now), order0.upto.take(now))
+            hits = np.flatnonzero(value < second)
+            if len(hits):
+                is_first, first = value[hits] < first[hits], first[hits]
+                _predicted(since, parts, hits, is_first, first, second[hits])
+                now[hits] = np.where(is_first, model.lead[hits], model.c1[hits])
+            co -= unit * since
+            np.multiply(unit, parts, out=sp)
+            while True:
+                narrow = sp < BOTTOM
+                grow = narrow * (WORD - 1) + 1
+                co *= grow
+                co += words.take(at) * narrow
+                sp *= grow
+                at += narrow
+                if sp.min() >= BOTTOM:
+                    break
             ids[step, :k] = now
-            model.learn(k, now, missed)
+            model.learn(k, at2, at1, now)
+            h2, h1 = h1, now * HASH
+        whole = np.ascontiguousarray(ids.T)
         for lane, b in enumerate(some.tolist()):
-            out[b] = ids[: n[lane], lane].copy()
+            out[b] = whole[lane, : n[lane]].copy()
     return out
 
 

@@ -5,10 +5,11 @@ cut into blocks of ``BLOCK`` numbers regardless of documents. The container is P
 is a block:
 
     shard int, block int, n_ids int, crc long (CRC-32 of the numbers as 16-bit little-endian integers), payload binary,
-    doc_ids array<long>, doc_tokens array<int> (the documents that begin in this block, in order)
+    doc_ids array<long>, doc_tokens array<int> (the documents that begin in this block, in order),
+    order0 binary (the shares of all numbers in this and the next blocks; null: those of the block before)
 
-Blocks are coded by ``id_coder``, each from a fresh model. Reading decodes a shard's blocks side by side, checks every block, and puts
-documents together across blocks; a block that fails its check fails the read and is named.
+Blocks are coded by ``id_coder``, each from a fresh model and the last table of shares at or before it. Reading decodes a shard's blocks side by
+side, checks every block, and puts documents together across blocks; a block that fails its check fails the read and is named.
 
 Defined cases: null text is empty, a document of the end number alone; null ``doc_id`` comes first; rows of one ``doc_id`` follow in order of
 their text; an empty table gives no blocks and no rows; other columns are ignored.
@@ -17,6 +18,7 @@ their text; an empty table gives no blocks and no rows; other columns are ignore
 from __future__ import annotations
 
 import itertools
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions_of, prepare, texts_of
-from .id_coder import BLOCK, LANES, checksum, decode_blocks, encode_blocks
+from .id_coder import BLOCK, LANES, checksum, decode_blocks, encode_blocks, table_of
 from .tokens import crc_of, default_path, encoded_slabs
 
-BLOCK_ROW = "shard int, block int, n_ids int, crc long, payload binary, doc_ids array<long>, doc_tokens array<int>"
+BLOCK_ROW = "shard int, block int, n_ids int, crc long, payload binary, doc_ids array<long>, doc_tokens array<int>, order0 binary"
 READ_ROW = "shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
 
 
@@ -53,9 +55,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> Non
                     inside[at // BLOCK].append((doc, n))
             begun = [(at - whole, doc, n) for at, doc, n in begun if at >= whole]
             held, size = [ids[whole:]], len(ids) - whole
+            table = table_of(parts)
             rows = [
-                (shard, next(number), len(p), checksum(p), payload, [d for d, _ in own], [n for _, n in own])
-                for p, payload, own in zip(parts, encode_blocks(parts), inside)
+                (shard, next(number), len(p), checksum(p), payload, [d for d, _ in own], [n for _, n in own], None if k else table)
+                for k, (p, payload, own) in enumerate(zip(parts, encode_blocks(parts, table), inside))
             ]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCK_ROW.split(", ")])
 
@@ -81,7 +84,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     def decode(batches):
         shard, at = None, 0
-        waiting: list[list] = []  # documents begun: number, tokens, start, parts, numbers still to come
+        waiting: deque[list] = deque()  # documents begun: number, tokens, start, parts, numbers still to come
 
         def take(ids: np.ndarray, rows):
             done = []
@@ -93,21 +96,25 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 if not doc[4]:
                     whole = np.concatenate(doc[3])
                     done.append((shard, doc[0], doc[2], doc[1], crc_of(whole)))
-                    waiting.pop(0)
+                    waiting.popleft()
             rows += done
 
+        table = None
         for batch in batches:
             rows: list[tuple] = []
-            for lo in range(0, len(batch), LANES):
-                part = batch.iloc[lo : lo + LANES]
-                decoded = decode_blocks(part["payload"].tolist(), part["n_ids"].tolist())
-                for k, ids in enumerate(decoded):
-                    row = part.iloc[k]
-                    if checksum(ids) != row["crc"]:
-                        raise ValueError(f"block {row['block']} of shard {row['shard']} doesn't match its checksum")
-                    if row["shard"] != shard:
-                        shard, at = row["shard"], 0
-                    for doc, n in zip(row["doc_ids"], row["doc_tokens"]):
+            columns = {c: batch[c].tolist() for c in batch}
+            begins = [k for k, own in enumerate(columns["order0"]) if own is not None]
+            for lo, hi in itertools.pairwise(sorted({0, *begins, *range(0, len(batch), LANES), len(batch)})):
+                if columns["order0"][lo] is not None:
+                    table = columns["order0"][lo]
+                part = {c: values[lo:hi] for c, values in columns.items()}
+                decoded = decode_blocks(part["payload"], part["n_ids"], table)
+                for ids, of, block, crc, docs, tokens in zip(decoded, *(part[c] for c in ("shard", "block", "crc", "doc_ids", "doc_tokens"))):
+                    if checksum(ids) != crc:
+                        raise ValueError(f"block {block} of shard {of} doesn't match its checksum")
+                    if of != shard:
+                        shard, at = of, 0
+                    for doc, n in zip(docs, tokens):
                         waiting.append([None if pd.isna(doc) else int(doc), int(n), at, [], int(n)])
                         at += int(n)
                     take(ids, rows)

@@ -58,6 +58,32 @@ def test_blocks_come_back():
     assert len(raw[2]) < 100 and len(raw[4]) < 200
 
 
+def test_blocks_are_smaller_than_order_0_and_zlib(texts):
+    encoder = tokens.encoder(tokens.default_path())
+    ids = np.concatenate([encoder.encode([t for _, t in texts])[0]] * 2)
+    blocks = [ids[k : k + id_coder.BLOCK] for k in range(0, len(ids) // 2, id_coder.BLOCK)]
+    table = id_coder.table_of(blocks)
+    raw = id_coder.encode_blocks(blocks, table)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, id_coder.decode_blocks(raw, [len(b) for b in blocks], table)))
+    counts = np.bincount(np.concatenate(blocks))
+    share = counts[counts > 0] / counts.sum()
+    order0 = -(share * np.log2(share)).sum() / 8 * counts.sum()
+    assert sum(map(len, raw)) < min(order0, sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks))
+    # A block is read alone with the table, and a damaged one gives wrong numbers, but numbers.
+    assert np.array_equal(id_coder.decode_blocks(raw[3:4], [len(blocks[3])], table)[0], blocks[3])
+    hurt = id_coder.decode_blocks([raw[3][:50] + bytes(len(raw[3]) - 50), b"\xff" * 90, b""], [len(blocks[3])] * 3, table)
+    assert all(len(h) == len(blocks[3]) and not np.array_equal(h, blocks[3]) for h in hurt)
+
+
+@settings(max_examples=40, deadline=None)
+@drawn(st.lists(st.lists(st.sampled_from([0, 1, 2, 7, 300, 65535]), max_size=70), max_size=5))
+def test_any_blocks_come_back(drawn_blocks):
+    blocks = [np.array(b, np.uint16) for b in drawn_blocks]
+    for table in (None, id_coder.table_of(blocks)):
+        decoded = id_coder.decode_blocks(id_coder.encode_blocks(blocks, table), [len(b) for b in blocks], table)
+        assert all(np.array_equal(a, b) for a, b in zip(blocks, decoded))
+
+
 def file_rows(spark, docs):
     folder = new_folder(spark, "ids")
     id_files.write_ids(docs, folder)
