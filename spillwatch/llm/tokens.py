@@ -3,13 +3,16 @@
 Running the tokenizer over running text repeats its work for every occurrence of a word. Here a text is cut at ASCII white space, which the
 tokenizer drops itself and never joins over, so the numbers of a text are those of its pieces in order. Each distinct piece of a batch
 is encoded once and kept for later batches. ASCII letters are lowered first, as the tokenizer does, and a comma or full stop after an
-ASCII letter at the end of a piece is taken off, as its pattern does; both make for fewer pieces. ``tests/llm`` compares with encoding
-whole texts.
+ASCII letter at the end of a piece is taken off, as its pattern does; both make for fewer pieces. Lower-case letters of
+Latin-1 and the ASCII marks behind them go straight to the tokenizer's model, in its letters for bytes, where its normalizer leaves them as
+they are and its pattern cuts between the two. ``tests/llm`` compares with encoding whole texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -36,15 +39,31 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self._forget()
-
-    def _forget(self):
+        self.model = self.tokenizer.model
+        self.direct = _LETTERS_MARKS.fullmatch if _cuts_plainly(self.tokenizer) else lambda piece: None
         self.index: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint16)
         self.ends = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self):
+        """Keeps the pieces of several batches, at most half as many as may be kept."""
+        least = 2
+        while np.count_nonzero(self.uses >= least) > self.keep // 2:
+            least *= 2
+        kept = self.uses >= least
+        at, sizes = self.ends[:-1][kept], np.diff(self.ends)[kept]
+        self.index = {p: k for k, p in enumerate(itertools.compress(self.index, kept.tolist()))}
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.empty(int(ends[-1]), np.uint16)
+        _copy(ids, ends[:-1], self.ids, at, sizes)
+        self.ids, self.ends, self.uses = ids, ends, np.zeros(len(sizes), np.int64)
 
     def _encode_new(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        direct = list(map(self.direct, pieces))
+        others = [p for p, d in zip(pieces, direct) if not d]
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        encoded = [self._of_parts(*d.groups()) if d else next(rest).ids for d in direct]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
         if len(flat) and flat.max() > 65535:
@@ -53,6 +72,12 @@ class PieceEncoder:
         self.index.update(zip(pieces, range(base, base + len(pieces))))
         self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+
+    def _of_parts(self, letters: str, marks: str) -> list[int]:
+        tokenize = self.model.tokenize
+        ids = [t.id for t in tokenize(letters if letters.isascii() else _in_bytes(letters))]
+        return ids + [t.id for t in tokenize(marks)] if marks else ids
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where each of the distinct pieces is kept."""
@@ -65,7 +90,9 @@ class PieceEncoder:
             self._encode_new(new)
             get = self.index.get
             found = [k if k >= 0 else get(p) for p, k in zip(pieces, found)]
-        return np.array(found, np.int64)
+        places = np.array(found, np.int64)
+        self.uses[places] += 1
+        return places
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All numbers of all texts, each text closed by ``END_ID``, and where each text begins (one more than texts)."""
@@ -109,6 +136,30 @@ class PieceEncoder:
         return out, starts
 
 
+# Lower-case letters, then marks other than the apostrophe, which the pattern may take with letters.
+_LETTERS_MARKS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+# Byte-level tokenizers write a byte that is no printable character of Latin-1 as the next one from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTER_OF = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
+
+
+def _in_bytes(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_LETTER_OF)
+
+
+def _cuts_plainly(tokenizer) -> bool:
+    """Whether normalizer and pattern treat letters and marks as ``_LETTERS_MARKS`` does."""
+    if not tokenizer.normalizer or not tokenizer.pre_tokenizer:
+        return False
+    letters = [c for c in map(chr, range(256)) if _LETTERS_MARKS.fullmatch(c)]
+    marks = [c for c in map(chr, range(128)) if _LETTERS_MARKS.fullmatch("a" + c) and not c.isalpha()]
+    probes = [(a + b, "") for a in letters for b in letters] + [("".join(letters), m + n) for m in marks for n in marks]
+    # Many probes at once, between blanks.
+    text = " ".join(a + b for a, b in probes)
+    cut = [part for part, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    return tokenizer.normalizer.normalize_str(text) == text and cut == [_in_bytes(part) for probe in probes for part in probe if part]
+
+
 def _copy(out: np.ndarray, to: np.ndarray, source: np.ndarray, since: np.ndarray, sizes: np.ndarray) -> None:
     """Copies many short runs: places beyond the first of a run only for those that have them."""
     k = 0

@@ -45,6 +45,27 @@ def test_pieces_give_the_numbers_of_any_text(drawn_texts):
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == whole(encoder.tokenizer, drawn_texts)
 
 
+def test_letters_and_marks_of_all_kinds(tokenizer):
+    encoder = tokens.PieceEncoder(tokens.default_path())
+    assert encoder.direct("élan...")
+    parts = ["don't", "ab's'", "é", "é's", "ßüÿ÷×ªº", "naïve$$$", "a#b##", "x<|", "<|endoftext|>", "ab<|endoftext|>", "ÉTÉ!", "e\u0301t", "æøåþð???", "ﬁn.", "i\u0307", "a_b__", "ab/", "ab\\\\", "ab\"\"`~"]
+    drawn = [" ".join(parts), *parts, *(p + m for p in parts for m in ("!!", "'", "'t.", "9", "—", "\u0301"))]
+    ids, starts = encoder.encode(drawn)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == whole(tokenizer, drawn)
+
+
+def test_kept_pieces_outlive_a_full_store():
+    encoder = tokens.PieceEncoder(tokens.default_path(), keep=60)
+    encoded = []
+    encode_new = encoder._encode_new
+    encoder._encode_new = lambda pieces: (encoded.extend(pieces), encode_new(pieces))
+    for k in range(40):
+        drawn = [f"often seen here word{'abcdefghij'[k % 10]}{'klmnopqrst'[j]}{'uvwx'[k // 10]} Ünd-{k}x{j}." for j in range(10)]
+        ids, starts = encoder.encode(drawn)
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == whole(encoder.tokenizer, drawn)
+    assert encoded.count("often") == encoded.count(".") == 1 and len(encoder.index) < 100
+
+
 def test_blocks_come_back():
     rng = np.random.default_rng(1)
     blocks = [
