@@ -112,7 +112,7 @@ class PieceEncoder:
         tail = pc.match_substring_regex(words, "[a-z],$"), pc.match_substring_regex(words, r"[a-z]\.$")
         has_tail = pc.or_(*tail)
         stems = pc.if_else(has_tail, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
-        places = self._places([*stems.dictionary.to_pylist(), ",", "."])
+        places = self._places([*stems.dictionary.to_numpy(zero_copy_only=False).tolist(), ",", "."])
         marks = places[-2:]
         stem_at = places[:-2][stems.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         mark_at = np.where(tail[0].to_numpy(zero_copy_only=False), marks[0], marks[1]) if len(words) else stem_at
