@@ -31,7 +31,12 @@ UNIT = 64.0
 RATE, RATE0, RATE_SECOND = 0.1, 0.03 / UNIT, 0.06
 # Confidence of a prediction in bits above the number: how often it was right at a stretch.
 SURE, SURE_MOST = 1 << 16, 7 << 16
-HASH, EIGHT = np.int32(40503), np.int32(8)
+# Constants of a step as arrays: numpy takes these sooner than Python's numbers.
+HASH, _EIGHT, _SIXTEEN, _ZERO, _LOW16, _SURE, _MOST, _BEFORE_MOST = (np.array(x, np.int32) for x in (40503, 8, 16, 0, 0xFFFF, SURE, SURE_MOST, SURE_MOST - SURE))
+_TWO, _THREE, _FIVE, _MASK2, _MASK1 = (np.array(x, np.int32) for x in (2, 3, 5, SLOTS2 - 1, SLOTS1 - 1))
+_FLAGS, _ONE, _STEP, _RATE0, _RATE_SECOND = (np.array(x) for x in (FLAGS, 1.0, RATE * UNIT, RATE0, RATE_SECOND))
+_TOTAL, _LAST_PART, _PER_TOTAL, _SHARES, _LAST_SHARE, _PER_SHARES = (np.array(x) for x in (TOTAL, TOTAL - 1, 1 / TOTAL, SHARES, SHARES - 1, 1 / SHARES))
+_BOTTOM, _PER_BOTTOM, _MORE_WORD = (np.array(x) for x in (BOTTOM, 1 / BOTTOM, WORD - 1))
 # Steps that the encoder predicts before their outcomes are put into ranges.
 AHEAD = 32
 
@@ -96,36 +101,36 @@ class Model:
     def places(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the predictions of order 2 and order 1 are kept, from the hashes of the number before and the one before that."""
         k = h1.shape[-1]
-        return self.base2[:k] + (((h2 << 5) + h1 >> 3) & (SLOTS2 - 1)), self.base1[:k] + ((h1 >> 2) & (SLOTS1 - 1))
+        return self.base2[:k] + (((h2 << _FIVE) + h1 >> _THREE) & _MASK2), self.base1[:k] + ((h1 >> _TWO) & _MASK1)
 
     def predict(self, k: int, at2: np.ndarray, at1: np.ndarray):
         """For the first ``k`` lanes the parts of ``TOTAL`` below which the leading prediction and the second lie."""
         self.e2, self.e1 = self.last2.take(at2), self.last1.take(at1)
-        self.c2, self.c1 = self.e2 & 0xFFFF, self.e1 & 0xFFFF
-        f2 = self.e2 >> 16
-        self.lead = self.c1 + (self.c2 - self.c1) * (f2 > 0)
+        self.c2, self.c1 = self.e2 & _LOW16, self.e1 & _LOW16
+        f2 = self.e2 >> _SIXTEEN
+        self.lead = self.c1 + (self.c2 - self.c1) * (f2 > _ZERO)
         self.other = self.c1 != self.lead
         base = self.base_mix[:k]
-        self.in2, self.in1 = base + f2, base + ((self.e1 >> 16) + (16 - self.other * EIGHT))
+        self.in2, self.in1 = base + f2, base + ((self.e1 >> _SIXTEEN) + (_SIXTEEN - self.other * _EIGHT))
         self.m2, self.m1 = self.mix.take(self.in2), self.mix.take(self.in1)
         self.odds = self.odds0.take(self.lead)
         self.p = _SQUASH.take((self.m2 + self.m1 + self.mix0[:k] * self.odds).astype(np.int64), mode="clip")
         self.q = self.second.take(self.in1)
-        first = np.floor(self.p * FLAGS)
-        return first, first + (np.floor(self.q * (FLAGS - first)) + 1) * self.other
+        first = np.floor(self.p * _FLAGS)
+        return first, first + (np.floor(self.q * (_FLAGS - first)) + _ONE) * self.other
 
     def learn(self, k: int, at2: np.ndarray, at1: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Takes the numbers in; whether the leading prediction was right, and order 1's."""
         hit, right1 = now == self.lead, now == self.c1
         err = hit - self.p
-        step = err * (RATE * UNIT)
+        step = err * _STEP
         self.mix[self.in2] = self.m2 + step
         self.mix[self.in1] = self.m1 + step
-        self.mix0[:k] += step * self.odds * RATE0
-        self.second[self.in1] = self.q + (right1 - self.q) * RATE_SECOND
-        fresh = now + SURE
-        self.last2[at2] = fresh + np.minimum(self.e2 & SURE_MOST, SURE_MOST - SURE) * (now == self.c2)
-        self.last1[at1] = fresh + np.minimum(self.e1 & SURE_MOST, SURE_MOST - SURE) * right1
+        self.mix0[:k] += step * self.odds * _RATE0
+        self.second[self.in1] = self.q + (right1 - self.q) * _RATE_SECOND
+        fresh = now + _SURE
+        self.last2[at2] = fresh + np.minimum(self.e2 & _MOST, _BEFORE_MOST) * (now == self.c2)
+        self.last1[at1] = fresh + np.minimum(self.e1 & _MOST, _BEFORE_MOST) * right1
         return hit, right1
 
 
@@ -145,7 +150,7 @@ def _slabs(lengths: np.ndarray):
 
 def _shared(second, since0, upto0):
     """The parts of ``TOTAL`` that a number takes by its share: where they begin, and how many."""
-    scale = (TOTAL - second) * (1 / SHARES)
+    scale = (_TOTAL - second) * _PER_SHARES
     since = np.floor(since0 * scale)
     parts = np.floor(upto0 * scale) - since
     since += second
@@ -203,21 +208,21 @@ def encode_blocks(blocks: list[np.ndarray], table: bytes | None = None) -> list[
             for r in range(m):
                 k = active[begin + r]
                 lo, sp, at = low[:k], span[:k], place[:k]
-                unit = np.floor(sp * (1 / TOTAL))
+                unit = np.floor(sp * _PER_TOTAL)
                 lo += unit * since[r, :k]
                 np.multiply(unit, parts[r, :k], out=sp)
-                if lo.max() >= TOP:
+                if np.maximum.reduce(lo) >= TOP:
                     carry(np.flatnonzero(lo >= TOP))
                 while True:
-                    narrow = sp < BOTTOM
-                    word = np.floor(lo * (1 / BOTTOM))
+                    narrow = sp < _BOTTOM
+                    word = np.floor(lo * _PER_BOTTOM)
                     written[at] = word.astype(np.uint16)
-                    grow = narrow * (WORD - 1) + 1
-                    lo -= word * narrow * BOTTOM
+                    grow = narrow * _MORE_WORD + _ONE
+                    lo -= word * narrow * _BOTTOM
                     lo *= grow
                     sp *= grow
                     at += narrow
-                    if sp.min() >= BOTTOM:
+                    if np.minimum.reduce(sp) >= BOTTOM:
                         break
         # The first whole word in the span is enough, zeros follow.
         low[:] = np.ceil(low * (1 / BOTTOM)) * BOTTOM
@@ -255,10 +260,10 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], table: bytes | None
             at2, at1 = model.places(h1[:k], h2[:k])
             first, second = model.predict(k, at2, at1)
             co, sp, at = code[:k], span[:k], place[:k]
-            unit = np.floor(sp * (1 / TOTAL))
-            value = np.minimum(np.floor(co / unit), TOTAL - 1)
+            unit = np.floor(sp * _PER_TOTAL)
+            value = np.minimum(np.floor(co / unit), _LAST_PART)
             # The last share that begins at the value or before.
-            share = ((value - second) * SHARES + (SHARES - 1)) / (TOTAL - second)
+            share = ((value - second) * _SHARES + _LAST_SHARE) / (_TOTAL - second)
             now = order0.number.take(share.astype(np.int64), mode="clip")
             since, parts = _shared(second, order0.since.take(now), order0.upto.take(now))
             hits = np.flatnonzero(value < second)
@@ -269,13 +274,13 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], table: bytes | None
             co -= unit * since
             np.multiply(unit, parts, out=sp)
             while True:
-                narrow = sp < BOTTOM
-                grow = narrow * (WORD - 1) + 1
+                narrow = sp < _BOTTOM
+                grow = narrow * _MORE_WORD + _ONE
                 co *= grow
                 co += words.take(at) * narrow
                 sp *= grow
                 at += narrow
-                if sp.min() >= BOTTOM:
+                if np.minimum.reduce(sp) >= BOTTOM:
                     break
             ids[step, :k] = now
             model.learn(k, at2, at1, now)
